@@ -76,3 +76,52 @@ q AS (SELECT p, greatest(20.0::DOUBLE, CASE WHEN between > 0 THEN least(p * (1 -
 j AS (SELECT source, (failed + p * weight) / (docs + weight) AS host_rate FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= 0.6::DOUBLE AS kept, rules_failed, host_rate
 FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source"""
+
+#: Words of letters and digits, A-Z as a-z, as the contamination rule takes them.
+PLAIN = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+
+SQL["op3_decontaminate"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {PLAIN} AS words FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {PLAIN} AS words FROM benchmark WHERE item_id IS NOT NULL),
+w AS (
+  SELECT DISTINCT item, least(13, len(words)) AS n, unnest(list_transform(range(1, len(words) - least(13, len(words)) + 2), lambda i: array_to_string(words[i:i + least(13, len(words)) - 1], ' '))) AS k
+  FROM b WHERE len(words) > 0),
+n AS (SELECT DISTINCT n FROM w),
+g AS (
+  SELECT row_id, n.n, unnest(range(1, len(words) - n.n + 2)) AS i, unnest(list_transform(range(1, len(words) - n.n + 2), lambda i: array_to_string(words[i:i + n.n - 1], ' '))) AS k
+  FROM d, n WHERE len(words) >= n.n),
+m AS (SELECT row_id, i, g.n, item FROM g JOIN w ON g.n = w.n AND g.k = w.k),
+c AS (SELECT row_id, count(DISTINCT p) AS n_hit FROM (SELECT row_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY row_id),
+t AS (SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_id, item FROM m) GROUP BY row_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN c USING (row_id) LEFT JOIN t USING (row_id)"""
+
+SQL["op4_warc_round_trip"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+g AS (SELECT payload, max(page_id) AS first FROM p GROUP BY payload),
+h AS (SELECT p.page_id, strlen(p.payload) AS payload_bytes, sha1(p.payload) AS hex, g.first FROM p JOIN g USING (payload))
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, (i // 4 * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - i % 4 * 5)::BIGINT) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM h"""
+
+SQL["op6_format_chats"] = r"""
+WITH c AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(regexp_replace(text, '(<|\[)(\\*)(\|turn\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>|/INST\]|INST\])', '\1\\\2\3', 'g')) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(n + length(role) + 17)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+SQL["op8_repeated_substrings"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {WORDS} AS words FROM documents),
+w AS (SELECT row_id, unnest(range(1, len(words) - 33)) AS i, unnest(list_transform(range(1, len(words) - 33), lambda i: md5(array_to_string(words[i:i + 34], ' ')))) AS k FROM d WHERE len(words) >= 35),
+r AS (SELECT row_id, i FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+c AS (SELECT DISTINCT row_id, unnest(range(i, i + 35)) AS place FROM r),
+x AS (SELECT row_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM d),
+k AS (SELECT row_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS kept FROM x ANTI JOIN c USING (row_id, place) GROUP BY row_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (row_id)"""

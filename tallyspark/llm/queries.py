@@ -12,12 +12,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, train(docs))
+    held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return out.select(F.col("id").alias("doc_id"), held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import label_weights, mix
 
     return mix(table(spark, sf_dir, "documents"), label_weights(table(spark, sf_dir, "labels"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate
+
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
+
+
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import scratch
+    from .warc import ID, read_archives, write_archives
+
+    with scratch(spark) as s:
+        paths = write_archives(table(spark, sf_dir, "pages"), s.folder("archives"))
+        chunks = read_archives(spark, paths, payloads=False)
+        number = lambda c: F.substring(c, len(ID) + 1, 20).try_cast("long")
+        return s.keep(chunks.where("last").select(
+            number(F.col("record_id")).alias("page_id"), F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", number(F.col("refers_to")).alias("refers_to"),
+        ))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import drop_boilerplate
 
@@ -25,6 +55,27 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "_counts.n_lines", "_counts.n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats
+
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    conflict = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", conflict), (-7, 1, "assistant", conflict)], "conv_id long, turn long, role string, text string")
+    return format_chats(turns.unionByName(extra), texts=False).select(F.col("id").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op7_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import repeated_substrings
+
+    return repeated_substrings(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
