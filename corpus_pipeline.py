@@ -3,12 +3,92 @@ and read again as the next one's documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-STAGES = []
+from tallyspark.llm.common import Scratch, fresh, joined, quoted, scratch
+from tallyspark.llm.decontaminate import decontaminate
+from tallyspark.llm.langid import identify, train
+from tallyspark.llm.linededup import drop_boilerplate
+from tallyspark.llm.mixing import label_weights, mix
+from tallyspark.llm.neardup import near_duplicates
+
+
+def without_texts(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """docs but for the rows whose text has its MD5 in gone(key). Only digests travel if gone is short."""
+    return joined(docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")))), gone, [key], "left_anti").select(*[quoted(c) for c in docs.columns])
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that language identification rejects; equal texts have equal verdicts."""
+    (key,) = fresh(docs, "text_md5")
+    texts = docs.withColumn(key, F.md5(F.coalesce("text", F.lit(""))))
+    with scratch(spark) as s:
+        gone = s.keep(identify(texts, train(docs), id_col=key).where("rejected").select(F.col("id").alias(key)).distinct())
+    return without_texts(docs, gone, key)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes boilerplate lines from the texts; n_chars follows the text."""
+    out = drop_boilerplate(docs)
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(quoted(c)) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, the one with the smallest id."""
+    with scratch(spark) as s:
+        gone = s.keep(near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    return joined(docs, gone, ["doc_id"], "left_anti").select(*[quoted(c) for c in docs.columns])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which at least one word in twenty lies in passages of the benchmark."""
+    (key,) = fresh(docs, "text_md5")
+    texts = docs.withColumn(key, F.md5(F.coalesce("text", F.lit(""))))
+    with scratch(spark) as s:
+        found = decontaminate(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+        gone = s.keep(found.where("contaminated").select(F.col("id").alias(key)).distinct())
+    return without_texts(docs, gone, key)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what the mix takes, with columns size, source_size, target, taken (words, repeats counted) and epochs (how often the
+    document is taken whole) behind those of the documents."""
+    names = ["size", "source_size", "target", "taken", "epochs"]
+    key, md5, row, mixed_ = fresh(docs, "id", "text_md5", "row", "mix")
+    with scratch(spark) as s:
+        mixed = s.save(mix(docs, label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))).select(F.col("doc_id").alias(key), F.col("content").alias(md5), F.struct(*names).alias(mixed_)))
+        texts = docs.withColumn(key, F.col("doc_id")).withColumn(md5, F.md5(F.coalesce("text", F.lit(""))))
+        # Rows that repeat id and text are told apart by a number.
+        again = mixed.groupBy(key, md5).agg(F.count("*").alias(row)).where(F.col(row) > 1)
+        if again.limit(1).count():
+            number = F.row_number().over(Window.partitionBy(key, md5).orderBy(F.lit(0)))
+            texts, mixed = texts.withColumn(row, number), mixed.withColumn(row, number)
+        else:
+            texts, mixed = texts.withColumn(row, F.lit(1)), mixed.withColumn(row, F.lit(1))
+        taken = s.keep(mixed.where(F.col(mixed_)["taken"] > 0).withColumn(key, F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    out = joined(texts.withColumn(key, F.coalesce(F.col(key).cast("string"), F.lit(""))), taken, [key, md5, row], "inner")
+    return out.select(*[quoted(c) for c in docs.columns], *[F.col(mixed_)[c].alias(c) for c in names if c not in docs.columns])
+
+
+STAGES = [
+    ("language", identify_language),
+    ("lines", drop_repeated_lines),
+    ("near duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mix", mix_sources),
+]
 #: Language identification is learned, so SQL can't express the pipeline; tests hold it against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. Each stage's table lies below the session's shared folder until the next one is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        own = Scratch(spark)
+        docs = own.save(stage(spark, docs, sf_dir))
+        if last is not None:
+            last.drop()
+        last = own
+    return docs
