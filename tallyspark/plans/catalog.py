@@ -1,20 +1,44 @@
-"""Queries by operator and the DuckDB SQL that gives the same rows."""
+"""Queries by operator and the DuckDB SQL that gives the same rows. Each module adds its own."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+MODULES = ("verify", "scalars", "layout", "tokens", "edges", "rules")
 
-def a8_reconcile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.count("*").alias("n"))
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name, with SQL for the same rows."""
+
+    def register(f):
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"tallyspark.plans.queries_{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"a8_reconcile_summary": a8_reconcile_summary}
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"a8_reconcile_summary": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey"}
+    _load()
+    return dict(_sql)
