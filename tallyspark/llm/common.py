@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Java class of the blanks between words; a word is a maximal run of anything else.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -83,14 +84,35 @@ def scratch(spark: SparkSession):
         s.drop()
 
 
-#: A narrow saved table of so many rows may be broadcast: some tens of MB at 16 to 100 bytes a row.
-BROADCAST_ROWS = 200_000
+#: A saved table of so many bytes, by width(), may be broadcast.
+BROADCAST_BYTES = 2 << 20
+
+
+def width(df: DataFrame) -> Column:
+    """Bytes of a row, about: what its strings and arrays hold, and 8 for each other value."""
+
+    def of(column: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType | T.BinaryType):
+            return F.coalesce(F.octet_length(column).cast("long"), F.lit(0)) + 16
+        if isinstance(kind, T.StructType):
+            return sum((of(column[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+        if isinstance(kind, T.ArrayType):
+            each = F.transform(column, lambda x: of(x, kind.elementType).cast("long"))
+            return F.coalesce(F.aggregate(each, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0)) + 24
+        return F.lit(8).cast("long")
+
+    return sum((of(F.col(quoted(f.name)), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
+
+
+def small(df: DataFrame) -> bool:
+    """Whether a saved table is small enough to be broadcast. The measure is a sum over all its rows."""
+    return (df.agg(F.sum(width(df))).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def joined(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    """left join right, with right, a saved table, broadcast only if its rows were counted to be few. Otherwise Spark
-    deals out both sides by key and AQE splits the partitions that are too large."""
-    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+    """left join right, with right, a saved table, broadcast only if it was measured to be small. Otherwise Spark deals out
+    both sides by key and AQE splits the partitions that are too large."""
+    return left.join(F.broadcast(right) if small(right) else right, on, how)
 
 
 def components(s: Scratch, edges: DataFrame, most: int = 40) -> DataFrame:

@@ -13,11 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted, scratch
+from .common import fresh, joined, quoted, scratch
 
 MAX_RATIO, MIN_PAGES = 0.05, 3
-#: Hosts whose boilerplate lists may be broadcast together, by bytes of lists.
-BROADCAST_BYTES = 16 << 20
 
 
 def _trim(line: Column) -> Column:
@@ -39,11 +37,9 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "s
     none, name, lists, counts, parts, left = fresh(docs, "none", "name", "lists", "counts", "parts", "left")
     with scratch(docs.sparkSession) as s:
         found = s.keep(boilerplate(docs, text_col, host_col, max_ratio, min_pages).select(F.col("none").alias(none), F.col("name").alias(name), F.col("lines").alias(lists)))
-    size = found.agg(F.sum(F.size(lists) * 24 + F.length(name) + 32)).first()[0] or 0
-    right = F.broadcast(found) if size <= BROADCAST_BYTES else found
     text = F.col(quoted(text_col))
     host = F.col(quoted(host_col)).cast("string")
-    out = docs.withColumn(none, host.isNull()).withColumn(name, F.coalesce(host, F.lit(""))).join(right, [none, name], "left")
+    out = joined(docs.withColumn(none, host.isNull()).withColumn(name, F.coalesce(host, F.lit(""))), found, [none, name], "left")
     out = out.withColumn(parts, F.split(text, "\n"))
     out = out.withColumn(left, F.when(F.col(lists).isNull(), F.col(parts)).otherwise(F.filter(parts, lambda x: ~F.array_contains(F.col(lists), F.unhex(F.md5(_trim(x)))))))
     out = out.withColumn(counts, F.struct(F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), (F.coalesce(F.size(parts), F.lit(0)) - F.coalesce(F.size(left), F.lit(0))).cast("long").alias("n_dropped")))
