@@ -28,7 +28,7 @@ BUCKETS, DIM, EPOCHS, RATE = 1 << 17, 16, 5, 0.5
 SAMPLE, LONGEST, MOST_LANGUAGES = 3000, 20_000, 500
 REJECT = 0.001
 #: A text is never rejected at a calibrated score or a share of known features above these.
-SURE_SCORE, SURE_SHARE = 0.6, 0.6
+SURE_SCORE, SURE_SHARE = 0.5, 0.6
 PIECE = 1 << 18
 
 
