@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         final = components(s, links.unionByName(more)).select(F.col("node").alias("rep"), "component")
         group = s.save(reps.select("hi", "lo", "n", "rep").join(final, "rep", "left").select("hi", "lo", "n", F.coalesce("component", "rep").alias("component")))
-        out = signed.join(group, ["hi", "lo", "n"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+        out = signed.join(group, ["hi", "lo", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
         if repeated:
             known = s.save(out)
             out = every.where("id is not null").select("id").join(known, "id").unionByName(known.where("id is null"))
