@@ -62,9 +62,9 @@ def f5_page_furniture(spark, sf_dir):
     return layout.furniture(layout.build_rows(runs(spark, sf_dir))).groupBy("doc_id").agg(F.max("page").alias("pages"), F.count_if("noise").alias("noise"))
 
 
-@query(f"WITH {READ} SELECT doc_id, page::INT AS page, count(*) + CASE WHEN true THEN 1 ELSE 0 END AS in_table FROM q GROUP BY ALL")
+@query(f"WITH {READ} SELECT doc_id, page::INT AS page, count(*) + 2 + CASE WHEN count(*) >= 3 THEN 1 ELSE 0 END AS in_table FROM q GROUP BY ALL")
 def f7_table_window(spark, sf_dir):
-    """the window reaches from the heading row (20 above the first date) to the last date's rows."""
+    """the window takes in title and heading, and the footer where three rows come before it."""
     rows = layout.table_window(layout.furniture(layout.build_rows(runs(spark, sf_dir))))
     return rows.groupBy("doc_id", "page").agg(F.count_if("in_table").alias("in_table"))
 

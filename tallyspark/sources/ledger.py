@@ -84,12 +84,12 @@ cells AS (
   UNION ALL SELECT doc_id, page, idx * 10 + 2, description, 112.0, y FROM p
   UNION ALL SELECT doc_id, page, idx * 10 + 3, amount_text, 430.0 - 5 * length(amount_text), y FROM p
   UNION ALL SELECT doc_id, page, idx * 10 + 4, balance_text, 528.0 - 5 * length(balance_text), y FROM p WHERE balance_text IS NOT NULL
-  UNION ALL SELECT doc_id, page, -9, 'Account statement', 42.0, 40 FROM pages
-  UNION ALL SELECT doc_id, page, -8, 'Date', 42.0, 110 FROM pages
-  UNION ALL SELECT doc_id, page, -7, 'Description', 112.0, 110 FROM pages
-  UNION ALL SELECT doc_id, page, -6, 'Amount', 400.0, 110 FROM pages
-  UNION ALL SELECT doc_id, page, -5, 'Balance', 493.0, 110 FROM pages
-  UNION ALL SELECT doc_id, page, 1000000, concat('Page ', CAST(page AS VARCHAR(9))), 280.0, 760 FROM pages)
+  UNION ALL SELECT doc_id, page, -9, 'Account statement', 42.0, 104 FROM pages
+  UNION ALL SELECT doc_id, page, -8, 'Date', 42.0, 117 FROM pages
+  UNION ALL SELECT doc_id, page, -7, 'Description', 112.0, 117 FROM pages
+  UNION ALL SELECT doc_id, page, -6, 'Amount', 400.0, 117 FROM pages
+  UNION ALL SELECT doc_id, page, -5, 'Balance', 493.0, 117 FROM pages
+  UNION ALL SELECT doc_id, page, 1000000, concat('Page ', CAST(page AS VARCHAR(9))), 280.0, 182 FROM pages)
 SELECT doc_id, CAST(page AS INT) AS page, CAST(ord AS BIGINT) AS ord, str, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(5 * length(str) AS DOUBLE) AS w, CAST(9 AS DOUBLE) AS h FROM cells"""
 
 
@@ -118,6 +118,6 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.array(at(1, F.col("date_text"), F.lit(42)), at(2, F.col("description"), F.lit(112)), at(3, F.col("amount_text"), right("amount_text", 430)), at(4, F.col("balance_text"), right("balance_text", 528)))
     body = p.select("doc_id", "page", F.inline(F.filter(cells, lambda c: c["str"].isNotNull())))
     fixed = lambda k, text, x, y: F.struct(F.lit(k).cast("long").alias("ord"), text.alias("str"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
-    frame = F.array(fixed(-9, F.lit("Account statement"), 42, 40), fixed(-8, F.lit("Date"), 42, 110), fixed(-7, F.lit("Description"), 112, 110), fixed(-6, F.lit("Amount"), 400, 110), fixed(-5, F.lit("Balance"), 493, 110), fixed(1000000, F.concat(F.lit("Page "), F.col("page").cast("string")), 280, 760))
+    frame = F.array(fixed(-9, F.lit("Account statement"), 42, 104), fixed(-8, F.lit("Date"), 42, 117), fixed(-7, F.lit("Description"), 112, 117), fixed(-6, F.lit("Amount"), 400, 117), fixed(-5, F.lit("Balance"), 493, 117), fixed(1000000, F.concat(F.lit("Page "), F.col("page").cast("string")), 280, 182))
     edges = p.select("doc_id", "page").distinct().select("doc_id", "page", F.inline(frame))
     return settle(body.unionByName(edges).withColumn("w", (5 * F.length("str")).cast("double")).withColumn("h", F.lit(9.0)))
