@@ -37,13 +37,13 @@ def s13_page_texts(spark, sf_dir):
 
 
 def _truth(spark, sf_dir):
-    return ledger(spark, sf_dir).select("doc_id", "idx", F.col("txn_date").cast("string").alias("iso"), F.col("true_cents").alias("amount_cents"), F.coalesce("balance_cents", F.lit(0)).alias("balance_cents"), "okey")
+    return ledger(spark, sf_dir).select("doc_id", "idx", F.concat_ws("#", F.col("txn_date").cast("string"), "idx").alias("iso"), F.col("true_cents").alias("amount_cents"), "balance_cents", "okey")
 
 
 @query(f"""WITH {L}, a AS (SELECT doc_id, count(*) AS expected, count(*) FILTER (okey % 19 <> 0) AS parsed, count(*) FILTER (okey % 19 = 0) AS missing FROM l GROUP BY doc_id)
 SELECT doc_id, expected, parsed, parsed AS matched, missing, CASE WHEN parsed > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS precision, parsed / expected::DOUBLE AS recall FROM a""")
 def j11_alignment(spark, sf_dir):
-    """A reading that loses every row with okey % 19 = 0 against the truth."""
+    """A reading that loses every row with okey % 19 = 0 against the truth. Dates carry the row's number, so that no other row of a day stands in."""
     truth = _truth(spark, sf_dir)
     return V.align(truth, truth.where("okey % 19 <> 0")).select("doc_id", "expected", "parsed", "matched", (F.col("missing") + F.col("amount_mismatches")).alias("missing"), "precision", "recall")
 
@@ -86,7 +86,7 @@ def j14_broken_links(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT CASE p_partkey % 3 WHEN 0 THEN concat('/', p_size, '/index.html') WHEN 1 THEN concat('/', p_size, '.html') ELSE concat('/img/', p_partkey, '.png') END AS p FROM part)
-SELECT DISTINCT path FROM (SELECT p AS path FROM f UNION ALL SELECT regexp_replace(p, 'index\\.html$', '') FROM f WHERE p LIKE '%/index.html' UNION ALL SELECT regexp_replace(p, '\\.html$', '') FROM f WHERE p LIKE '%.html')""")
+SELECT DISTINCT path FROM (SELECT p AS path FROM f UNION ALL SELECT regexp_replace(p, 'index\\.html$', '') FROM f WHERE p LIKE '%/index.html' UNION ALL SELECT regexp_replace(p, '\\.html$', '') FROM f WHERE p LIKE '%.html' AND p NOT LIKE '%/index.html')""")
 def u5_served_paths(spark, sf_dir):
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
     path = F.when(k % 3 == 0, F.concat(F.lit("/"), size, F.lit("/index.html"))).when(k % 3 == 1, F.concat(F.lit("/"), size, F.lit(".html"))).otherwise(F.concat(F.lit("/img/"), k.cast("string"), F.lit(".png")))
@@ -117,3 +117,42 @@ def u6_verified_and_pending(spark, sf_dir):
     record = F.array(F.struct((0.9 + (k % 10) / 100 + 1e-9).alias("rate"), (k % 5).alias("rows"), F.array_repeat(F.lit("x"), (k % 3).cast("int")).alias("issues")))
     gate = V.publishable(record)
     return table(spark, sf_dir, "customer").agg(F.count_if(gate).alias("verified"), F.count_if(~gate).alias("pending"))
+
+
+@query()
+def t10_occupations(spark, sf_dir):
+    """The occupation codes, each with three digits."""
+    from ..functions.occupations import occupations
+
+    return occupations(spark).orderBy("code")
+
+
+K8 = f"""{L}, g AS (SELECT *, lag(balance_cents) OVER (PARTITION BY doc_id ORDER BY idx) AS previous FROM l),
+s AS (SELECT doc_id, count(*) AS rows, count(*) FILTER (previous IS NOT NULL AND balance_cents IS NOT NULL) AS checked, count(*) FILTER (previous + amount_cents = balance_cents) AS matched FROM g GROUP BY doc_id),
+b AS (SELECT *, CASE WHEN checked > 0 THEN matched / checked::DOUBLE ELSE 0 END AS r FROM s)"""
+
+
+@query(f"WITH {K8} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'refused' ELSE 'parsed' END AS outcome, CASE WHEN doc_id % 10 = 0 THEN 'NO_TEXT_LAYER' END AS reason, CASE WHEN doc_id % 10 > 0 THEN rows END AS rows, CASE WHEN doc_id % 10 > 0 THEN floor(r * 10000 + 0.5::DOUBLE) / 10000 END AS rate, CASE WHEN doc_id % 10 > 0 THEN checked END AS checked FROM b")
+def k8_baseline(spark, sf_dir):
+    from ..operators import reconcile
+    from ..sources.reports import baseline
+
+    s = reconcile.summary(ledger(spark, sf_dir)).withColumn("pages", F.lit(1)).withColumn("quality", F.lit("ok"))
+    return baseline(s.where("doc_id % 10 > 0"), s.where("doc_id % 10 = 0").select("doc_id", F.lit("NO_TEXT_LAYER").alias("reason"))).select("doc_id", "outcome", "reason", "rows", "rate", "checked")
+
+
+@query(f"WITH {K8} SELECT doc_id, rows, r AS rate, checked, checked > 0 AND r >= 0.95::DOUBLE AND rows >= 3 AS publishable FROM b")
+def k9_verify_report(spark, sf_dir):
+    from ..operators import reconcile
+    from ..sources.reports import verify_report
+
+    s = reconcile.summary(ledger(spark, sf_dir)).withColumn("pages", F.lit(1)).withColumn("quality", F.lit("ok"))
+    return verify_report(s).select("doc_id", "rows", "rate", "checked", "publishable")
+
+
+@query(f"WITH {L} SELECT doc_id, idx FROM l WHERE okey % 97 = 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idx) <= 300")
+def f12_flagged_preview(spark, sf_dir):
+    from ..sources.reports import preview
+
+    flags = F.when(F.col("okey") % 97 == 0, F.array(F.lit("balance-mismatch"))).otherwise(F.array(F.lit("multiline-description")))
+    return preview(ledger(spark, sf_dir).withColumn("flags", flags), flagged_only=True).select("doc_id", "idx")
