@@ -69,9 +69,9 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
         plan = s.save(plan.withColumn("same", same).withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("docs") / BUCKET))).drop("source", "docs"))
 
         # 1 - exp(-key * least weight) is uniform for the least weight and denser by a bounded factor for others.
-        least = base.agg(F.min("quality").alias("least"))
-        dealt = joined(base.withColumn("same", same), plan, ["same"], "inner").crossJoin(F.broadcast(least))
-        dealt = dealt.withColumn("bucket", F.floor((1 - F.exp(-F.col("key") * F.col("least"))) * F.col("buckets")).cast("long"))
+        least = base.agg(F.min("quality")).first()[0] or 1.0
+        dealt = joined(base.withColumn("same", same), plan, ["same"], "inner")
+        dealt = dealt.withColumn("bucket", F.floor((1 - F.exp(-F.col("key") * least)) * F.col("buckets")).cast("long"))
         sums = dealt.groupBy("same", "bucket").agg(F.sum("size").alias("words"), F.any_value("budget").alias("budget"))
         run = Window.partitionBy("same").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         border = sums.withColumn("sum", F.sum("words").over(run)).where("sum > budget").groupBy("same").agg(F.min(F.struct("bucket", (F.col("sum") - F.col("words")).alias("before"))).alias("border"))

@@ -74,8 +74,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         p = F.coalesce(F.col("f") / F.greatest("d", F.lit(1)), F.lit(0.0))
         between = (F.col("sq") - F.col("d") * p * p - F.greatest(F.col("hosts") - 1, F.lit(0)) * p * (1 - p)) / F.greatest("d", F.lit(1))
         weight = F.greatest(F.lit(prior_weight), F.when(between > 0, F.least(p * (1 - p) / between - 1, F.lit(1e6))).otherwise(1e6))
-        prior = rate.select((p * weight).alias("alpha"), weight.alias("weight"))
-        judged = s.save(hosts.crossJoin(F.broadcast(prior)).select("host", ((F.col("failed") + F.col("alpha")) / (F.col("docs") + F.col("weight"))).alias("host_rate")))
+        alpha, total = rate.select(p * weight, weight).first()  # two numbers
+        judged = s.save(hosts.select("host", ((F.col("failed") + F.lit(alpha)) / (F.col("docs") + F.lit(total))).alias("host_rate")))
         out = joined(m, judged, ["host"], "left")
         return s.keep(out.select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
