@@ -304,3 +304,9 @@ def s9_ofx_statements(spark, sf_dir):
 @query(f"WITH {L} SELECT DISTINCT doc_id, true AS ofx, false AS other FROM l")
 def s1_ofx_sniff(spark, sf_dir):
     return ofx_files(spark, sf_dir).select("doc_id", O.looks_like_ofx(F.col("content").cast("binary")).alias("ofx"), O.looks_like_ofx(F.lit("%PDF-1.7").cast("binary")).alias("other"))
+
+
+@query(f"WITH {L} SELECT doc_id, count(*) AS row_count, 'May-transactions.xlsx' AS file_name, true AS is_zip FROM l GROUP BY doc_id")
+def k5_workbooks(spark, sf_dir):
+    out = E.build_exports(export_rows(spark, sf_dir), "xlsx", source="May.pdf", locale="de-DE")
+    return out.select("doc_id", "row_count", "file_name", (F.hex(F.substring("bytes", 1, 2)) == "504B").alias("is_zip"))

@@ -119,3 +119,11 @@ def w7_top_five(spark, sf_dir):
 
     place = F.row_number().over(Window.partitionBy("doc_id", F.floor(F.col("idx") / 8)).orderBy(F.desc(F.abs("amount_cents")), "idx"))
     return ledger(spark, sf_dir).withColumn("k", place).where("k <= 5").select("doc_id", "idx", "okey")
+
+
+@query()
+def d14_decoded_statements(spark, sf_dir):
+    """Which chain of each statement is selected, or why none is."""
+    from .statement import decode_statements
+
+    return decode_statements(runs(spark, sf_dir), NARROW)["selection"].groupBy("status", "reason").agg(F.count("*").alias("n"))

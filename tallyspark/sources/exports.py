@@ -7,6 +7,7 @@ import zipfile
 from datetime import UTC, date, datetime
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,3 +128,21 @@ def workbook(rows: list, facts: list[tuple[str, object]], date_format: str = "YY
         for name, text in parts.items():
             z.writestr(name, text)
     return out.getvalue()
+
+
+def build_exports(rows: DataFrame, preset: str, source: str | None = None, locale: str | None = None, date_format: str | None = None, **options) -> DataFrame:
+    """K3: a file for each statement: (doc_id, file_name, mime, row_count, content or bytes). The date format is the one given, or the market's."""
+    name, mime = file_name(F.lit(source), preset), F.lit(MIME["xlsx" if preset == "xlsx" else "csv"])
+    if preset != "xlsx":
+        return csv_files(rows, preset, locale, date_format=date_format, **options).select("doc_id", name.alias("file_name"), mime.alias("mime"), "row_count", "content")
+    form = date_format or market(locale).date_format
+    # A workbook is made where its statement's rows meet.
+    sheets = workbook_rows(rows).groupBy("doc_id").agg(F.collect_list(F.struct("idx", "day", "description", "debit", "credit", "amount", "balance", "notes", "row_no", "page", "date_raw", "delta", "flags", "raw_text")).alias("rows"))
+
+    def write(batches):
+        for batch in batches:
+            books = batch.to_pylist()
+            made = [workbook(b["rows"], [("Source file", source or ""), ("Transactions extracted", len(b["rows"]))], form) for b in books]
+            yield pa.RecordBatch.from_arrays([pa.array([b["doc_id"] for b in books], pa.int64()), pa.array([len(b["rows"]) for b in books], pa.int64()), pa.array(made, pa.binary())], ["doc_id", "row_count", "bytes"])
+
+    return sheets.mapInArrow(write, "doc_id long, row_count long, bytes binary").select("doc_id", name.alias("file_name"), mime.alias("mime"), "row_count", "bytes")
