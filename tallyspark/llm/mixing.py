@@ -1,9 +1,8 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame functions only.
 
 A source's target is its share by weight of the words asked for, at most MOST times what it has; what is cut off there
-goes to the others by weight until no target is above (water filling, solved in closed form over the sources sorted by
-the level at which they fill). A source that must give k.f times its words gives k complete epochs, and the rest from a
-weighted sample without replacement: each document draws the exponential key -ln(u) / quality weight, u being a hash
+goes to the others by weight until no target is above (water filling, a sum over the sources for each round).
+A source that must give k.f times its words gives k complete epochs, and the rest from a weighted sample without replacement: each document draws the exponential key -ln(u) / quality weight, u being a hash
 of its id and text, documents are taken in the order of their keys, and a running sum of their sizes stops at the token budget. The
 document at the border gives the words that are still missing.
 
@@ -19,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined, quoted, scratch, words
+from .common import Scratch, joined, quoted, scratch, words
 
 MOST = 3
 BUCKET = 5000
@@ -32,18 +31,33 @@ def uniform(*cols: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
-def targets(sizes: DataFrame, total: int | None = None) -> DataFrame:
-    """sizes(source, docs, size) -> with `target` added. Weights 1, 2, 3, repeating by the sources' order, null last."""
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    w = sizes.withColumn("weight", (F.row_number().over(order) - 1) % 3 + 1).withColumn("cap", MOST * F.col("size"))
-    fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    before, every = fill.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    wanted = F.lit(total) if total is not None else F.sum("size").over(every)
-    level = (wanted - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    w = w.withColumn("level", level).withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
-    # The first source in this order that does not fill sets the level for it and all later ones.
-    w = w.withColumn("level", F.min(F.when(F.col("fits"), F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"), F.col("level").alias("level")))).over(every)["level"])
-    return w.select("source", "docs", "size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
+def ranked(s: Scratch, df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with `rank` from 0 in a total order: ranges of it are numbered on their own and shifted by what stands before them, so no
+    task sees all rows."""
+    dealt = s.save(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    before, shifts = 0, []
+    for r in dealt.groupBy("part").count().orderBy("part").collect():  # a row for each partition
+        shifts.append((r["part"], before))
+        before += r["count"]
+    shift = df.sparkSession.createDataFrame(shifts, "part int, shift long")
+    number = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return dealt.withColumn("rank", number).join(F.broadcast(shift), "part").withColumn("rank", F.col("rank") + F.col("shift")).drop("part", "shift")
+
+
+def targets(s: Scratch, sizes: DataFrame, total: int | None = None) -> DataFrame:
+    """sizes(source, docs, size) -> with `target` added. Weights 1, 2, 3, repeating by the sources' order, null last. What sources cannot take is
+    shared again among the others by weight until all fit; each round is a sum over the sources."""
+    w = ranked(s, sizes, [F.col("source").isNull(), F.col("source")])
+    w = s.save(w.withColumn("weight", F.col("rank") % 3 + 1).withColumn("cap", MOST * F.col("size")))
+    every = w.agg(F.sum("size"), F.sum("weight")).first()
+    wanted, weights = (every[0] or 0) if total is None else total, every[1] or 0
+    level, full = wanted / weights if weights else 0.0, -1
+    while True:
+        above = w.where(F.lit(level) * F.col("weight") > F.col("cap")).agg(F.count("*"), F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        if above[0] == full or above[2] == weights:
+            break
+        full, level = above[0], (wanted - above[1]) / (weights - above[2])
+    return w.select("source", "docs", "size", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total: int | None = None) -> DataFrame:
@@ -63,7 +77,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
 
         same = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
         sizes = s.save(base.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("size")))
-        plan = targets(sizes, total).withColumnRenamed("size", "source_size")
+        plan = targets(s, sizes, total).withColumnRenamed("size", "source_size")
         epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
         plan = plan.withColumn("epochs", epochs.cast("long")).withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
         plan = s.save(plan.withColumn("same", same).withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("docs") / BUCKET))).drop("source", "docs"))

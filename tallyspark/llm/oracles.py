@@ -73,7 +73,7 @@ h AS (SELECT source, count(*) AS docs, count(*) FILTER (rules_failed > 0) AS fai
 a AS (SELECT sum(failed)::DOUBLE AS f, sum(docs)::DOUBLE AS d, sum(failed * failed / docs::DOUBLE) AS sq, count(*) AS hosts FROM h),
 b AS (SELECT f / greatest(d, 1) AS p, (sq - d * (f / greatest(d, 1)) * (f / greatest(d, 1)) - greatest(hosts - 1, 0) * (f / greatest(d, 1)) * (1 - f / greatest(d, 1))) / greatest(d, 1) AS between FROM a),
 q AS (SELECT p, greatest(20.0::DOUBLE, CASE WHEN between > 0 THEN least(p * (1 - p) / between - 1, 1e6::DOUBLE) ELSE 1e6::DOUBLE END) AS weight FROM b),
-j AS (SELECT source, (failed + p * weight) / (docs + weight) AS host_rate FROM h, q)
+j AS (SELECT source, round((failed + p * weight) / (docs + weight), 9) AS host_rate FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_rate <= 0.6::DOUBLE AS kept, rules_failed, host_rate
 FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source"""
 

@@ -75,7 +75,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         between = (F.col("sq") - F.col("d") * p * p - F.greatest(F.col("hosts") - 1, F.lit(0)) * p * (1 - p)) / F.greatest("d", F.lit(1))
         weight = F.greatest(F.lit(prior_weight), F.when(between > 0, F.least(p * (1 - p) / between - 1, F.lit(1e6))).otherwise(1e6))
         alpha, total = rate.select(p * weight, weight).first()  # two numbers
-        judged = s.save(hosts.select("host", ((F.col("failed") + F.lit(alpha)) / (F.col("docs") + F.lit(total))).alias("host_rate")))
+        judged = s.save(hosts.select("host", F.round((F.col("failed") + F.lit(alpha)) / (F.col("docs") + F.lit(total)), 9).alias("host_rate")))  # sums of doubles depend on their order beyond that
         out = joined(m, judged, ["host"], "left")
         return s.keep(out.select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
