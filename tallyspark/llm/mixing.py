@@ -35,11 +35,8 @@ def ranked(s: Scratch, df: DataFrame, order: list[Column]) -> DataFrame:
     """df with `rank` from 0 in a total order: ranges of it are numbered on their own and shifted by what stands before them, so no
     task sees all rows."""
     dealt = s.save(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    before, shifts = 0, []
-    for r in dealt.groupBy("part").count().orderBy("part").collect():  # a row for each partition
-        shifts.append((r["part"], before))
-        before += r["count"]
-    shift = df.sparkSession.createDataFrame(shifts, "part int, shift long")
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
+    shift = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
     number = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
     return dealt.withColumn("rank", number).join(F.broadcast(shift), "part").withColumn("rank", F.col("rank") + F.col("shift")).drop("part", "shift")
 

@@ -45,6 +45,25 @@ def test_pipeline_by_stages(spark):
     assert sorted(r.doc_id for r in entry.queries()["pipeline"](spark, SF).collect()) == sorted(r.doc_id for r in docs.collect())
 
 
+def test_pipeline_takes_odd_rows_and_columns(spark):
+    """Nulls in any column, empty and blank texts, repeated rows and ids, other columns by the names used inside."""
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"the house and the garden of number {i} " * (2 + i % 40), "en", f"s{i % 3}", 1) for i in range(60)]
+    rows += [(100, None, "en", "s0", None), (101, "", None, "s0", 0), (102, " \n ", "en", None, 3), (None, "the garden and the house of number nine " * 9, None, "s1", 5), (None, None, None, None, None), rows[0], rows[1], (3, "another text under the same number " * 8, "en", "s2", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("_text_md5", F.lit("x")).withColumn("taken", F.lit(-1)).withColumn("id", F.lit(1))
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, SF).cache()
+        assert out.columns[: len(docs.columns)] == docs.columns and 0 < out.count() <= docs.count()
+        if name == "language":
+            assert out.where("text is null or trim(text) = ''").count() == 0 and out.where("doc_id is null").count() == 1
+        docs = out
+    empty = docs.where("false").select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+
+
 @pytest.mark.parametrize("name", [k for k in entry.oracle_sql() if k.startswith("op")])
 def test_queries_match_sql(spark, name):
     import duckdb
