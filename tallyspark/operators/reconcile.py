@@ -30,12 +30,12 @@ def correct_signs(rows: DataFrame, keys: list[str] = ["doc_id"], order: str = "i
     return out.select(*rows.columns, "sign_corrected")
 
 
-def summary(rows: DataFrame, keys: list[str] = ["doc_id"], order: str = "idx") -> DataFrame:  # noqa: B006
-    """Checked, matched, pass_rate (0 if none is checked) and the mismatches of each chain."""
+def summary(rows: DataFrame, keys: list[str] = ["doc_id"], order: str = "idx", more: tuple[Column, ...] = ()) -> DataFrame:  # noqa: B006
+    """Checked, matched, pass_rate (0 if none is checked) and the mismatches of each chain. more: other aggregates of the same pass."""
     wrong = F.col("checked") & ~F.col("agrees")
     out = balance_chain(rows, keys, order).groupBy(*keys).agg(
         F.count("*").alias("n_rows"), F.count_if("checked").alias("checked"), F.count_if(F.col("agrees")).alias("matched"),
-        F.sort_array(F.collect_list(F.when(wrong, F.struct(F.col(order).alias("idx"), "previous", "expected", F.col("balance_cents").alias("actual"), "balance_change")))).alias("mismatches"),
+        F.sort_array(F.collect_list(F.when(wrong, F.struct(F.col(order).alias("idx"), "previous", "expected", F.col("balance_cents").alias("actual"), "balance_change")))).alias("mismatches"), *more,
     )
     return out.withColumn("pass_rate", F.when(F.col("checked") > 0, F.col("matched") / F.col("checked")).otherwise(0.0))
 

@@ -21,9 +21,8 @@ r AS (SELECT *, CASE WHEN checked > 0 THEN matched / checked::DOUBLE ELSE 0.0::D
 
 
 def _summary(spark, sf_dir):
-    fixed = R.correct_signs(ledger(spark, sf_dir))
-    turned = fixed.groupBy("doc_id").agg(F.count_if("sign_corrected").alias("sign_corrections"), F.count_if(F.col("amount_cents") == 0).alias("zero_rows"))
-    return R.summary(fixed).join(turned, "doc_id")
+    counts = (F.count_if("sign_corrected").alias("sign_corrections"), F.count_if(F.col("amount_cents") == 0).alias("zero_rows"))
+    return R.summary(R.correct_signs(ledger(spark, sf_dir)), more=counts)
 
 
 @query(f"WITH {CHAIN} SELECT doc_id, idx, previous, expected, checked, CASE WHEN checked THEN agrees END AS agrees, balance_cents - previous AS balance_change, expected - balance_cents AS balance_error FROM c")

@@ -19,10 +19,12 @@ SELECT doc_id, idx, okey, txn_date, true_cents,
 FROM (
   SELECT *, CAST(opening + sum(true_cents) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running
   FROM (
-    SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS idx, o_orderkey AS okey, CAST(o_orderdate AS DATE) AS txn_date,
-      CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) * (CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END) AS true_cents,
-      CAST(floor(coalesce(c_acctbal, 0) * 100 + 0.5) AS BIGINT) AS opening
-    FROM {orders} o LEFT JOIN {customer} c ON o.o_custkey = c.c_custkey) a) b"""
+    SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o_orderdate, okey) AS BIGINT) AS idx
+    FROM (
+      SELECT o_custkey AS doc_id, o_orderkey AS okey, o_orderdate, CAST(o_orderdate AS DATE) AS txn_date,
+        CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) * (CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END) AS true_cents,
+        CAST(floor(coalesce(c_acctbal, 0) * 100 + 0.5) AS BIGINT) AS opening
+      FROM {orders} o LEFT JOIN {customer} c ON o.o_custkey = c.c_custkey) a) b) d"""
 
 
 def _int(x: str) -> str:

@@ -46,3 +46,9 @@ def test_plans_push_down_and_prune(spark):
     """The scan reads two columns and gets the filter."""
     plan = catalog.table(spark, SF, "lineitem").where("l_shipdate < '1996-01-01'").groupBy("l_returnflag").count()._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate)" in plan and "ReadSchema: struct<l_returnflag:string,l_shipdate" in plan
+
+
+def test_a_ledger_is_dealt_out_once(spark):
+    """All windows and sums of the balance check share one exchange by account."""
+    plan = catalog.queries()["a8_reconcile_summary"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
