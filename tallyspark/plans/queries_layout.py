@@ -121,3 +121,47 @@ def j1_nearest_band(spark, sf_dir):
 def a5_first_fit_clusters(spark, sf_dir):
     items = spark.createDataFrame([(1, v, i) for i, v in enumerate([10.0, 11.0, 12.5, 30.0, 30.5, 13.0])], "k int, v double, i int")
     return clustered(items, ["k"], "v", 1.6, ["i"], first_fit_groups).select("v", F.col("cluster").alias("g"))
+
+
+def _read(spark, sf_dir):
+    """Transactions of all statements under every reading of their money columns."""
+    from ..operators import roles
+    from .statement import date_context as context
+
+    r = runs(spark, sf_dir)
+    rows = settle(layout.build_rows(r))
+    model = settle(layout.detect_columns(rows))
+    orders = context(r, rows).select("doc_id", "date_order", F.col("year").cast("int").alias("year"))
+    return settle(roles.read_amounts(layout.assemble(rows, model, orders), model))
+
+
+@query(f"""WITH {READ}, s AS (SELECT doc_id, idx, amount_cents AS a, balance_cents AS b FROM q WHERE n >= 2 AND nb >= 2)
+SELECT doc_id, idx, 'header' AS reading_id, NULL::BIGINT AS debit_cents, NULL::BIGINT AS credit_cents, b AS balance_cents, a AS amount_cents FROM s UNION ALL SELECT doc_id, idx, 'amount-balance', NULL, NULL, b, a FROM s
+UNION ALL SELECT doc_id, idx, 'debit-balance', abs(a), NULL, b, -abs(a) FROM s UNION ALL SELECT doc_id, idx, 'debit-credit', abs(a), abs(b), NULL, coalesce(abs(b), 0) - abs(a) FROM s""")
+def a17_amounts_by_reading(spark, sf_dir):
+    """Of statements with two money columns, every row's amounts under each reading."""
+    read = _read(spark, sf_dir).where("size(reading.roles) = 2")
+    return read.select("doc_id", "idx", "reading_id", "debit_cents", "credit_cents", "balance_cents", "amount_cents")
+
+
+@query(f"""WITH {SOLVED}, t AS (SELECT doc_id, any_value(n) AS n, count(*) FILTER (checked) AS checked, count(*) FILTER (checked AND previous + amount_cents = balance_cents) AS matched FROM f WHERE nb >= 2 GROUP BY doc_id)
+SELECT doc_id, round(CASE WHEN checked >= 2 THEN 0.8::DOUBLE * matched / checked ELSE 0 END + 0.2::DOUBLE + 0.06::DOUBLE, 9) AS score, round(CASE WHEN checked > 0 THEN matched / checked::DOUBLE ELSE 0 END, 9) AS pass_rate FROM t""")
+def a18_reading_scores(spark, sf_dir):
+    """The score of the reading by headings, of statements with two money columns."""
+    from ..operators import roles
+
+    ranked, _ = roles.rank(_read(spark, sf_dir).where("size(reading.roles) = 2"))
+    return ranked.where("reading_id = 'header'").select("doc_id", F.round("score", 9).alias("score"), F.round("pass_rate", 9).alias("pass_rate"))
+
+
+@query(f"WITH {READ} SELECT doc_id, page::INT AS page, count(*) AS opened, max(idx) AS last FROM q WHERE n >= 2 GROUP BY ALL")
+def w3_transaction_groups(spark, sf_dir):
+    """Each dated row opens a transaction; numbers run on over pages."""
+    out = build_statements(runs(spark, sf_dir))["transactions"]
+    return out.groupBy("doc_id", "page").agg(F.count("*").alias("opened"), F.max("idx").alias("last"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity * 8 BETWEEN 34 AND 96 OR l_quantity * 8 BETWEEN 294 AND 366 AS held FROM lineitem")
+def f9_in_band(spark, sf_dir):
+    band = lambda lo, hi: F.struct(F.lit(lo).alias("left"), F.lit(hi).alias("right"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", layout.in_band(F.col("l_quantity") * 8.0, F.array(band(40.0, 90.0), band(300.0, 360.0))).alias("held"))

@@ -86,3 +86,11 @@ def t9_tips_deduction(spark, sf_dir):
     c = F.col
     out = T.tips_deduction(c("year"), c("status"), c("ssn"), c("magi"), c("code"), c("first"), c("second"), F.lit(5000.0), c("flag"), c("below"))
     return returns(spark, sf_dir).select("o_orderkey", out.alias("d")).select("o_orderkey", "d.*")
+
+
+@query("SELECT l_orderkey, l_linenumber, floor(30 * 0.5::DOUBLE * CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE (l_quantity % 10) * 52 END * 100 + 0.5::DOUBLE) / 100 AS premium FROM lineitem")
+def t11_overtime_hours(spark, sf_dir):
+    """Hours as given, else hours a week times weeks."""
+    q = F.col("l_quantity")
+    hours = F.when(F.col("l_linenumber") % 2 == 0, q)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.overtime_premium(F.lit(30.0), hours, q % 10, F.lit(52.0)).alias("premium"))

@@ -310,3 +310,28 @@ def s1_ofx_sniff(spark, sf_dir):
 def k5_workbooks(spark, sf_dir):
     out = E.build_exports(export_rows(spark, sf_dir), "xlsx", source="May.pdf", locale="de-DE")
     return out.select("doc_id", "row_count", "file_name", (F.hex(F.substring("bytes", 1, 2)) == "504B").alias("is_zip"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 100 < 70 THEN 2000 ELSE 1900 END + c_custkey % 100 AS two_digits, 1900 + c_custkey % 300 AS four_digits FROM customer")
+def e9_full_year(spark, sf_dir):
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", D.full_year(F.lpad((k % 100).cast("string"), 2, "0")).cast("long").alias("two_digits"), D.full_year((1900 + k % 300).cast("string")).cast("long").alias("four_digits"))
+
+
+@query("SELECT o_orderkey, concat('A & ', o_orderpriority) AS name, NULL::VARCHAR AS memo, strftime(o_orderdate, '%Y-%m-%d') AS iso, CASE WHEN o_orderkey % 2 = 0 THEN '08:15' END AS time FROM orders")
+def e20_ofx_tags(spark, sf_dir):
+    """Tags with and without an end, entities, and dates with and without a time."""
+    clock = F.when(F.col("o_orderkey") % 2 == 0, "081500.000[-5:EST]").otherwise("")
+    block = F.concat(F.lit("<STMTTRN><dtposted>"), F.date_format("o_orderdate", "yyyyMMdd"), clock, F.lit("\r\n<NAME> A &amp; "), F.col("o_orderpriority"), F.lit(" </NAME><MEMO></MEMO>"))
+    t = table(spark, sf_dir, "orders").select("o_orderkey", block.alias("b"))
+    on = O.ofx_date(O.tag(F.col("b"), "DTPOSTED"))
+    return t.select("o_orderkey", O.tag(F.col("b"), "NAME").alias("name"), O.tag(F.col("b"), "MEMO").alias("memo"), on["iso"].alias("iso"), on["time"].alias("time"))
+
+
+@query(f"WITH {L}, g AS (SELECT *, lag(balance_cents) OVER (PARTITION BY doc_id ORDER BY idx) AS previous FROM l) SELECT doc_id, idx, abs(previous + amount_cents - balance_cents) / 100.0::DOUBLE <= 0.005 AS agrees, abs(previous + amount_cents - balance_cents) / 100.0::DOUBLE <= 100.0 AS near FROM g WHERE previous IS NOT NULL AND balance_cents IS NOT NULL")
+def e7_balances_agree(spark, sf_dir):
+    from ..operators.reconcile import balance_chain
+
+    c = balance_chain(ledger(spark, sf_dir)).where("checked")
+    units = lambda x: F.col(x) / 100
+    return c.select("doc_id", "idx", A.agree(units("expected"), units("balance_cents")).alias("agrees"), A.agree(units("expected"), units("balance_cents"), 100.0 + 1e-9).alias("near"))
