@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.occupations import OCCUPATIONS, occupations
 from ..operators import evaluate as V
 from ..sources import runs as S
 from ..sources.ledger import LEDGER, RUNS, for_duckdb, ledger, runs
@@ -119,11 +120,9 @@ def u6_verified_and_pending(spark, sf_dir):
     return table(spark, sf_dir, "customer").agg(F.count_if(gate).alias("verified"), F.count_if(~gate).alias("pending"))
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{t}')" for c, t in OCCUPATIONS) + ") t(code, title)")
 def t10_occupations(spark, sf_dir):
-    """The occupation codes, each with three digits."""
-    from ..functions.occupations import occupations
-
+    """The occupation codes with their titles."""
     return occupations(spark).orderBy("code")
 
 
