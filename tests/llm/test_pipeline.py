@@ -76,3 +76,41 @@ def test_queries_match_sql(spark, name):
     order = [want.columns.index(c) for c in df.columns]
     show = lambda r: tuple(f"{x:.9g}" if isinstance(x, float) else str(x) for x in r)
     assert sorted(show(r) for r in df.collect()) == sorted(show([r[i] for i in order]) for r in want.fetchall())
+
+
+def test_secrets_query_matches_brute_force(spark):
+    import hashlib
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in entry.queries()["op7_find_secrets"](spark, SF).collect()}
+    assert set(got) == set(texts)
+    letters = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    keys = "|".join([letters(w) for w in ("password", "passwd", "secret", "token")] + [letters("api") + "_?" + letters("key")])
+    for i, text in texts.items():
+        found = [(m.start(), 0, m.end()) for m in re.finditer(rf"({keys})[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 8]
+        found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+        base = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+        r = got[i]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in found) for k in range(3))
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(base.split(",")) <= set(r.spans.split(",")) or not base
+
+
+def test_language_query_on_held_out_documents(spark):
+    import zlib
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = entry.queries()["op1_language_id"](spark, SF).collect()
+    assert len(got) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r.held_out and docs[r.doc_id].lang]
+    assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.95 * len(held) and len(held) >= 30
+
+
+def test_warc_query_reads_back_every_page(spark):
+    import base64
+    import hashlib
+
+    pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = entry.queries()["op4_warc_round_trip"](spark, SF).collect()
+    assert {r.page_id: (r.payload_bytes, r.payload_digest) for r in got} == {i: (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode()) for i, b in pages.items()}
