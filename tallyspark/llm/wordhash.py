@@ -1,4 +1,4 @@
-"""Vectorised words of Arrow string columns: byte ranges and 64-bit hashes, a megabyte at a time.
+"""Vectorised words of Arrow string columns: byte ranges and 64-bit hashes, a quarter of a megabyte at a time.
 
 A word is a maximal run of bytes that are no separators. Separators are ASCII, so UTF-8 bytes can be cut at them.
 The hash of a word is a polynomial in its bytes modulo 2**64 with a random 64-bit number for each byte value,
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 
