@@ -61,15 +61,11 @@ def d7_lines(spark, sf_dir):
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("dated").alias("dated"), F.sum(F.size("money")).alias("figures"))
 
 
-#: The catalogue's beam is narrow; the default is 40,000 states.
-NARROW = decode.Weights(max_states=24)
-
-
 @query()
 def d8_decode(spark, sf_dir):
     """Chains of every statement, by a beam search; SQL can't express it."""
     lines = settle(tokens.build_lines(_tokens(spark, sf_dir)))
-    return decode.decode_documents(lines, NARROW).select("doc_id", "chain_no", "alternative", "opening_cents", "closing_cents", F.size("amounts").alias("n_amounts"), F.size("constraints").alias("n_constraints"))
+    return decode.decode_documents(lines).select("doc_id", "chain_no", "alternative", "opening_cents", "closing_cents", F.size("amounts").alias("n_amounts"), F.size("constraints").alias("n_constraints"))
 
 
 LINES = f"{L}, n AS (SELECT doc_id, idx AS line_no, okey % 3 = 0 AS dated, okey % 4 <> 1 AS has_money, amount_cents AS cents, okey FROM l)"
@@ -126,4 +122,4 @@ def d14_decoded_statements(spark, sf_dir):
     """Which chain of each statement is selected, or why none is."""
     from .statement import decode_statements
 
-    return decode_statements(runs(spark, sf_dir), NARROW)["selection"].groupBy("status", "reason").agg(F.count("*").alias("n"))
+    return decode_statements(runs(spark, sf_dir))["selection"].groupBy("status", "reason").agg(F.count("*").alias("n"))

@@ -176,6 +176,42 @@ def test_decoder_against_all_readings():
         assert decode.decode(lines)[2] == pytest.approx(exhaustive(lines, decode.Weights()))
 
 
+def test_the_beam_is_as_wide_as_asked_for():
+    """As a search over plain states, with and without states dropped, and in pieces."""
+    rng = random.Random(5)
+    for most, rows in ((7, 1 << 20), (24, 16), (10**6, 1 << 20), (10**6, 16)):
+        w = decode.Weights(max_states=most)
+        lines = [[figure(10 * n + k, rng.choice([-1, 1]) * rng.randint(1, 9) * 100, rng.random() < 0.3, rng.choice([0.4, 1.0]), rng.choice([0.5, 0.7, 0.9])) for k in range(rng.randint(1, 3))] for n in range(5)]
+        beam, trace = [decode.State()], []
+        for n, figures in enumerate(lines):
+            level = beam
+            for m in figures:
+                level = [s for old in level for s in decode._choices(old, n, m, w, m["confidence"] >= w.least_confidence)]
+            found = {}
+            for s in level:
+                if (s.anchor, s.total) not in found or s.score > found[s.anchor, s.total].score:
+                    found[s.anchor, s.total] = s
+            beam = sorted(found.values(), key=lambda s: -s.score)
+            trace.append((len(beam), beam[most - 1].score if len(beam) > most else None))
+            beam = beam[:most]
+        arrays = decode.Beam(lines, w)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(decode, "ROWS", rows)
+            assert [arrays.step(figures, n) for n, figures in enumerate(lines)] == trace
+        for k in range(min(50, len(beam))):
+            got = arrays.state(k, lines)
+            assert (got.anchor, got.total, got.score, decode.chains_of(got)) == (beam[k].anchor, beam[k].total, beam[k].score, decode.chains_of(beam[k]))
+
+
+def test_the_catalogue_decodes_with_the_whole_beam(spark):
+    from tallyspark.operators import tokens
+    from tallyspark.plans import catalog, queries_tokens
+
+    sf = "/root/testdata/sf0.001"
+    want = decode.decode_documents(tokens.build_lines(queries_tokens._tokens(spark, sf)), decode.Weights(max_states=40_000)).select("doc_id", "chain_no", "alternative", "opening_cents", "closing_cents", F.size("amounts"), F.size("constraints"))
+    assert sorted(map(tuple, catalog.queries()["d8_decode"](spark, sf).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_trace_does_not_change_the_result():
     lines = [[figure(0, 1000)], [figure(1, 50), figure(2, 1050)]]
     trace = []
