@@ -212,6 +212,16 @@ def test_the_catalogue_decodes_with_the_whole_beam(spark):
     assert sorted(map(tuple, catalog.queries()["d8_decode"](spark, sf).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_decoder_reads_all_lines_however_long_it_takes(monkeypatch):
+    import itertools
+    import time
+
+    hours = itertools.count(0, 3600)
+    monkeypatch.setattr(time, "monotonic", lambda: float(next(hours)))
+    chains = decode.decode([[figure(0, 100000)], [figure(1, 2500), figure(2, 97500)], [figure(3, 4000), figure(4, 101500)]])[0]
+    assert [(c.opening, c.closing) for c in chains] == [(100000, 101500)]
+
+
 def test_trace_does_not_change_the_result():
     lines = [[figure(0, 1000)], [figure(1, 50), figure(2, 1050)]]
     trace = []
