@@ -3,7 +3,8 @@
 Known shapes ("assign", "access", "hex") are leftmost, non-overlapping matches of each pattern. Token efficiency adds
 "random": a run of 20 or more characters of base64, URL or key alphabets whose number of characters for each token of a public
 byte-level vocabulary is low, because the vocabulary has learned nothing like it. Excluded are known digests (hex of
-the usual lengths), UUIDs, numbers, addresses, paths and names of words joined by marks, and what a known shape covers.
+the usual lengths), UUIDs, numbers, addresses, paths and names joined by marks or case, if each of their words has as
+many characters for each token as a run needs to pass, and what a known shape covers.
 
 Defined cases: a null text counts as empty; repeated rows get equal results; very long runs are encoded in pieces of
 PIECE characters.
@@ -43,15 +44,22 @@ def encoder(ranks: bytes):
     return tiktoken.Encoding("secrets", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
-def identifier(run: str) -> bool:
-    """Whether a run is a known digest, a UUID, a number or a name rather than a random string."""
+def identifier(run: str, encode, ratio: float = RATIO) -> bool:
+    """Whether a run is a known digest, a UUID, a number or a name rather than a random string. A name's words have enough characters for each token."""
     if len(run) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
         return True
     if re.fullmatch(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", run) or not re.search(r"[A-Za-z]", run):
         return True
     parts = [p for p in re.split(r"[-_/+=]", run) if p]
     # Words, also joined by marks or camel case, with a number at most at an end of each.
-    return all(re.fullmatch(r"\d{0,8}[A-Za-z]?[a-z]*(?:[A-Z][a-z]+){0,6}\d{0,8}|[A-Z]+|\d+", p) for p in parts)
+    if not all(re.fullmatch(r"\d{0,8}[A-Za-z]?[a-z]*(?:[A-Z][a-z]+){0,6}\d{0,8}|[A-Z]+|\d+", p) for p in parts):
+        return False
+    words = [w for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", run) if len(w) > 1]  # a single letter says nothing
+    return all(len(w) >= ratio * _tokens(w, encode) for w in words)
+
+
+def _tokens(run: str, encode) -> int:
+    return sum(len(encode(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -67,10 +75,7 @@ def random_spans(text: str, encode, ratio: float = RATIO) -> list[tuple[int, int
     out = []
     for m in re.finditer(RUN, text):
         run = m[0]
-        if identifier(run):
-            continue
-        tokens = sum(len(encode(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
-        if len(run) < ratio * tokens:
+        if len(run) < ratio * _tokens(run, encode) and not identifier(run, encode, ratio):
             out.append((m.start(), 3, m.end()))
     return out
 

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import string
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -449,3 +450,13 @@ def test_extra_columns_with_clashing_names(spark, rows):
     assert neardup.near_duplicates(docs).count() == substrings.repeated_substrings(docs).count() == quality.quality_rules(docs).count() == mixing.mix(docs).count() == n
     assert decontaminate.decontaminate(docs, bench).count() == secrets.find_secrets(docs).count() == n
     assert linededup.drop_boilerplate(docs).columns == [*docs.columns, "_counts"]
+
+
+def test_random_letters_of_one_case_are_found():
+    rng = random.Random(1)
+    encode = secrets.encoder(open(secrets.VOCABULARY, "rb").read()).encode_ordinary
+    for letters, least in ((string.ascii_uppercase, 0.9), (string.ascii_lowercase, 0.7)):
+        runs = ["".join(rng.choice(letters) for _ in range(n)) for n in (20, 32, 64) for _ in range(100)]
+        assert sum(secrets.random_spans(f"see {x} there", encode) == [(4, 3, 4 + len(x))] for x in runs) >= least * len(runs)
+    for name in ("some_long_identifier_name", "MAXIMUM_CONNECTION_TIMEOUT", "getUserAccountBalanceById", "invoice_no_20240101_12345678", "a-b-c-d-e-f-g-h-i-j-k-l", "donaudampfschifffahrtsgesellschaft"):
+        assert secrets.random_spans(name, encode) == []
