@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 #: Java class of the blanks between words; a word is a maximal run of anything else.
 BLANK = r"[\x20\x09-\x0D]+"
+BATCH_BYTES = 4 << 20
 
 
 def words(text: Column) -> Column:
@@ -47,6 +48,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session, which hands rows to Python in batches of at most BATCH_BYTES, whatever the length of texts. A smaller
+    bound stays as it is. Results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 class Scratch:
     """Tables below the shared folder, deleted when the block ends."""
 
@@ -63,7 +74,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(at)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """df as a checkpoint, which outlives the block and goes with the last reference to it."""
+        """df as a checkpoint, which outlives the block. Its files go with the last reference to it if the context was
+        started with spark.cleaner.referenceTracking.cleanCheckpoints, as by tallyspark.session.session()."""
         return df.checkpoint(eager=True)
 
     def folder(self, name: str) -> str:

@@ -7,18 +7,22 @@ elsewhere (in another document or in the same one) is removed, at all its places
    equal anchors at equal places, so only places with equal anchors need to be compared. An anchor's context spans the
    windows it is the anchor of; each window of a document lies in exactly one context. Anchors that occur once in the
    corpus are dropped by a count over all documents.
-2. Contexts that occur twice or more as a whole repeat in all their windows. What is left are contexts of one
-   occurrence whose anchor also occurs in other contexts.
-3. Reference shards. The distinct contexts of such anchors, with their numbers of occurrences, are dealt out by anchor
-   into shards of up to SHARD words. Each shard gets a suffix automaton whose states know how often their strings
-   occur; its contexts are streamed for matching statistics: at each word, the longest match that occurs twice or more.
-   Matches of LENGTH words or more are spans to remove. The shards grow in number with the corpus, so each automaton
-   stays in the task that reads the contexts dealt to it, instead of going to every executor.
-4. An anchor with more than CROWD distinct contexts would fill a shard by itself. Its windows are counted one by one,
-   by hash, with partial sums before the shuffle; the result is the same.
-
-Defined cases: null, empty and short texts have no windows; repeated rows repeat each other; the digest of a text
-without kept words is that of the empty string.
+2. Reference shards. The distinct contexts of the other anchors, with their numbers of occurrences, are dealt out by
+   anchor into shards of about SHARD words. Each shard gets a suffix automaton over the words themselves, whose states
+   know how often their strings occur; its contexts are streamed for matching statistics: at each word, the longest
+   match that occurs twice or more. Matches of LENGTH words or more are spans to remove. The shards grow in number with
+   the corpus, so each automaton stays in the task that reads the contexts dealt to it, instead of going to every
+   executor. A context that occurs several times matches as a whole, and its span goes to all its occurrences.
+3. An anchor with more than CROWD distinct contexts would fill shards by itself and can't be cut, as any two of its
+   contexts may share a window. Its windows are counted one by one, by 128 bits of hash and with partial sums before the
+   shuffle, which gives the same spans.
+
+Texts are known by 128 bits of their SHA-256. Contexts are folded by 128 bits (anchor and context) of hashes in which
+each place of a sequence has a multiplier of its own; two given sequences share them with probability 2**-128.
+
+Defined cases: null, empty and short texts have no windows; repeated rows repeat each other; of grams that tie for the
+anchor the first in the window holds; very long texts are cut into contexts in blocks; an empty table gives no rows; other columns, whatever their names,
+play no part; the digest of a text without kept words is that of the empty string.
 """
 
 from __future__ import annotations
@@ -31,23 +35,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, quoted, scratch
-from .wordhash import BASE, Words, buffers, constants, grams, mix
+from .common import bounded_batches, joined, quoted, scratch
+from .wordhash import BASE, Words, buffers, constants, content_keys, grams, mix, tidy
 
 LENGTH, GRAM = 35, 10
-SHARD, CROWD = 200_000, 4000
+SHARD, CROWD = 60_000, 4000
+#: Contexts hashed at a time.
+BLOCK = 8192
 
 
 def spans_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """Hashes of the word sequences h[start:end]."""
+    """Hashes of the word sequences h[start:end], none of them empty: sums of word hashes times odd numbers by place."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    length = ends - starts
+    keys = constants(int(length.max(initial=0)), seed)
     with np.errstate(over="ignore"):
-        odd = constants(1, seed)[0]
-        base, inverse = int(odd), pow(int(odd), -1, 1 << 64)
-        n = len(h)
-        up = np.multiply.accumulate(np.full(n + 1, base, dtype=np.uint64))
-        down = np.multiply.accumulate(np.full(n + 1, inverse, dtype=np.uint64))
-        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h + odd) * up[:n], dtype=np.uint64)])
-        return mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64) * np.uint64(BASE))
+        for at in range(0, len(starts), BLOCK):
+            n = length[at : at + BLOCK]
+            begin = np.cumsum(n) - n
+            place = np.arange(begin[-1] + n[-1]) - np.repeat(begin, n)
+            terms = h[np.repeat(starts[at : at + BLOCK], n) + place] * keys[place]
+            out[at : at + BLOCK] = mix(np.add.reduceat(terms, begin) ^ n.astype(np.uint64) * np.uint64(BASE))
+    return out
 
 
 def anchors(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -77,56 +86,47 @@ def anchors(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> a row for each context: content hashes, number of words, anchor, context hash, place, start, end."""
+    """(text) -> a row for each context: the text's key, anchor, context hash, start, end."""
     split = Words()
     for batch in batches:
-        for i, j, text, _, _, h in split.pieces(*buffers(batch.column(0))):
+        data, offsets = buffers(batch.column(0))
+        for i, j, text, _, _, h in split.pieces(data, offsets):
             doc, first, end, at, g = anchors(h, text)
             if not len(doc):
                 continue
-            cut = np.searchsorted(text, np.arange(i, j + 1))
-            hi, lo = contents(h, cut)
-            base = cut[doc - i]
+            base = np.searchsorted(text, np.arange(i, j))[doc - i]
             context = spans_hash(h, first, end, 31) + (at - first).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in (hi[doc - i], lo[doc - i], g, context, at - base, first - base, end - base)],
-                ["hi", "lo", "anchor", "context", "place", "s", "e"],
-            )
-
-
-def contents(h: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each document's word sequence."""
-    a, b = cut[:-1], cut[1:]
-    return spans_hash(h, a, b, 41), spans_hash(h, a, b, 43)
+            key = content_keys(data, offsets[i : j + 1])[doc - i]
+            for k in range(0, len(doc), BLOCK):
+                columns = (key[:, 0], key[:, 1], g.view(np.int64), context.view(np.int64), first - base, end - base)
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + BLOCK]) for x in columns], ["hi", "lo", "anchor", "context", "s", "e"])
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) -> (id, text, hi, lo)."""
-    split = Words()
     for batch in batches:
-        hi, lo = np.zeros(len(batch), dtype=np.uint64), np.zeros(len(batch), dtype=np.uint64)
-        for i, j, text, _, _, h in split.pieces(*buffers(batch.column(1))):
-            hi[i:j], lo[i:j] = contents(h, np.searchsorted(text, np.arange(i, j + 1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))], ["id", "text", "hi", "lo"])
+        key = content_keys(*buffers(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key[:, 0]), pa.array(key[:, 1])], ["id", "text", "hi", "lo"])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hi, lo, text, open) -> a row for each context in open, with its words."""
+    """(hi, lo, text, open) -> a row for each context in open, with its bytes."""
     split = Words()
     for batch in batches:
-        data, at = buffers(batch.column(2))
-        rows = batch.column(3).to_pylist()
-        hi, lo = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        out: list[list] = [[] for _ in range(7)]
-        for i, j, text, s, e, h in split.pieces(data, at):
-            cut = np.searchsorted(text, np.arange(i, j + 1))
-            for k in range(i, j):
-                a = cut[k - i]
-                for c in rows[k]:
-                    word = [data[x:y].tobytes().decode() for x, y in zip(s[a + c["s"] : a + c["e"]].tolist(), e[a + c["s"] : a + c["e"]].tolist(), strict=True)]
-                    for column, value in zip(out, (c["anchor"], c["context"], c["times"], hi[k], lo[k], c["s"], word), strict=True):
-                        column.append(value)
-        yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in out[:6]], pa.array(out[6], pa.list_(pa.string()))], ["anchor", "context", "times", "hi", "lo", "s", "words"])
+        lists = batch.column(3)
+        at, every = lists.offsets.to_numpy(), lists.values
+        start, end = every.field("s").to_numpy(), every.field("e").to_numpy()
+        data, offsets = buffers(batch.column(2))
+        for i, j, text, s, e, _ in split.pieces(data, offsets):
+            word = np.searchsorted(text, np.arange(i, j))
+            for lo in range(int(at[i]), int(at[j]), BLOCK):
+                hi = min(lo + BLOCK, int(at[j]))
+                row = np.searchsorted(at, np.arange(lo, hi), "right") - 1
+                first, last = s[word[row - i] + start[lo:hi]], e[word[row - i] + end[lo:hi] - 1]
+                part, take = every.slice(lo, hi - lo), pa.array(row)
+                words = pa.array([data[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())
+                columns = [part.field("anchor"), part.field("context"), part.field("times"), batch.column(0).take(take), batch.column(1).take(take), part.field("s"), words]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "context", "times", "hi", "lo", "s", "words"])
 
 
 class SuffixAutomaton:
@@ -204,42 +204,49 @@ def repeated_spans(contexts: list[tuple[list[int], int]], wanted: list[bool], le
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, context, times, hi, lo, s, words) sorted by anchor -> (hi, lo, s, e)."""
-
-    def shard(rows: list[dict]) -> pa.RecordBatch:
-        number: dict = {}
-        contexts = [([number.setdefault((r["anchor"], w), len(number)) for w in r["words"]], r["times"]) for r in rows]
-        found = repeated_spans(contexts, [r["times"] == 1 for r in rows])
-        out = [(r["hi"], r["lo"], r["s"] + a, r["s"] + b) for r, spans in zip(rows, found, strict=True) for a, b in spans]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["hi", "lo", "s", "e"])
-
-    rows: list[dict] = []
+    """Rows (anchor, context, times, hi, lo, s, words) sorted by anchor -> (anchor, context, times, hi, lo, s, e): a span
+    of the context's first occurrence, the whole of it where it occurs several times."""
+
+    def shard(rows: list[tuple]) -> pa.RecordBatch:
+        contexts, number, anchor = [], {}, None
+        count = 0
+        for r in rows:
+            if r[0] != anchor:  # contexts of different anchors have nothing to do with each other
+                count, anchor, number = count + len(number), r[0], {}
+            contexts.append(([count + number.setdefault(w, len(number)) for w in r[6].split()], r[2]))
+        found = repeated_spans(contexts, [True] * len(rows))
+        out = [(*r[:5], r[5] + a, r[5] + b) for r, spans in zip(rows, found, strict=True) for a, b in spans]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(7)], ["anchor", "context", "times", "hi", "lo", "s", "e"])
+
+    rows: list[tuple] = []
     size = 0
     for batch in batches:
-        for r in batch.to_pylist():
-            if size >= SHARD and r["anchor"] != rows[-1]["anchor"]:
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if size >= SHARD and r[0] != rows[-1][0]:
                 yield shard(rows)
                 rows, size = [], 0
             rows.append(r)
-            size += len(r["words"])
+            size += r[6].count(b" ") + 1
     if rows:
         yield shard(rows)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, context, times, hi, lo, s, words) -> a row for each window: hashes, times, content, start."""
+    """Rows (anchor, context, times, hi, lo, s, words) -> a row for each window: hashes, times, text's key, start."""
     split = Words()
     for batch in batches:
-        texts = pa.array([" ".join(w) for w in batch.column(6).to_pylist()])
-        for i, j, text, _, _, h in split.pieces(*buffers(texts)):
+        for i, j, text, _, _, h in split.pieces(*buffers(batch.column(6))):
             cut = np.searchsorted(text, np.arange(i, j + 1))
-            for k in range(i, j):
-                own = h[cut[k - i] : cut[k - i + 1]]
-                a = np.arange(len(own) - LENGTH + 1)
-                r = {c: batch.column(c)[k].as_py() for c in ("anchor", "times", "hi", "lo", "s")}
-                x, y = spans_hash(own, a, a + LENGTH, 51), spans_hash(own, a, a + LENGTH, 53)
-                same = [pa.array(np.full(len(a), r[c])) for c in ("anchor", "times", "hi", "lo")]
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), *same, pa.array(a + r["s"])], ["x", "y", "anchor", "times", "hi", "lo", "s"])
+            many = np.maximum(np.diff(cut) - LENGTH + 1, 0)
+            row = np.repeat(np.arange(i, j), many)
+            off = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            a = cut[row - i] + off
+            for k in range(0, len(row), BLOCK):
+                part, take = a[k : k + BLOCK], pa.array(row[k : k + BLOCK])
+                x, y = (pa.array(spans_hash(h, part, part + LENGTH, seed).view(np.int64)) for seed in (51, 53))
+                same = [batch.column(c).take(take) for c in ("anchor", "times", "hi", "lo")]
+                first = batch.column("s").take(take).to_numpy() + off[k : k + BLOCK]
+                yield pa.RecordBatch.from_arrays([x, y, *same, pa.array(first)], ["x", "y", "anchor", "times", "hi", "lo", "s"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,30 +282,35 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, spans), one row for each row of docs; spans (s, e) are of words."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
-    places = docs.select(F.col(quoted(text_col)).alias("text")).where("text is not null").mapInArrow(_documents, "hi long, lo long, anchor long, context long, place long, s long, e long")
+    places = plain.select("text").where("text is not null").mapInArrow(lambda b: tidy(_documents(b)), "hi long, lo long, anchor long, context long, s long, e long")
     keyed = plain.mapInArrow(_keyed, f"id {kind}, text string, hi long, lo long")
+    fetched = "anchor long, context long, times long, hi long, lo long, s long, words binary"
     with scratch(spark) as s:
         shared = s.save(places.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor"))
         occurs = s.save(joined(places, shared, ["anchor"], "inner"))
         contexts = s.save(occurs.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("hi", "lo", "s", "e")).alias("one")))
-        # Contexts of several occurrences are repeated as a whole.
-        many = contexts.where("times > 1").select("anchor", "context")
-        sure = occurs.join(many, ["anchor", "context"], "left_semi").select("hi", "lo", "s", "e").distinct()
-        # The others are compared with all contexts of their anchor.
-        mixed = contexts.groupBy("anchor").agg(F.count("*").alias("contexts"), F.min("times").alias("least")).where("contexts > 1 and least = 1")
-        open_ = contexts.join(mixed.select("anchor", "contexts"), "anchor")
-        asked = s.save(open_.groupBy("one.hi", "one.lo").agg(F.collect_list(F.struct("anchor", "context", "times", "contexts", F.col("one.s").alias("s"), F.col("one.e").alias("e"))).alias("open")))
+        crowded = s.save(contexts.groupBy("anchor").agg(F.count("*").alias("contexts")).where(F.col("contexts") > CROWD).select("anchor"))
+
+        # The words of each distinct context, from the text it was first seen in.
+        asked = s.save(contexts.groupBy("one.hi", "one.lo").agg(F.collect_list(F.struct("anchor", "context", "times", F.col("one.s").alias("s"), F.col("one.e").alias("e"))).alias("open")))
         texts = joined(keyed, asked.select("hi", "lo"), ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.any_value("text").alias("text"))
-        words = s.save(joined(texts, asked, ["hi", "lo"], "inner").select("hi", "lo", "text", "open").mapInArrow(_fetch, "anchor long, context long, times long, hi long, lo long, s long, words array<string>"))
-        words = joined(words, s.save(mixed.select("anchor", "contexts")), ["anchor"], "inner").select("anchor", "context", "times", "hi", "lo", "s", "words", "contexts")
-        usual = words.where(F.col("contexts") <= CROWD).drop("contexts")
-        matched = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_match, "hi long, lo long, s long, e long")
-        crowd = words.where(F.col("contexts") > CROWD).drop("contexts").mapInArrow(_windows, "x long, y long, anchor long, times long, hi long, lo long, s long")
-        twice = crowd.groupBy("anchor", "x", "y").agg(F.sum("times").alias("all")).where(F.col("all") > 1)
-        counted = crowd.where("times = 1").join(twice, ["anchor", "x", "y"], "left_semi").select("hi", "lo", "s", (F.col("s") + LENGTH).alias("e"))
-        spans = s.save(sure.unionByName(matched).unionByName(counted).groupBy("hi", "lo").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+        words = s.save(joined(texts, asked, ["hi", "lo"], "inner").select("hi", "lo", "text", "open").mapInArrow(lambda b: tidy(_fetch(b)), fetched))
+
+        usual = joined(words, crowded, ["anchor"], "left_anti").select(words.columns)
+        matched = s.save(usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: tidy(_match(b)), "anchor long, context long, times long, hi long, lo long, s long, e long"))
+        own = matched.where("times = 1").select("hi", "lo", "s", "e")
+        whole = matched.where("times > 1").select("anchor", "context")
+
+        crowd = joined(words, crowded, ["anchor"], "inner").select(words.columns)
+        each = crowd.mapInArrow(_windows, "x long, y long, anchor long, times long, hi long, lo long, s long")
+        twice = each.groupBy("anchor", "x", "y").agg(F.sum("times").alias("all")).where(F.col("all") > 1)
+        counted = each.where("times = 1").join(twice, ["anchor", "x", "y"], "left_semi").select("hi", "lo", "s", (F.col("s") + LENGTH).alias("e"))
+        whole = whole.unionByName(crowd.where("times > 1").select("anchor", "context"))
+
+        everywhere = occurs.join(whole, ["anchor", "context"], "left_semi").select("hi", "lo", "s", "e").distinct()
+        spans = s.save(own.unionByName(everywhere).unionByName(counted).groupBy("hi", "lo").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
         out = joined(keyed, spans, ["hi", "lo"], "left").select("id", "text", "spans")
-        return s.keep(out.mapInArrow(_cut, f"id {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<s:long,e:long>>"))
+        return s.keep(out.mapInArrow(lambda b: tidy(_cut(b)), f"id {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<s:long,e:long>>"))

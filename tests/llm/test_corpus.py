@@ -83,40 +83,39 @@ def test_words_and_hashes():
 
 
 def brute_groups(rows):
-    texts = {}
-    for i, t, _ in rows:
-        if i is not None:
-            texts[i] = max(texts.get(i, ""), t or "", key=lambda s: (len(s), s))
+    """(id, text) -> (size of its set, smallest id reachable)."""
     sets = {}
-    for i, t in texts.items():
+    for i, t, _ in rows:
         w = split(lower(t))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    ids = sorted(sets)
-    group = {i: i for i in ids}
+        if i is not None:
+            sets[i, t] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    nodes = sorted(sets, key=lambda x: (x[0], str(x[1])))
+    group = {i: i for i in nodes}
 
     def find(x):
         while group[x] != x:
             x = group[x]
         return x
 
-    for a in ids:
-        for b in ids:
+    for k, a in enumerate(nodes):
+        for b in nodes[k + 1 :]:
             both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= 75 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                group[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)), key=nodes.index)
+                group[y] = x
+    return {i: (len(sets[i]), find(i)[0]) for i in nodes}
 
 
 def test_near_duplicates_match_brute_force(spark, rows):
+    rows = [*rows, (7, rows[0][1], "s1"), (7, "a b c d e f g", "s1"), (8, "a b c d e f g", "s2")]  # ids that repeat with other texts
     got = neardup.near_duplicates(frame(spark, rows)).collect()
     want = brute_groups(rows)
-    assert len(got) == len(rows)
-    for r in got:
-        if r.doc_id is None:
-            assert r.kept and r.component_id is None
-        else:
-            assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], want[r.doc_id][1] == r.doc_id)
+    one = lambda i, t: (i, *want[i, t], want[i, t][1] == i) if i is not None else (None, len({*zip(*[split(lower(t))[k:] for k in range(5)])}), None, True)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == Counter(one(i, t) for i, t, _ in rows)
+    named = frame(spark, [(i, t, s) for i, t, s in rows if i != 7]).withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 3, "0")))
+    again = {r.doc_id: r.component_id for r in neardup.near_duplicates(named).collect() if r.doc_id}
+    first = {i: g for (i, _), (_, g) in brute_groups([r for r in rows if r[0] != 7]).items()}
+    assert again == {f"d{i:03}": f"d{g:03}" for i, g in first.items()}
 
 
 def test_prefix_pairs_find_all_links_between_components(spark, rows):
@@ -184,7 +183,7 @@ def test_fm_index_matches_scanning():
     seq = rng.integers(1, 6, 500)
     index = decontaminate.FMIndex(seq, 6)
     patterns = rng.integers(1, 6, (80, 4))
-    lo, hi = index.search(patterns)
+    lo, hi = index.search(patterns.ravel(), np.arange(80) * 4, 4)
     for p, a, b in zip(patterns, lo, hi):
         want = [k for k in range(len(seq) - 3) if (seq[k : k + 4] == p).all()]
         assert sorted(index.locate(np.arange(a, b)).tolist()) == want
@@ -460,3 +459,32 @@ def test_random_letters_of_one_case_are_found():
         assert sum(secrets.random_spans(f"see {x} there", encode) == [(4, 3, 4 + len(x))] for x in runs) >= least * len(runs)
     for name in ("some_long_identifier_name", "MAXIMUM_CONNECTION_TIMEOUT", "getUserAccountBalanceById", "invoice_no_20240101_12345678", "a-b-c-d-e-f-g-h-i-j-k-l", "donaudampfschifffahrtsgesellschaft"):
         assert secrets.random_spans(name, encode) == []
+
+
+def thue_morse(n, yes, no):
+    """Two arrangements of two values that polynomials modulo 2**64 can't tell apart."""
+    a = [yes if bin(k).count("1") % 2 else no for k in range(n)]
+    return a, [no if x == yes else yes for x in a]
+
+
+def test_hashes_tell_arrangements_apart(spark):
+    import pyarrow as pa
+
+    from tallyspark.llm.wordhash import LONG, buffers
+
+    a, b = ("".join(x) for x in thue_morse(2048, "a", "b"))
+    texts = [a, b, a * 3, b * 3, a + b, b + a]
+    assert max(map(len, texts)) > LONG
+    for w in (Words(), Words(NOT_ALNUM, lower=True)):
+        assert len({int(x) for *_, h in w.pieces(*buffers(pa.array(texts))) for x in h}) == len(texts)
+    found = decontaminate.decontaminate(frame(spark, [(1, f"{a} or {b}", "s"), (2, b, "s")]), spark.createDataFrame([("i", a)], "item_id string, text string")).collect()
+    assert {r.id: r.n_hit for r in found} == {1: 1, 2: 0}
+    one, two = thue_morse(1024, "yes", "no")
+    docs = [[w for k, x in enumerate(seq) for w in (x, *(f"u{side}x{k}x{j}" for j in range(10)))] for side, seq in enumerate((one, two))]
+    docs += [*thue_morse(1024, "yes", "no")]  # these repeat within themselves
+    frame_ = frame(spark, [(k, " ".join(w), "s") for k, w in enumerate(docs)])
+    got = {r.id: r for r in substrings.repeated_substrings(frame_).collect()}
+    assert got[0].n_removed == got[1].n_removed == 0 and [got[k].n_words for k in range(4)] == [11264, 11264, 1024, 1024]
+    assert [(r.n_words, r.n_removed, r.kept_sha256) for _, r in sorted(got.items())] == brute_substrings([(k, " ".join(w), "s") for k, w in enumerate(docs)])
+    near = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame_).collect()}
+    assert near == {i: g for (i, _), (_, g) in brute_groups([(k, " ".join(w), "s") for k, w in enumerate(docs)]).items()}
