@@ -5,13 +5,17 @@ documents of a task make shards of up to SHARD words. A shard's index is the Bur
 numbers in a wavelet matrix, with every STEP-th suffix position kept. All windows are searched backwards at once
 through the matrix's ranks, their occurrences are located by walking to a kept position, and each document's
 occurrences are merged into removal spans of words. What goes into the index are the runs of benchmark words that are at least as long as
-the shortest window: no window can occur anywhere else.
+the shortest window: no window can occur anywhere else. A word counts as a benchmark word if it shares its 64-bit hash
+(wordhash.py): by chance a foreign word does so once in about 10**13 words for a block's vocabulary, and a hit needs a
+whole window of them.
 
-The benchmark is the stated query set. It is read in blocks of up to BLOCK_BYTES of text, and each block is broadcast
-and searched in a pass of its own over the documents, which hand on the spans and items found so far.
+The benchmark is the stated query set. It is read in blocks of up to BLOCK_BYTES of text, and each block is broadcast,
+as word numbers and places in them, and searched in a pass of its own over the documents, which hand on the spans and
+items found so far.
 
 Defined cases: null texts have no words and are clean; items that are null, wordless or without an id are no items;
-repeated rows are judged one by one; an empty benchmark leaves everything clean.
+an item id that repeats counts once among a document's items; repeated rows are judged one by one; a very long text is searched in parts that overlap by a window; an
+empty benchmark leaves everything clean; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted
-from .wordhash import NOT_ALNUM, Words, buffers
+from .common import bounded_batches, quoted
+from .wordhash import NOT_ALNUM, Words, buffers, grams, mix, tidy
 
 WINDOW = 13
-SHARD, STEP = 1 << 20, 8
-BLOCK_BYTES = 16 << 20
+SHARD, STEP = 1 << 18, 8
+BLOCK_BYTES = 4 << 20
 
 
 class WaveletMatrix:
@@ -99,12 +103,12 @@ class FMIndex:
         self.mark = WaveletMatrix(kept.astype(np.int64), 1)
         self.kept, self.places = kept, order[kept]
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ranges of suffixes that start with each row of patterns."""
-        lo, hi = np.zeros(len(patterns), dtype=np.int64), np.full(len(patterns), self.bwt.n, dtype=np.int64)
-        live = np.arange(len(patterns))
-        for j in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[live, j]
+    def search(self, words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges of suffixes that start with words[start : start + n]."""
+        lo, hi = np.zeros(len(starts), dtype=np.int64), np.full(len(starts), self.bwt.n, dtype=np.int64)
+        live = np.arange(len(starts))
+        for j in range(n - 1, -1, -1):
+            c = words[starts[live] + j].astype(np.int64)
             lo[live], hi[live] = self.first[c] + self.bwt.rank(c, lo[live]), self.first[c] + self.bwt.rank(c, hi[live])
             live = live[lo[live] < hi[live]]
         return lo, np.maximum(lo, hi)
@@ -125,23 +129,49 @@ class FMIndex:
 
 
 def windows(items: list[tuple[str, str | None]]) -> dict:
-    """The distinct windows of (item, text) pairs: vocabulary (sorted hashes; word numbers are 2 and up), for each length
-    the windows, and the items of each window."""
+    """The distinct windows of (item, text) pairs: vocabulary (sorted hashes; word numbers are 2 and up), the words of all
+    items, the items' ids, and for each length (first word of each window, its owners' ends in `owners`, owners)."""
     split = Words(NOT_ALNUM, lower=True)
-    data, at = buffers(pa.array([t for _, t in items], pa.string()))
-    every = [np.empty(0, dtype=np.uint64)] * len(items)
-    for i, j, text, _, _, h in split.pieces(data, at):
-        cut = np.searchsorted(text, np.arange(i, j + 1))
-        for k in range(i, j):
-            every[k] = h[cut[k - i] : cut[k - i + 1]]
-    vocabulary = np.unique(np.concatenate(every)) if items else np.empty(0, dtype=np.uint64)
-    found: dict[int, dict[tuple, set]] = {}
-    for (item, _), h in zip(items, every, strict=True):
-        ids = (np.searchsorted(vocabulary, h) + 2).tolist()
-        n = min(WINDOW, len(ids))
-        for k in range(len(ids) - n + 1 if n else 0):
-            found.setdefault(n, {}).setdefault(tuple(ids[k : k + n]), set()).add(item)
-    return {"vocabulary": vocabulary, "windows": {n: (np.array(list(w), dtype=np.int64), [sorted(x) for x in w.values()]) for n, w in found.items()}}
+    names = sorted({i for i, _ in items})
+    hashes, ends = [np.empty(0, dtype=np.uint64)], []
+    for i, j, text, _, _, h in split.pieces(*buffers(pa.array([t for _, t in items], pa.string()))):
+        hashes.append(h)
+        ends.append(np.bincount(text - i, minlength=j - i))
+    h, count = np.concatenate(hashes), np.concatenate([np.empty(0, dtype=np.int64), *ends])
+    vocabulary = np.unique(h)
+    words = (np.searchsorted(vocabulary, h) + 2).astype(np.int32)
+    first = np.cumsum(count) - count
+    number = {name: k for k, name in enumerate(names)}
+    owner = np.array([number[i] for i, _ in items], dtype=np.int64)
+    found = {}
+    for n in np.unique(np.minimum(count, WINDOW)).tolist():
+        if not n:
+            continue
+        own = np.flatnonzero(np.minimum(count, WINDOW) == n)
+        many = count[own] - n + 1
+        starts = np.repeat(first[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        of = np.repeat(owner[own], many)
+        for seed in range(100):  # until no two different windows share a hash: the first, as a rule
+            key = grams(mix(words.astype(np.uint64)), n, seed)[starts]
+            _, at, which = np.unique(key, return_index=True, return_inverse=True)
+            if all((words[starts + k] == words[starts[at][which] + k]).all() for k in range(n)):
+                break
+        pairs = np.unique(which.astype(np.int64) * max(1, len(names)) + of)
+        found[n] = (starts[at].astype(np.int32), np.searchsorted(pairs // max(1, len(names)), np.arange(len(at)), "right"), (pairs % max(1, len(names))).astype(np.int32))
+    return {"vocabulary": vocabulary, "words": words, "names": names, "windows": found}
+
+
+def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans by document and place, those that touch made one."""
+    if not len(doc):
+        return doc, start, end
+    far = int(end.max()) + 2
+    order = np.lexsort((start, doc))
+    a, b = (doc * far + start)[order], np.maximum.accumulate((doc * far + end)[order])
+    new = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])
+    last = np.r_[new[1:], len(a)] - 1
+    d = doc[order][new]
+    return d, a[new] - d * far, b[last] - d * far
 
 
 def _scan(shared, more: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,17 +183,18 @@ def _scan(shared, more: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
     counts: list[np.ndarray] = []
     runs: list[np.ndarray] = []
     where: list[tuple[int, int, int]] = []  # document, its first word in the run, place in the shard
+    hits: list[tuple[np.ndarray, ...]] = []  # documents, first words, ends
+    items: dict[int, set] = {}
     size = docs = 0
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal rows, counts, runs, where, size, docs
-        hits: dict[int, list[tuple[int, int]]] = {}
-        items: dict[int, set] = {}
+    def search() -> None:
+        """Puts what the shard holds into hits and items."""
+        nonlocal runs, where, size
         if runs:
             index = FMIndex(np.concatenate(runs), len(vocabulary) + 1)
             doc, word, place = (np.array(x) for x in zip(*where, strict=True))
-            for n, (patterns, owners) in query["windows"].items():
-                lo, hi = index.search(patterns)
+            for n, (starts, ends, owners) in query["windows"].items():
+                lo, hi = index.search(query["words"], starts, n)
                 some = np.flatnonzero(hi > lo)
                 times = hi[some] - lo[some]
                 if not len(some):
@@ -172,28 +203,28 @@ def _scan(shared, more: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
                 suffix = np.repeat(lo[some], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 at = index.locate(suffix)
                 run = np.searchsorted(place, at, "right") - 1
-                for d, s in zip(doc[run].tolist(), (word[run] + at - place[run]).tolist(), strict=True):
-                    hits.setdefault(d, []).append((s, s + n))
+                first = word[run] + at - place[run]
+                hits.append(merged(doc[run], first, first + n))
                 for d, w in {*zip(doc[run].tolist(), which.tolist(), strict=True)}:
-                    items.setdefault(d, set()).update(owners[w])
+                    items.setdefault(d, set()).update(query["names"][x] for x in owners[ends[w - 1] if w else 0 : ends[w]].tolist())
+        runs, where, size = [], [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal rows, counts, docs, hits, items
+        search()
         table = pa.Table.from_batches(rows).combine_chunks()
-        old = [table.column(c).to_pylist() if table.num_rows else [] for c in ("starts", "ends", "items")]
-        starts, ends, owned = [], [], []
-        for d in range(table.num_rows):
-            merged: list[list[int]] = []
-            for s, e in sorted([*hits.get(d, ()), *zip(old[0][d], old[1][d], strict=True)]):
-                if merged and s <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], e)
-                else:
-                    merged.append([s, e])
-            starts.append([s for s, _ in merged])
-            ends.append([e for _, e in merged])
-            owned.append(sorted({*old[2][d], *items.get(d, ())}))
-        lists = [pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(owned, pa.list_(pa.string()))]
+        for column in ("starts", "ends", "items"):
+            table = table.set_column(table.schema.get_field_index(column), column, pa.chunked_array([table.column(column).combine_chunks()]))
+        before, ends = (table.column(c).chunk(0) for c in ("starts", "ends"))
+        old = np.repeat(np.arange(table.num_rows), np.diff(before.offsets.to_numpy()))
+        d, s, e = merged(*(np.concatenate(x) for x in zip((old, before.flatten().to_numpy(), ends.flatten().to_numpy()), *hits, strict=True)))
+        cut = pa.array(np.searchsorted(d, np.arange(table.num_rows + 1)), pa.int32())
+        owned = [sorted({*x, *items.get(d, ())}) for d, x in enumerate(table.column("items").to_pylist())]
+        lists = [pa.ListArray.from_arrays(cut, pa.array(s)), pa.ListArray.from_arrays(cut, pa.array(e)), pa.array(owned, pa.list_(pa.string()))]
         text = [table.column("text")] if more else []
         out = pa.Table.from_arrays([table.column("id"), *text, pa.array(np.concatenate(counts) if counts else [], pa.int64()), *lists], ["id", *["text"] * more, "n_words", "starts", "ends", "items"])
         yield from out.combine_chunks().to_batches()
-        rows, counts, runs, where, size, docs = [], [], [], [], 0, 0
+        rows, counts, hits, items, docs = [], [], [], {}, 0
 
     for batch in batches:
         for i, j, text, _, _, h in split.pieces(*buffers(batch.column(1))):
@@ -207,12 +238,16 @@ def _scan(shared, more: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
             length = np.diff(np.r_[edge, len(h)])
             first = np.searchsorted(text, np.arange(i, j))
             for a, n in zip(edge[known[edge] & (length >= least)].tolist(), length[known[edge] & (length >= least)].tolist(), strict=True):
-                runs.append(np.concatenate([number[a : a + n] + 2, [1]]))
-                where.append((docs + int(text[a]) - i, a - int(first[text[a] - i]), size))
-                size += n + 1
+                for b in range(a, a + n, SHARD):  # parts overlap by a window
+                    part = number[b : min(a + n, b + SHARD + WINDOW - 1)] + 2
+                    runs.append(np.append(part, 1))
+                    where.append((docs + int(text[a]) - i, b - int(first[text[a] - i]), size))
+                    size += len(part) + 1
+                    if size >= SHARD:
+                        search()
             rows.append(batch.slice(i, j - i))
             docs += j - i
-            if size >= SHARD or docs >= 20_000:
+            if docs >= 5000:
                 yield from flush()
     if rows:
         yield from flush()
@@ -221,7 +256,7 @@ def _scan(shared, more: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, n_words, n_hit, starts, ends, items, contaminated): one row for each row of docs; starts and ends bound the merged spans of hit words, items are the
     item ids as strings. A document is contaminated if at least one word in twenty is hit."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     items = benchmark.select(F.col(quoted(item_col)).cast("string").alias("item"), F.col(quoted(item_text_col)).alias("text")).where("item is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
@@ -231,7 +266,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast(windows(sorted((r["item"], r["text"]) for r in block.collect())))  # a block: about BLOCK_BYTES of text
         more = k + 1 < blocks
-        out = out.mapInArrow(lambda b, shared=shared, more=more: _scan(shared, more, b), f"id {kind}, {'text string, ' * more}n_words long, starts array<long>, ends array<long>, items array<string>")
+        out = out.mapInArrow(lambda b, shared=shared, more=more: tidy(_scan(shared, more, b)), f"id {kind}, {'text string, ' * more}n_words long, starts array<long>, ends array<long>, items array<string>")
         if more:
             out = out.select("id", "text", "starts", "ends", "items")
     hit = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda t, x: t + x)
