@@ -10,7 +10,7 @@ from tallyspark.llm.common import Scratch, fresh, joined, quoted, scratch
 from tallyspark.llm.decontaminate import decontaminate
 from tallyspark.llm.langid import identify, train
 from tallyspark.llm.linededup import drop_boilerplate
-from tallyspark.llm.mixing import label_weights, mix
+from tallyspark.llm.mixing import label_weights, mixed_rows
 from tallyspark.llm.neardup import near_duplicates
 
 
@@ -35,10 +35,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the one with the smallest id."""
+    """Keeps one document of each group of near-duplicates, the one with the smallest id; of rows that repeat that id in a group,
+    the one with the smallest text hash. Documents without words or without an id stay."""
+    (key,) = fresh(docs, "content")
     with scratch(spark) as s:
-        gone = s.keep(near_duplicates(docs).where("not kept").select("doc_id").distinct())
-    return joined(docs, gone, ["doc_id"], "left_anti").select(*[quoted(c) for c in docs.columns])
+        found = near_duplicates(docs).where("set_no is not null")
+        gone = s.keep(found.where("not kept").select("doc_id", F.col("content").alias(key)).distinct())
+        many = s.save(found.where("kept").groupBy("set_no").agg(F.count("*").alias("rows"), F.min("content").alias("one")).where("rows > 1").select("set_no", "one"))
+        out = joined(docs.withColumn(key, F.xxhash64("text")), gone, ["doc_id", key], "left_anti")
+        if many.limit(1).count():  # rows that repeat an id in a group
+            listed = s.keep(joined(found.where("kept"), many, ["set_no"], "inner").select("doc_id", F.col("content").alias(key), (F.col("content") == F.col("one")).alias("stays")).distinct())
+            one = joined(out, s.save(listed.where("stays").drop("stays")), ["doc_id", key], "left_semi").groupBy("doc_id", key).agg(F.first(F.struct(*[quoted(c) for c in docs.columns])).alias("row"))
+            rest = joined(out, s.save(listed.drop("stays")), ["doc_id", key], "left_anti").select(*[quoted(c) for c in docs.columns])
+            return s.keep(rest.unionByName(one.select("row.*")))
+    return out.select(*[quoted(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,22 +63,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the mix takes, with columns size, source_size, target, taken (words, repeats counted) and epochs (how often the
-    document is taken whole) behind those of the documents."""
+    document is taken whole) behind those of the documents; a name that the documents have stays theirs."""
     names = ["size", "source_size", "target", "taken", "epochs"]
-    key, md5, row, mixed_ = fresh(docs, "id", "text_md5", "row", "mix")
-    with scratch(spark) as s:
-        mixed = s.save(mix(docs, label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))).select(F.col("doc_id").alias(key), F.col("content").alias(md5), F.struct(*names).alias(mixed_)))
-        texts = docs.withColumn(key, F.col("doc_id")).withColumn(md5, F.md5(F.coalesce("text", F.lit(""))))
-        # Rows that repeat id and text are told apart by a number.
-        again = mixed.groupBy(key, md5).agg(F.count("*").alias(row)).where(F.col(row) > 1)
-        if again.limit(1).count():
-            number = F.row_number().over(Window.partitionBy(key, md5).orderBy(F.lit(0)))
-            texts, mixed = texts.withColumn(row, number), mixed.withColumn(row, number)
-        else:
-            texts, mixed = texts.withColumn(row, F.lit(1)), mixed.withColumn(row, F.lit(1))
-        taken = s.keep(mixed.where(F.col(mixed_)["taken"] > 0).withColumn(key, F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    out = joined(texts.withColumn(key, F.coalesce(F.col(key).cast("string"), F.lit(""))), taken, [key, md5, row], "inner")
-    return out.select(*[quoted(c) for c in docs.columns], *[F.col(mixed_)[c].alias(c) for c in names if c not in docs.columns])
+    out = mixed_rows(docs, label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    mixed = F.col(out.columns[-1])
+    return out.where(mixed["taken"] > 0).select(*[quoted(c) for c in docs.columns], *[mixed[c].alias(c) for c in names if c not in docs.columns])
 
 
 STAGES = [

@@ -7,10 +7,13 @@ of its id and text, documents are taken in the order of their keys, and a runnin
 document at the border gives the words that are still missing.
 
 The running sums need no sort of whole sources: keys fall into buckets of about BUCKET documents by a monotone map, sums
-of buckets locate each source's border, and only the border's bucket is put in order.
+of buckets locate each source's border, and only the border's bucket is put in order. What comes out is one row for each
+source with its border, by which each document decides for itself; so texts are not shuffled unless the table of
+weights is too large to be broadcast.
 
 Defined cases: null texts have size 0; a null source is a source of its own, last in order; a source without words has
-target 0; repeated rows are documents of their own; no documents give no rows.
+target 0; documents of equal keys go by text and id; rows that repeat id, text and source are documents of their own with equal results, so if they lie at the
+border, each gets its part of what is missing, rounded down; very long texts count as a whole; no documents give no rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, joined, quoted, scratch, words
+from .common import Scratch, fresh, joined, quoted, scratch, words
 
 MOST = 3
 BUCKET = 5000
@@ -57,43 +60,83 @@ def targets(s: Scratch, sizes: DataFrame, total: int | None = None) -> DataFrame
     return w.select("source", "docs", "size", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
+def keyed(docs: DataFrame, quality: DataFrame | None, id_col: str, text_col: str, source_col: str, name: str) -> DataFrame:
+    """docs with a struct column `name`: doc_id as text, source, size, content (MD5 of the text) and the exponential key.
+    quality(id, weight): a saved table, one row for each id."""
+    text, id_, weight = F.col(quoted(text_col)), F.col(quoted(id_col)), F.lit(1.0)
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    if quality is not None:
+        at, own = fresh(docs, "at", "weight")
+        docs = joined(docs.withColumn(at, id_.cast("string")), quality.select(F.col("id").alias(at), F.col("weight").alias(own)), [at], "left")
+        weight = F.coalesce(F.col(own), F.lit(UNKNOWN))
+    content = F.md5(F.coalesce(text, F.lit("")))
+    source = F.struct(F.col(quoted(source_col)).isNull().alias("none"), F.coalesce(F.col(quoted(source_col)), F.lit("")).alias("name"))
+    fields = [
+        F.coalesce(id_.cast("string"), F.lit("")).alias("id"), source.alias("source"), F.size(words(text)).cast("long").alias("size"), content.alias("content"),
+        (-F.ln(uniform(id_, content)) / weight).alias("key"), weight.alias("weight"),
+    ]
+    return docs.select(*columns, F.struct(*fields).alias(name))
+
+
+def borders(s: Scratch, base: DataFrame, total: int | None) -> DataFrame:
+    """base(id, source, size, content, key, weight), saved -> a row for each source: source, source_size, target, epochs, and the
+    document at its border (key, content, id; null if there is none) with the words that are taken of it, `part`."""
+    sizes = s.save(base.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("size")))
+    named = sizes.select(F.when(~F.col("source.none"), F.col("source.name")).alias("source"), "docs", "size")
+    plan = targets(s, named, total).withColumnRenamed("size", "source_size")
+    plan = plan.withColumn("source", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    plan = plan.withColumn("epochs", epochs.cast("long")).withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    plan = s.save(plan.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("docs") / BUCKET))).drop("docs"))
+
+    # 1 - exp(-key * least weight) is uniform for the least weight and denser by a bounded factor for others.
+    least = base.agg(F.min("weight")).first()[0] or 1.0
+    dealt = joined(base, plan.select("source", "budget", "buckets"), ["source"], "inner")
+    dealt = dealt.withColumn("bucket", F.floor((1 - F.exp(-F.col("key") * least)) * F.col("buckets")).cast("long"))
+    sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.any_value("budget").alias("budget"))
+    before = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    border = s.save(sums.withColumn("before", before).where("before + words > budget").groupBy("source").agg(F.min(F.struct("bucket", "before")).alias("border")))
+    inside = joined(dealt, border, ["source"], "inner").where("bucket = border.bucket").groupBy("source", "key", "content", "id").agg(F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("budget").alias("budget"), F.any_value("border.before").alias("before"))
+    run = F.col("before") + F.coalesce(F.sum(F.col("copies") * F.col("size")).over(Window.partitionBy("source").orderBy("key", "content", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = inside.withColumn("run", run).where("run + copies * size > budget").groupBy("source").agg(F.min(F.struct("key", "content", "id", F.floor((F.col("budget") - F.col("run")) / F.col("copies")).cast("long").alias("part"))).alias("at"))
+    return s.save(plan.join(at, "source", "left").select("source", "source_size", "target", "epochs", "at"))
+
+
+def decided(df: DataFrame, plan: DataFrame, name: str) -> DataFrame:
+    """df, with keyed()'s struct `name`, of which each row decides what is taken of it: source_size, target, epochs and taken come into the struct."""
+    k, source = F.col(name), fresh(df, "source")[0]
+    plan_ = fresh(df, "plan")[0]
+    out = joined(df.withColumn(source, k["source"]), plan.select(F.col("source").alias(source), F.struct("source_size", "target", "epochs", "at").alias(plan_)), [source], "inner")
+    p = F.col(plan_)
+    at, own = p["at"], F.struct(k["key"].alias("key"), k["content"].alias("content"), k["id"].alias("id"))
+    part = F.when(at.isNull(), k["size"]).when((k["id"] == at["id"]) & (k["content"] == at["content"]), at["part"]).when(own < F.struct(at["key"].alias("key"), at["content"].alias("content"), at["id"].alias("id")), k["size"]).otherwise(0)
+    fields = [k["size"].alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"), (p["epochs"] * k["size"] + part).cast("long").alias("taken"), p["epochs"].alias("epochs"), k["content"].alias("content")]
+    return out.withColumn(name, F.struct(*fields)).select(*[F.col(quoted(c)) for c in df.columns])
+
+
+def weights(s: Scratch, quality: DataFrame | None) -> DataFrame | None:
+    """Of quality(doc_id, weight) one row for each id, the largest weight, saved."""
+    return None if quality is None else s.save(quality.where("doc_id is not null").groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.max("weight").cast("double").alias("weight")))
+
+
 def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total: int | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken, epochs, content): one row for each row of docs. taken: the words the
-    mix takes of it, repeats counted; epochs: how often it is taken whole; content: MD5 of the text, to join back by.
+    mix takes of it, repeats counted; epochs: how often it is taken whole; content: MD5 of the text.
     quality(doc_id, weight > 0): weights for sampling, 1 where missing; several for one id: the largest."""
     with scratch(docs.sparkSession) as s:
-        base = docs.select(
-            F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(source_col)).alias("source"), F.size(words(F.col(quoted(text_col)))).cast("long").alias("size"), F.md5(F.coalesce(F.col(quoted(text_col)), F.lit(""))).alias("content")
-        )
-        if quality is None:
-            base = base.withColumn("quality", F.lit(1.0))
-        else:
-            q = s.save(quality.groupBy("doc_id").agg(F.max("weight").cast("double").alias("quality")))
-            base = joined(base, q, ["doc_id"], "left").withColumn("quality", F.coalesce("quality", F.lit(UNKNOWN)))
-        base = s.save(base.withColumn("key", -F.ln(uniform(F.col("doc_id"), F.col("content"))) / F.col("quality")))
-
-        same = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-        sizes = s.save(base.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("size")))
-        plan = targets(s, sizes, total).withColumnRenamed("size", "source_size")
-        epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-        plan = plan.withColumn("epochs", epochs.cast("long")).withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-        plan = s.save(plan.withColumn("same", same).withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("docs") / BUCKET))).drop("source", "docs"))
-
-        # 1 - exp(-key * least weight) is uniform for the least weight and denser by a bounded factor for others.
-        least = base.agg(F.min("quality")).first()[0] or 1.0
-        dealt = joined(base.withColumn("same", same), plan, ["same"], "inner")
-        dealt = dealt.withColumn("bucket", F.floor((1 - F.exp(-F.col("key") * least)) * F.col("buckets")).cast("long"))
-        sums = dealt.groupBy("same", "bucket").agg(F.sum("size").alias("words"), F.any_value("budget").alias("budget"))
-        run = Window.partitionBy("same").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-        border = sums.withColumn("sum", F.sum("words").over(run)).where("sum > budget").groupBy("same").agg(F.min(F.struct("bucket", (F.col("sum") - F.col("words")).alias("before"))).alias("border"))
-        dealt = joined(dealt, s.save(border), ["same"], "left")
-
-        clear = dealt.where("border is null or bucket <> border.bucket").withColumn("part", F.when(F.col("border").isNull() | (F.col("bucket") < F.col("border.bucket")), F.col("size")).otherwise(0))
-        inside = Window.partitionBy("same", "bucket").orderBy("key", "doc_id", "content").rowsBetween(Window.unboundedPreceding, -1)
-        edge = dealt.where("bucket = border.bucket").withColumn("run", F.col("border.before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        edge = edge.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("run")))).drop("run")
-        out = clear.unionByName(edge)
-        return s.keep(out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "epochs", "content"))
+        (name,) = fresh(docs, "mix")
+        base = s.save(keyed(docs, weights(s, quality), id_col, text_col, source_col, name).select(F.col(quoted(id_col)).alias("doc_id"), F.col(name).alias("mix")))
+        return s.keep(decided(base, borders(s, base.select("mix.*"), total), "mix").select("doc_id", "mix.*"))
+
+
+def mixed_rows(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total: int | None = None) -> DataFrame:
+    """docs, all columns of it, with mix()'s results in a struct column `_mix` (or a name like it), the last: rows are decided on
+    where they are read, in a second pass over the texts."""
+    with scratch(docs.sparkSession) as s:
+        (name,) = fresh(docs, "mix")
+        rows = keyed(docs, weights(s, quality), id_col, text_col, source_col, name)
+        plan = borders(s, s.save(rows.select(f"{name}.*")), total)
+        return s.keep(decided(rows, plan, name))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def test_pipeline_by_stages(spark):
             assert len(after) == len(before) and all(r.n_chars == len(r.text) for r in after)
         elif name == "near duplicates":
             groups = brute_groups([(r.doc_id, r.text, r.source) for r in before])
-            assert ids == {i for i, (_, g) in groups.items() if i == g}
+            assert ids == {i for (i, _), (_, g) in groups.items() if i == g}
         elif name == "decontamination":
             words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
             windows = {tuple(v[k : k + 13]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() for v in [words(r.text)] for k in range(max(1, len(v) - 12))}
