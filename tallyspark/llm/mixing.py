@@ -8,8 +8,8 @@ document at the border gives the words that are still missing.
 
 The running sums need no sort of whole sources: keys fall into buckets of about BUCKET documents by a monotone map, sums
 of buckets locate each source's border, and only the border's bucket is put in order. What comes out is one row for each
-source with its border, by which each document decides for itself; so texts are not shuffled unless the table of
-weights is too large to be broadcast.
+source with its border, by which each document decides for itself. Texts are shuffled only where whole rows are mixed and
+weighted by a table that is too large to be broadcast: once, to their weights.
 
 Defined cases: null texts have size 0; a null source is a source of its own, last in order; a source without words has
 target 0; documents of equal keys go by text and id; rows that repeat id, text and source are documents of their own with equal results, so if they lie at the
@@ -60,22 +60,27 @@ def targets(s: Scratch, sizes: DataFrame, total: int | None = None) -> DataFrame
     return w.select("source", "docs", "size", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
-def keyed(docs: DataFrame, quality: DataFrame | None, id_col: str, text_col: str, source_col: str, name: str) -> DataFrame:
-    """docs with a struct column `name`: doc_id as text, source, size, content (MD5 of the text) and the exponential key.
-    quality(id, weight): a saved table, one row for each id."""
-    text, id_, weight = F.col(quoted(text_col)), F.col(quoted(id_col)), F.lit(1.0)
-    columns = [F.col(quoted(c)) for c in docs.columns]
-    if quality is not None:
-        at, own = fresh(docs, "at", "weight")
-        docs = joined(docs.withColumn(at, id_.cast("string")), quality.select(F.col("id").alias(at), F.col("weight").alias(own)), [at], "left")
-        weight = F.coalesce(F.col(own), F.lit(UNKNOWN))
-    content = F.md5(F.coalesce(text, F.lit("")))
-    source = F.struct(F.col(quoted(source_col)).isNull().alias("none"), F.coalesce(F.col(quoted(source_col)), F.lit("")).alias("name"))
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, name: str) -> DataFrame:
+    """docs with a struct column `name`: id as text, source, size and content (MD5 of the text)."""
+    text, source = F.col(quoted(text_col)), F.col(quoted(source_col))
     fields = [
-        F.coalesce(id_.cast("string"), F.lit("")).alias("id"), source.alias("source"), F.size(words(text)).cast("long").alias("size"), content.alias("content"),
-        (-F.ln(uniform(id_, content)) / weight).alias("key"), weight.alias("weight"),
+        F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("")).alias("id"), F.struct(source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name")).alias("source"),
+        F.size(words(text)).cast("long").alias("size"), F.md5(F.coalesce(text, F.lit(""))).alias("content"),
     ]
-    return docs.select(*columns, F.struct(*fields).alias(name))
+    return docs.withColumn(name, F.struct(*fields))
+
+
+def keyed(df: DataFrame, quality: DataFrame | None, name: str) -> DataFrame:
+    """df, whose struct `name` comes from sized(), with weight and exponential key added to the struct.
+    quality(id, weight): one row for each id. Spark picks the join by the table's size."""
+    columns, x = [quoted(c) for c in df.columns if c != name], F.col(name)
+    weight = F.lit(1.0)
+    if quality is not None:
+        at, own = fresh(df, "at", "weight")
+        df = df.withColumn(at, x["id"]).join(quality.select(F.col("id").alias(at), F.col("weight").alias(own)), at, "left")
+        weight = F.coalesce(F.col(own), F.lit(UNKNOWN))
+    key = -F.ln(uniform(x["id"], x["content"])) / weight
+    return df.select(*columns, F.struct(*[x[c].alias(c) for c in ("id", "source", "size", "content")], key.alias("key"), weight.alias("weight")).alias(name))
 
 
 def borders(s: Scratch, base: DataFrame, total: int | None) -> DataFrame:
@@ -125,18 +130,19 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
     quality(doc_id, weight > 0): weights for sampling, 1 where missing; several for one id: the largest."""
     with scratch(docs.sparkSession) as s:
         (name,) = fresh(docs, "mix")
-        base = s.save(keyed(docs, weights(s, quality), id_col, text_col, source_col, name).select(F.col(quoted(id_col)).alias("doc_id"), F.col(name).alias("mix")))
+        narrow = sized(docs, id_col, text_col, source_col, name).select(F.col(quoted(id_col)).alias("doc_id"), F.col(name).alias("mix"))
+        base = s.save(keyed(narrow, weights(s, quality), "mix"))
         return s.keep(decided(base, borders(s, base.select("mix.*"), total), "mix").select("doc_id", "mix.*"))
 
 
 def mixed_rows(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total: int | None = None) -> DataFrame:
-    """docs, all columns of it, with mix()'s results in a struct column `_mix` (or a name like it), the last: rows are decided on
-    where they are read, in a second pass over the texts."""
+    """docs, all columns of it, with mix()'s results in a struct column `_mix` (or a name like it), the last. Borders come from a
+    first pass over the texts; in the second, rows are decided on where they are read."""
     with scratch(docs.sparkSession) as s:
         (name,) = fresh(docs, "mix")
-        rows = keyed(docs, weights(s, quality), id_col, text_col, source_col, name)
-        plan = borders(s, s.save(rows.select(f"{name}.*")), total)
-        return s.keep(decided(rows, plan, name))
+        rows, known = sized(docs, id_col, text_col, source_col, name), weights(s, quality)
+        plan = borders(s, s.save(keyed(rows.select(name), known, name).select(f"{name}.*")), total)
+        return s.keep(decided(keyed(rows, known, name), plan, name))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
