@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, quoted
-from .wordhash import NOT_ALNUM, Words, buffers, grams, mix, tidy
+from .wordhash import NOT_ALNUM, Words, buffers, give_back, grams, mix, tidy
 
 WINDOW = 13
 SHARD, STEP = 1 << 18, 8
@@ -265,6 +265,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast(windows(sorted((r["item"], r["text"]) for r in block.collect())))  # a block: about BLOCK_BYTES of text
+        give_back()
         more = k + 1 < blocks
         out = out.mapInArrow(lambda b, shared=shared, more=more: tidy(_scan(shared, more, b)), f"id {kind}, {'text string, ' * more}n_words long, starts array<long>, ends array<long>, items array<string>")
         if more:

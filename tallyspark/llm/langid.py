@@ -5,11 +5,13 @@ either end), hashed into BUCKETS rows of an embedding table. Their mean goes thr
 scaled by a temperature fitted on labelled texts kept out of training, and a text is rejected if its calibrated score,
 or the share of its features that training has seen, lies below what all but REJECT of those texts reach.
 
-Training takes a bounded sample: SAMPLE labelled texts of up to LONGEST characters, in equal shares by language, chosen
-by a hash of id and text. Prediction reads whole texts.
+Training takes a bounded sample: SAMPLE labelled texts, in equal shares by language, chosen by a hash of id and text, and of
+a text of more than LONGEST characters a piece of that length at a place chosen by the hash. If the labels name more
+than MOST_LANGUAGES languages, the most frequent ones are learned, ties by name. Prediction reads whole texts.
 
 Defined cases: a null text and one without a letter are `und` with score 0 and rejected; without any labelled text all
-are; rows with a null id or language are not learned from; repeated rows get equal results.
+are; rows with a null id or language are not learned from; of languages that tie for a text the first by name holds; repeated rows get equal results; very long texts are
+read in pieces; an empty table gives no rows; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted
-from .wordhash import buffers
+from .common import bounded_batches, quoted
+from .wordhash import buffers, give_back, tidy
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 17, 16, 5, 0.5
 SAMPLE, LONGEST, MOST_LANGUAGES = 3000, 20_000, 500
@@ -39,7 +41,7 @@ def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     fold[128:] = np.arange(128, 256)
     b = fold[data]
     if len(b) < 3:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64)
     inner = b != 32
     three = b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)
     with np.errstate(over="ignore"):
@@ -47,7 +49,7 @@ def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         id3 = (three[ok3] * np.uint32(2654435761)) >> np.uint32(15)
         ok4 = np.flatnonzero(inner[1:-2] & inner[2:-1])
         id4 = ((three[ok4] | b[3:][ok4] << np.uint32(24)) * np.uint32(2246822519) + np.uint32(374761393)) >> np.uint32(15)
-    return np.concatenate([id3, id4]).astype(np.int64), np.concatenate([ok3, ok4])
+    return np.concatenate([id3, id4]).astype(np.int32), np.concatenate([ok3, ok4])
 
 
 def framed(text: bytes) -> np.ndarray:
@@ -148,21 +150,27 @@ def _predict(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> dict | None:
     """A model from docs whose crc32 of the id as text, modulo 4, is not 2: 3 calibrates, 0 and 1 train. None without labels."""
     rest = F.crc32(F.col(quoted(id_col)).cast("string").cast("binary")) % 4
-    rows = docs.select(F.col(quoted(id_col)).cast("string").alias("id"), F.col(quoted(text_col)).alias("text"), F.col(quoted(lang_col)).alias("lang"), rest.alias("rest")).where("lang is not null and text is not null and rest <> 2").where(F.length("text") <= LONGEST)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: {lang_col} holds no language")
+    text = F.col(quoted(text_col))
+    rows = docs.select(F.col(quoted(id_col)).cast("string").alias("id"), text.alias("text"), F.col(quoted(lang_col)).alias("lang"), rest.alias("rest")).where("lang is not null and text is not null and rest <> 2")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return None
     quota = max(20, sample // len(counts))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, quota / r["count"])))])
-    picked = rows.where((F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)) < F.element_at(share, F.col("lang")))
-    got = sorted((r["id"], r["text"], r["lang"], r["rest"] == 3) for r in picked.select("id", "text", "lang", "rest").limit(2 * sample + 20 * len(counts)).collect())
-    return fit([r[1] for r in got], [r[2] for r in got], [r[3] for r in got])
+    draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30))
+    picked = rows.withColumn("draw", draw).where(F.col("draw") / float(1 << 30) < F.try_element_at(share, F.col("lang")))
+    piece = F.substring(F.col("text"), F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - LONGEST, F.lit(0)) + 1).cast("int") + 1, F.lit(LONGEST))
+    # Twice as many as are to be expected: the bound on what comes to the driver.
+    few = picked.orderBy("draw", "id", "text").limit(2 * sample + 20 * len(counts)).select("id", piece.alias("text"), "lang", "rest")
+    got = sorted((r["id"], r["text"], r["lang"], r["rest"] == 3) for r in few.collect())
+    model = fit([r[1] for r in got], [r[2] for r in got], [r[3] for r in got])
+    del got
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, known_share, rejected) for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of at most DIM numbers: up to 8.4 MB
+    shared = bounded_batches(docs.sparkSession).sparkContext.broadcast(model)  # BUCKETS rows of at most DIM numbers: up to 8.4 MB
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(lambda b: _predict(shared, b), f"id {kind}, lang_pred string, score double, known_share double, rejected boolean")
+    return docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(lambda b: tidy(_predict(shared, b)), f"id {kind}, lang_pred string, score double, known_share double, rejected boolean")

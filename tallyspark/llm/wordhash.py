@@ -146,15 +146,20 @@ def content_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Returns memory that this process has used and no longer needs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """batches, after which the worker gives memory back that it no longer uses: Spark keeps it for later tasks."""
+    """batches, after which the worker gives memory back: Spark keeps it for later tasks."""
     try:
         yield from batches
     finally:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
-            trim(0)
+        give_back()
 
 
 def grams(h: np.ndarray, n: int, seed: int = 11) -> np.ndarray:
