@@ -167,8 +167,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         plain = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
         plain = plain.withColumn("content", F.xxhash64("text"))
         signed = s.save(plain.mapInArrow(lambda b: tidy(_sign(b)), f"id {kind}, content long, n long, hi long, lo long, sig array<long>"))
-        folded = signed.where("id is not null and n > 0").groupBy("hi", "lo", "n").agg(F.min(F.struct("id", "content")).alias("one"), F.any_value("sig").alias("sig"))
-        nodes = s.save(folded.select(F.monotonically_increasing_id().alias("node"), "hi", "lo", "n", F.col("one.id").alias("id"), F.col("one.content").alias("content"), "sig"))
+        folded = s.save(signed.where("id is not null and n > 0").groupBy("hi", "lo", "n").agg(F.min(F.struct("id", "content")).alias("one"), F.any_value("sig").alias("sig")))
+        # Numbers follow the ids, so that the centre of a bucket is its first document, of which later ones are mostly copies.
+        nodes = s.save(folded.orderBy("one").select(F.monotonically_increasing_id().alias("node"), "hi", "lo", "n", F.col("one.id").alias("id"), F.col("one.content").alias("content"), "sig"))
 
         # A table's key is a pair of collections; those that no other set shares cannot meet anything.
         each = nodes.select("node", "n", F.explode("sig").alias("value"))
