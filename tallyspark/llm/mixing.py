@@ -8,8 +8,8 @@ document at the border gives the words that are still missing.
 
 The running sums need no sort of whole sources: keys fall into buckets of about BUCKET documents by a monotone map, sums
 of buckets locate each source's border, and only the border's bucket is put in order. What comes out is one row for each
-source with its border, by which each document decides for itself. Texts are shuffled only where whole rows are mixed and
-weighted by a table that is too large to be broadcast: once, to their weights.
+source with its border, by which each document decides for itself. Texts are shuffled once where whole rows are mixed, to meet
+their weights, and otherwise not at all.
 
 Defined cases: null texts have size 0; a null source is a source of its own, last in order; a source without words has
 target 0; documents of equal keys go by text and id; rows that repeat id, text and source are documents of their own with equal results, so if they lie at the
@@ -72,12 +72,12 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, name: st
 
 def keyed(df: DataFrame, quality: DataFrame | None, name: str) -> DataFrame:
     """df, whose struct `name` comes from sized(), with weight and exponential key added to the struct.
-    quality(id, weight): one row for each id. Spark picks the join by the table's size."""
+    quality(id, weight): one row for each id. It grows with the documents, so both sides are dealt out by id and never broadcast."""
     columns, x = [quoted(c) for c in df.columns if c != name], F.col(name)
     weight = F.lit(1.0)
     if quality is not None:
         at, own = fresh(df, "at", "weight")
-        df = df.withColumn(at, x["id"]).join(quality.select(F.col("id").alias(at), F.col("weight").alias(own)), at, "left")
+        df = df.withColumn(at, x["id"]).join(quality.select(F.col("id").alias(at), F.col("weight").alias(own)).hint("merge"), at, "left")
         weight = F.coalesce(F.col(own), F.lit(UNKNOWN))
     key = -F.ln(uniform(x["id"], x["content"])) / weight
     return df.select(*columns, F.struct(*[x[c].alias(c) for c in ("id", "source", "size", "content")], key.alias("key"), weight.alias("weight")).alias(name))
