@@ -2,83 +2,103 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .amounts import amount_like, money_shape, parse_amount
-from .dates import any_date
-from .text import SPACE, let, strip
-
-#: Words of column headings by task; the first rule that fits holds.
-HEADINGS = (
-    ("balance", r"^(?:running\s+)?bal(?:ance)?\.?$"),
-    ("balance", r"closing\s+bal"),
-    ("balance", r"^(?:balance|bal)\b"),
-    ("debit", r"withdrawal|paid\s*out|money\s*out|debit|dr\.?\b|payments?\s*out"),
-    ("credit", r"deposit|paid\s*in|money\s*in|credit|cr\.?\b|payments?\s*in"),
-    ("amount", r"^(?:amount|amt)\b"),
-    ("date", r"^(?:value\s*dt|value\s*date|post\s*date|txn\s*date|transaction\s*date|date)\b"),
-    ("description", r"desc|detail|narration|particular|remark|merchant|payee|memo|transaction|reference|narrative"),
-)
-#: How rows begin that are no part of a transaction.
+from .amounts import AMOUNT_STEPS, amount_like, money_shape, parse_amount
+from .dates import any_date, date_steps, month_number
+from .text import SPACE, let, strip, through
+
+#: Headings by task, in the order in which they are tried, as statements of banks have them: words that a label begins with,
+#: words that it holds anywhere, and phrases, which may also be written as one word.
+HEADINGS = {
+    "balance": (("balance", "bal"), (), ("running balance", "running bal", "closing balance", "closing bal")),
+    "debit": ((), ("debit", "debits", "withdrawal", "withdrawals", "dr"), ("paid out", "money out", "payment out", "payments out")),
+    "credit": ((), ("credit", "credits", "deposit", "deposits", "cr"), ("paid in", "money in", "payment in", "payments in")),
+    "amount": (("amount", "amt"), (), ()),
+    "date": (("date",), (), ("value date", "value dt", "post date", "posting date", "booking date", "txn date", "transaction date")),
+    "description": ((), ("description", "desc", "details", "detail", "narration", "narrative", "particulars", "particular", "remarks", "remark", "merchant", "payee", "memo", "transaction", "transactions", "reference"), ()),
+}
+#: How rows begin that belong to no transaction: one word, or words in a row; # stands for a number.
 NOT_ROWS = (
-    r"beginning", r"opening", r"balance\s*(?:brought|carried|forward)", r"b/f", r"c/f", r"total", r"sub-?total", r"ending", r"closing\s+balance", r"minimum\s+payment", r"amount\s+due",
-    r"summary", r"continued", r"page\s+\d", r"this\s+(?:is|statement)", r"important", r"please\s+note", r"member\s+fdic", r"equal\s+housing", r"deposits?\s+may\s+not",
+    "opening", "beginning", "ending", "closing balance", "balance forward", "balance brought", "balance carried", "b f", "c f", "total", "totals", "subtotal", "sub total", "summary",
+    "minimum payment", "amount due", "continued", "page #", "important", "please note", "this is", "this statement", "member fdic", "equal housing", "deposit may not", "deposits may not",
 )
 
 
-def classify(text: Column) -> Column:
-    """date, money, weak_number or text. A currency, a sign or grouping marks prove money; else dates come first."""
-
-    def kind(t: Column, a: Column) -> Column:
-        proof = F.coalesce(a["strong"] & (a["currency"].isNotNull() | a["negative"] | t.rlike("[,(]")), F.lit(False))
-        return F.when(t == "", "text").when(~proof & any_date(t), "date").when(amount_like(t, a), "money").when(a.isNotNull(), "weak_number").otherwise("text")
-
-    t = F.coalesce(strip(text), F.lit(""))
-    return let(F.struct(t.alias("t"), parse_amount(t).alias("a")), lambda x: kind(x["t"], x["a"]))
+def plain_label(text: Column) -> Column:
+    """A label in lower case, its words apart by single blanks and between blanks."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
 def heading(text: Column) -> Column:
     """the task of a column heading, or null."""
-    t, out = F.regexp_replace(strip(text), "[*:]", ""), None
-    for task, pattern in HEADINGS:
-        fits = t.rlike(f"(?i){pattern}")
+    label, out = plain_label(text), None
+    holds = lambda words: [F.contains(label, F.lit(f" {w} ")) for w in words]
+    for task, (first, anywhere, phrases) in HEADINGS.items():
+        tests = [label.startswith(f" {w} ") for w in first] + holds(anywhere) + holds(phrases) + holds(p.replace(" ", "") for p in phrases)
+        fits = tests[0]
+        for t in tests[1:]:
+            fits = fits | t
         out = F.when(fits, task) if out is None else out.when(fits, task)
-    return F.when(t != "", out)
+    return out
 
 
 def no_row(text: Column) -> Column:
     """whether a row's text begins like a heading, a sum or small print."""
-    return strip(text).rlike(rf"(?i)^(?:{'|'.join(NOT_ROWS)})")
-
-
-def split_cell(text: Column, x: Column, w: Column) -> Column:
-    """Array of struct(str, x, w): a leading date, the middle and a trailing amount of a run, placed by even advance; the run itself if
-    there is nothing to split off."""
-    whole = F.array(F.struct(text.alias("str"), x.cast("double").alias("x"), w.cast("double").alias("w")))
-
-    def cut(p: Column) -> Column:
-        n = F.size(p)
-        # Where each word starts and ends in the text, counted from the lengths of what stands before it.
-        lead = F.length(F.regexp_extract(text, f"^{SPACE}*", 0))
-        gaps = F.filter(F.split(F.regexp_replace(text, f"^{SPACE}+", ""), r"(?:(?!" + SPACE + r").)+"), lambda g: g != "")
-        end = lambda k: lead + F.length(F.array_join(F.slice(p, F.lit(1), k), "")) + F.length(F.array_join(F.slice(gaps, F.lit(1), k - 1), ""))
-        dated = lambda k: (n > k) & any_date(F.regexp_replace(F.array_join(F.slice(p, 1, k), " "), "[,.]$", ""))
-        taken = F.when(dated(3), 3).when(dated(2), 2).when(dated(1), 1).otherwise(0)
-        return let(F.struct(taken.alias("k"), (money_shape(F.get(p, n - 1))).alias("m")), lambda y: parts(p, n, end, y["k"], y["m"] & ((y["k"] == 0) | (n > 2))))
-
-    def parts(p, n, end, k, money) -> Column:
-        size = F.length(text)
-        step = w / F.greatest(size, F.lit(1))
-        first = F.when(k > 0, end(F.greatest(k, F.lit(1)))).otherwise(0)
-        last = F.when(money, end(n) - F.length(F.get(p, n - 1))).otherwise(size)
-        piece = lambda s, a, b: F.struct(s.alias("str"), (x + a * step).cast("double").alias("x"), ((b - a) * step).cast("double").alias("w"))
-        middle = strip(F.substring(text, first + 1, last - first))
-        found = F.array(
-            F.when(k > 0, piece(F.array_join(F.slice(p, F.lit(1), F.greatest(k, F.lit(1))), " "), F.lit(0), first)),
-            F.when(middle != "", piece(middle, first, last)),
-            F.when(money, piece(F.get(p, n - 1), last, size)),
-        )
-        return let(F.filter(found, lambda z: z.isNotNull()), lambda z: F.when(F.size(z) > 1, z).otherwise(whole))
-
-    return let(F.filter(F.split(strip(text), f"{SPACE}+"), lambda s: s != ""), lambda p: F.when(F.size(p) < 2, whole).otherwise(cut(p)))
+    label, fits = plain_label(text), F.lit(False)
+    for begin in NOT_ROWS:
+        fits = fits | (label.startswith(f" {begin[:-1]}") & F.substring(label, len(begin) + 1, 1).between("0", "9") if begin.endswith("#") else label.startswith(f" {begin} "))
+    return fits
+
+
+def _kind(text: Column, amount: Column, dated: Column) -> Column:
+    """A currency, a sign or grouping marks prove money; else dates come first."""
+    proof = F.coalesce(amount["strong"] & (amount["currency"].isNotNull() | amount["negative"] | F.contains(text, F.lit(",")) | F.contains(text, F.lit("("))), F.lit(False))
+    return F.when(F.coalesce(strip(text), F.lit("")) == "", "text").when(~proof & dated, "date").when(amount_like(text, amount), "money").when(amount.isNotNull(), "weak_number").otherwise("text")
+
+
+def examined(text: Column) -> Column:
+    """struct(kind, cents): classify(text), and what it comes to as an amount."""
+    return let(F.struct(text.alias("t"), parse_amount(text).alias("a")), lambda x: F.struct(_kind(x["t"], x["a"], any_date(x["t"])).alias("kind"), x["a"]["cents"].alias("cents")))
+
+
+def classify(text: Column) -> Column:
+    """date, money, weak_number or text."""
+    return examined(text)["kind"]
+
+
+def classified(df: DataFrame, text: Column, kind: str, amount: str) -> DataFrame:
+    """df with columns `kind`, classify(text), and `amount`, parse_amount(text), by generated code."""
+    own, date = f"_{kind}_text", f"_{kind}_date"
+    read = through(df.withColumn(own, text), {amount: (F.col(own), AMOUNT_STEPS), date: (F.col(own), date_steps("DMY"))})
+    return read.withColumn(kind, _kind(F.col(own), F.col(amount), F.col(date).isNotNull())).drop(own, date)
+
+
+def split_runs(runs: DataFrame) -> DataFrame:
+    """runs(str, x, w) with `cells`, an array of struct(str, x, w, kind, cents): a leading date, the middle and a trailing amount,
+    placed by even advance; or the run itself if there is nothing to split off."""
+    s, x, w = F.col("str"), F.col("x"), F.col("w")
+    p, n, size, k, a, b = F.col("_p"), F.size("_p"), F.length("str"), F.col("_k"), F.col("_a"), F.col("_b")
+    df = runs.withColumn("_p", F.filter(F.split(strip(s), f"{SPACE}+"), lambda z: z != ""))
+    # Only what starts with a digit or a month is tried as a date.
+    opens = (n > 1) & (F.substring(F.get(p, F.lit(0)), 1, 1).between("0", "9") | month_number(F.regexp_extract(F.get(p, F.lit(0)), r"^\p{L}+", 0)).isNotNull())
+    dated = lambda j: (n > j) & any_date(F.regexp_replace(F.array_join(F.slice(p, F.lit(1), j), " "), "[,.]$", ""))
+    first = F.get(F.filter(F.array(F.lit(3), F.lit(2), F.lit(1)), dated), F.lit(0))
+    df = df.withColumn("_k", F.when(opens, F.coalesce(first, F.lit(0))).otherwise(0))
+    df = df.withColumn("_m", F.when((n >= 2) & ((k == 0) | (n > 2)), money_shape(F.get(p, n - 1))).otherwise(False))
+    # Where the last word of the date ends and where the amount starts.
+    ends = {j: F.length(F.regexp_extract(s, rf"^{SPACE}*" + rf"{SPACE}+".join([rf"[^{SPACE[1:-1]}]+"] * j), 0)) for j in (1, 2, 3)}
+    before = size - F.length(F.regexp_replace(s, f"^{SPACE}+", ""))
+    df = df.withColumn("_a", F.when(k == 3, ends[3]).when(k == 2, ends[2]).when(k == 1, ends[1]).otherwise(0)).withColumn("_b", F.when(F.col("_m"), before + F.length(strip(s)) - F.length(F.get(p, n - 1))).otherwise(size))
+    whole = (k == 0) & ~F.col("_m")
+    df = classified(df.withColumn("_rest", F.when(whole, s).otherwise(strip(F.substring(s, a + 1, b - a)))), F.col("_rest"), "_kind", "_amount")
+    df = df.withColumn("_last", F.when(F.col("_m"), F.get(p, n - 1))).withColumn("_end", F.when(F.col("_m"), examined(F.get(p, n - 1))))  # few runs have one
+    step = w / F.greatest(size, F.lit(1))
+    piece = lambda text, at, to, kind, cents: F.struct(text.alias("str"), (x + at * step).cast("double").alias("x"), ((to - at) * step).cast("double").alias("w"), kind.alias("kind"), cents.alias("cents"))
+    date = piece(F.array_join(F.slice(p, F.lit(1), F.greatest(k, F.lit(1))), " "), F.lit(0), a, F.lit("date"), F.lit(None).cast("long"))
+    rest = piece(F.col("_rest"), a, b, F.col("_kind"), F.col("_amount.cents"))
+    last = piece(F.col("_last"), b, size, F.col("_end.kind"), F.col("_end.cents"))
+    parts = F.array_compact(F.array(F.when(k > 0, date), F.when(F.col("_rest") != "", rest), F.when(F.col("_m"), last)))
+    one = F.array(F.struct(s.alias("str"), x.cast("double").alias("x"), w.cast("double").alias("w"), F.col("_kind").alias("kind"), F.col("_amount.cents").alias("cents")))
+    return df.withColumn("cells", F.when(whole, one).otherwise(parts)).select(*runs.columns, "cells")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, let, strip
+from .text import SPACE, chained, let, strip
 
 #: Month names and their short forms in English, German, French, Spanish, Portuguese, Italian and Dutch,
 #: without accents, by month.
@@ -26,12 +26,6 @@ MONTHS = {
 SHORT = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 FORMATS = ("YYYY-MM-DD", "DD/MM/YYYY", "MM/DD/YYYY", "DD.MM.YYYY", "DD-MMM-YYYY")
 
-ISO = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
-NUMERIC = r"^(\d{1,2})([/.\-])(\d{1,2})(?:\2(\d{2,4}))?$"
-DAY_NAME = r"^(\d{1,2})[\s.\-]{1,2}(\p{L}{3,9})\.?[\s.,\-]*(\d{2,4})?$"
-#: What every date starts like; sorts out other texts before they are taken apart.
-MAYBE = r"^(?:\d{1,4}[\s./\-]|\p{L}{3,9}\.?[\s.\-]{1,2}\d)"
-NAME_DAY = r"^(\p{L}{3,9})\.?[\s.\-]{1,2}(\d{1,2}),?\s*(\d{2,4})?$"
 ACCENTS = ("áàâäãåāçéèêëēíìîïñóòôöõōúùûüýÿ", "aaaaaaaceeeeeiiiinoooooouuuuyy")
 
 
@@ -47,42 +41,97 @@ def full_year(text: Column) -> Column:
     return F.when(F.length(text) <= 2, F.when(n < 70, 2000 + n).otherwise(1900 + n)).otherwise(n)
 
 
-def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
+MARKS = ("-", "/", ".")
+#: How the parts of a date stand together, # for each run of letters or digits: three numbers; two, or three with the same mark twice.
+YEAR_FIRST = [f"#{x}#{y}#" for x in MARKS for y in MARKS]
+NUMBERS = [f"#{x}#" for x in MARKS] + [f"#{x}#{x}#" for x in MARKS]
 
 
-def _valid(year: Column, month: Column, day: Column) -> Column:
-    """Real dates only where the year is known."""
-    known = year.between(1900, 2200) & F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd").isNotNull()
-    return month.between(1, 12) & day.between(1, 31) & F.when(year.isNull(), True).otherwise(F.coalesce(known, F.lit(False)))
+def _parts(text: Column) -> Column:
+    """struct(frame, numbers, names, led): a text that may be a date, one closing mark left off, with # for each run of letters or
+    digits; its numbers and its words; whether a word comes first. Null for texts that no date looks like."""
+    s = F.regexp_replace(F.regexp_replace(strip(text), r"[./-]$", ""), f"{SPACE}+", " ")
+    frame = F.regexp_replace(s, r"[\p{L}0-9]+", "#")
+    fields = F.struct(frame.alias("frame"), F.regexp_extract_all(s, F.lit("[0-9]+"), F.lit(0)).alias("numbers"), F.regexp_extract_all(s, F.lit(r"\p{L}+"), F.lit(0)).alias("names"), (~F.substring(s, 1, 1).between("0", "9")).alias("led"))
+    return F.when((F.length(s) <= 24) & (F.length(s) >= 3) & frame.startswith("#") & (F.length(frame) < F.length(s)), fields)
 
 
-def parse_date(text: Column, order: Column | str = "MDY", fallback_year: Column | int | None = None) -> Column:
-    """struct(year, month, day, order, iso) of a text that is one date, else null."""
-    order = F.lit(order) if isinstance(order, str) else order
-    fallback = fallback_year if isinstance(fallback_year, Column) else F.lit(fallback_year).cast("int")
+def _named(p: Column) -> Column:
+    """struct(frame, led, count, month, first, second, third): first and later numbers as texts, month by name (0 without a name, null for another word)."""
+    name = F.get(p["names"], F.lit(0))
+    month = F.when(F.size(p["names"]) == 0, 0).when((F.size(p["names"]) == 1) & F.length(name).between(3, 9), month_number(name))
+    numbers = [F.get(p["numbers"], F.lit(k)).alias(n) for k, n in enumerate(("first", "second", "third"))]
+    return F.when(month.isNotNull(), F.struct(p["frame"].alias("frame"), p["led"].alias("led"), F.size(p["numbers"]).alias("count"), month.alias("month"), *numbers))
+
+
+def _shaped(p: Column) -> Column:
+    """p with its shape, which stands for the fields a, b, month and year: `year first` (a: month, b: day), `numbers` (a and b as they stand), `name first` or `name second` (a: day); null for others. What may stand between the parts:
+
+    * year first: numbers of four and up to two digits, a mark of - / . each;
+    * numbers: two of up to two digits and a mark of - / .; or the same mark again and two to four digits;
+    * name second: a day, one or two of blank . -, a month's name; then any of blank . , - and, if it is there, a year;
+    * name first: a month's name, perhaps a point, one or two of blank . -, a day; then a comma or a blank, if any, and a year.
+    """
+    frame, count, one, two, three = p["frame"], p["count"], F.length(p["first"]), F.length(p["second"]), F.length(p["third"])
+    glued = (count == 1) & one.between(3, 6)  # day and year without anything between them
+    cut = F.when(one == 3, 1).otherwise(2)
+    shape = (
+        F.when(p["month"] == 0, F.when((count == 3) & (one == 4) & (two <= 2) & (three <= 2) & frame.isin(YEAR_FIRST), "year first").when((one <= 2) & (two <= 2) & ((count == 2) | ((count == 3) & three.between(2, 4))) & frame.isin(NUMBERS), "numbers"))
+        .when(p["led"], F.when(((one <= 2) | glued) & ((count == 1) | ((count == 2) & two.between(2, 4))) & frame.rlike("^#[.]?[ .-]{1,2}#(,? ?#?)$"), "name first"))
+        .when((one <= 2) & ((count == 1) | ((count == 2) & two.between(2, 4))) & frame.rlike("^#[ .-]{1,2}#[ .,-]*#?$"), "name second")
+    )
+    return F.when(shape.isNotNull(), F.struct(shape.alias("shape"), (p["led"] & glued).alias("split"), cut.alias("cut"), *[p[c].alias(c) for c in ("month", "first", "second", "third")]))
+
+
+def _dealt(p: Column) -> Column:
+    """struct(shape, a, b, month, year) as texts."""
+    shape, split, cut = p["shape"], p["split"], p["cut"]
+    a = F.when(shape == "year first", p["second"]).when(split, F.substring(p["first"], F.lit(1), cut)).otherwise(p["first"])
+    year = F.when(shape == "year first", p["first"]).when(shape == "numbers", p["third"]).when(split, F.substring(p["first"], cut + 1, F.lit(9))).otherwise(p["second"])
+    return F.struct(shape.alias("shape"), a.alias("a"), F.when(shape == "year first", p["third"]).otherwise(p["second"]).alias("b"), p["month"].alias("month"), year.alias("year"))
+
+
+def _numbered(f: Column) -> Column:
+    """The same with a, b and month as numbers; null without a shape."""
+    return F.when(f["shape"].isNotNull(), F.struct(f["shape"].alias("shape"), f["a"].try_cast("int").alias("a"), f["b"].try_cast("int").alias("b"), f["month"].alias("month"), f["year"].alias("year")))
+
+
+FIELD_STEPS = [_parts, _named, _shaped, _dealt, _numbered]
 
-    def shape(kind: Column, year: Column, month: Column, day: Column, order: Column) -> Column:
-        return F.when(kind, F.struct(year.cast("int").alias("year"), month.cast("int").alias("month"), day.cast("int").alias("day"), order.alias("order")))
 
-    def read(s: Column) -> Column:
-        a, b = _number(s, NUMERIC, 1), _number(s, NUMERIC, 3)
-        day_first = F.when(order == "DMY", ~((b > 12) & (a <= 12))).otherwise((a > 12) & (b <= 12))
-        year_of = lambda pattern, group: F.coalesce(full_year(F.regexp_extract(s, pattern, group)), fallback)
-        return F.coalesce(
-            shape(s.rlike(ISO), _number(s, ISO, 1), _number(s, ISO, 2), _number(s, ISO, 3), F.lit("YMD")),
-            shape(s.rlike(NUMERIC), year_of(NUMERIC, 4), F.when(day_first, b).otherwise(a), F.when(day_first, a).otherwise(b), F.when(day_first, "DMY").otherwise("MDY")),
-            shape(s.rlike(DAY_NAME), year_of(DAY_NAME, 3), month_number(F.regexp_extract(s, DAY_NAME, 2)), _number(s, DAY_NAME, 1), F.lit("DMY")),
-            shape(s.rlike(NAME_DAY), year_of(NAME_DAY, 3), month_number(F.regexp_extract(s, NAME_DAY, 1)), _number(s, NAME_DAY, 2), F.lit("MDY")),
-        )
+def _placed(f: Column, order: Column, fallback: Column) -> Column:
+    """struct(year, month, day, order): numbers in the stated order, turned if only that makes a month of one of them."""
+    first, numbers = f["shape"] == "year first", f["shape"] == "numbers"
+    turned = F.when(order == "DMY", (f["b"] > 12) & (f["a"] <= 12)).otherwise((f["a"] > 12) & (f["b"] <= 12))
+    month_first = numbers & ((order != "DMY") != turned)
+    month = F.when(first | month_first, f["a"]).when(numbers, f["b"]).otherwise(f["month"])
+    day = F.when(first | month_first, f["b"]).otherwise(f["a"])
+    said = F.when(first, "YMD").when(month_first | (f["shape"] == "name first"), "MDY").otherwise("DMY")
+    year = F.when(first, f["year"].try_cast("int")).otherwise(F.coalesce(full_year(f["year"]), fallback))
+    return F.when(f.isNotNull(), F.struct(year.cast("int").alias("year"), month.cast("int").alias("month"), day.alias("day"), said.alias("order")))
 
-    def checked(d: Column) -> Column:
-        tail = F.format_string("%02d-%02d", d["month"], d["day"])
-        iso = F.when(d["year"].isNull(), F.concat(F.lit("--"), tail)).otherwise(F.concat(d["year"].cast("string"), F.lit("-"), tail))
-        return F.when(_valid(d["year"], d["month"], d["day"]), F.struct(d["year"].alias("year"), d["month"].alias("month"), d["day"].alias("day"), d["order"].alias("order"), iso.alias("iso")))
 
-    cleaned = F.regexp_replace(F.regexp_replace(strip(text), r"[./-]$", ""), f"{SPACE}+", " ")
-    return let(cleaned, lambda s: F.when((F.length(s) <= 24) & s.rlike(MAYBE), let(read(s), checked)))
+def _checked(d: Column) -> Column:
+    """struct(year, month, day, order, iso) of real dates, null for others; a day up to 31 will do where the year is unknown."""
+    y, m, day = d["year"], d["month"], d["day"]
+    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+    longest = F.when(m.isin(4, 6, 9, 11), 30).when((m == 2) & leap, 29).when(m == 2, 28).otherwise(31)
+    real = m.between(1, 12) & day.between(1, 31) & F.when(y.isNull(), True).otherwise(y.between(1900, 2200) & (day <= longest))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    iso = F.concat_ws("-", F.coalesce(y.cast("string"), F.lit("-")), two(m), two(day))
+    return F.when(real, F.struct(y.alias("year"), m.alias("month"), day.alias("day"), d["order"].alias("order"), iso.alias("iso")))
+
+
+def date_steps(order: Column | str = "MDY", fallback_year: Column | int | None = None) -> list:
+    """E8 in steps for chained() and through(): from a text to struct(year, month, day, order, iso), or null if it isn't one date."""
+    order = F.lit(order) if isinstance(order, str) else order
+    fallback = fallback_year if isinstance(fallback_year, Column) else F.lit(fallback_year).cast("int")
+    return [*FIELD_STEPS, lambda f: _placed(f, order, fallback), _checked]
+
+
+def parse_date(text: Column, order: Column | str = "MDY", fallback_year: Column | int | None = None) -> Column:
+    """struct(year, month, day, order, iso) of a text that is one date, else null."""
+    return chained(text, date_steps(order, fallback_year))
 
 
 def any_date(text: Column) -> Column:
@@ -90,17 +139,33 @@ def any_date(text: Column) -> Column:
     return parse_date(text, "DMY").isNotNull()
 
 
+def reading_steps(order: Column | str = "DMY", year: Column | int | None = None) -> list:
+    """E19 in steps: the date of a word without a closing comma or semicolon, with `inherited` for a year that it took over."""
+    word = lambda text: F.regexp_replace(strip(text), "[,;]$", "")
+    *fields, placed, checked = date_steps(order, year)
+    both = lambda f: F.struct(placed(f).alias("d"), f["year"].isNull().alias("bare"))
+    known = lambda x: F.struct(checked(x["d"]).alias("d"), x["bare"].alias("bare"))
+    named = lambda x: F.when(x["d"].isNotNull(), F.struct(*[x["d"][c].alias(c) for c in ("iso", "year", "month", "day")], (x["bare"] & x["d"]["year"].isNotNull()).alias("inherited")))
+    return [word, *fields, both, known, named]
+
+
 def date_reading(text: Column, order: Column | str = "DMY", year: Column | int | None = None) -> Column:
-    """parse_date of a word without a closing comma or semicolon, with `inherited` for a year that it took over."""
-    word = F.regexp_replace(strip(text), "[,;]$", "")
-    return let(F.struct(parse_date(word, order, year).alias("d"), parse_date(word, order).alias("own")), lambda x: F.when(x["d"].isNotNull(), F.struct(x["d"]["iso"].alias("iso"), x["d"]["year"].alias("year"), x["d"]["month"].alias("month"), x["d"]["day"].alias("day"), (x["d"]["year"].isNotNull() & x["own"]["year"].isNull()).alias("inherited"))))
+    """E19."""
+    return chained(text, reading_steps(order, year))
+
+
+def votes(f: Column) -> tuple[Column, Column]:
+    """Of FIELD_STEPS' result, whether it votes for the day or for the month first; only numbers vote, as only one of them can be a month."""
+    numbers = f["shape"] == "numbers"
+    return numbers & (f["a"] > 12) & (f["b"] <= 12), numbers & (f["b"] > 12) & (f["a"] <= 12)
 
 
 def date_like(text: Column) -> Column:
-    """a cheap test of a text's shape."""
-    s = strip(text)
-    a, b = _number(s, NUMERIC, 1), _number(s, NUMERIC, 3)
-    return (F.length(s) <= 24) & (s.rlike(ISO) | s.rlike(DAY_NAME) | s.rlike(NAME_DAY) | (s.rlike(NUMERIC) & a.between(1, 31) & b.between(1, 31)))
+    """a cheap test of a text's shape: any word may be a month's name, and numbers go up to 31; calendars aside."""
+    known = lambda p: F.struct(p["frame"].alias("frame"), p["led"].alias("led"), F.size(p["numbers"]).alias("count"), F.size(p["names"]).alias("month"), *[F.get(p["numbers"], F.lit(k)).alias(n) for k, n in enumerate(("first", "second", "third"))])
+    fits = lambda p: (F.size(p["names"]) == 0) | ((F.size(p["names"]) == 1) & F.length(F.get(p["names"], F.lit(0))).between(3, 9))
+    numbers = lambda f: (f["shape"] != "numbers") | (f["a"].between(1, 31) & f["b"].between(1, 31))
+    return F.coalesce(chained(text, [_parts, lambda p: F.when(fits(p), known(p)), _shaped, _dealt, _numbered, numbers]), F.lit(False))
 
 
 def _resolved(iso: Column, year: Column | int) -> Column:

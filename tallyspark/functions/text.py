@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space in the wide sense: ASCII, no-break, narrow no-break and the other Unicode spaces.
-SPACE = r"[\s   -     　﻿]"
+WHITE = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def let(value: Column, body) -> Column:
@@ -14,8 +15,33 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def chained(value: Column, steps) -> Column:
+    """The steps, functions of a column, one after the other, as one expression for any place. Spark interprets it; through()
+    gives the same by generated code."""
+    first, *rest = steps
+    out = first(value)
+    return let(out, lambda x: chained(x, rest)) if rest else out
+
+
+def through(df: DataFrame, jobs: dict[str, tuple]) -> DataFrame:
+    """df with columns {name: (column, steps)}: as chained(), but each step is a projection of its own, so Spark generates
+    code for it and computes what a later step uses several times once. HotSpot never compiles methods of more than 8,000 bytes,
+    so Spark is told not to fuse projections beyond that. Filters on a result would be pushed down through all steps and copied
+at each; a row number that is always true stops them."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.codegen.hugeMethodLimit")) > 8000:
+        conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    out, kept = df, [c for c in df.columns if c not in jobs]
+    for name, (value, steps) in jobs.items():
+        for k, step in enumerate(steps):
+            out = out.withColumn(f"_{name}_{k}", step(F.col(f"_{name}_{k - 1}") if k else value))
+        out = out.drop(*[f"_{name}_{k}" for k in range(len(steps) - 1)])
+    read = lambda name, steps: F.when(F.monotonically_increasing_id() >= 0, F.col(f"_{name}_{len(steps) - 1}"))
+    return out.select(*kept, *[read(name, steps).alias(name) for name, (_, steps) in jobs.items()])
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def squeeze(text: Column) -> Column:

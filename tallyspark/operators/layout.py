@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cells import classify, heading, no_row, split_cell
-from ..functions.dates import parse_date
-from ..functions.text import row_key, squeeze, strip
+from ..functions.cells import heading, no_row, split_runs
+from ..functions.dates import date_steps
+from ..functions.text import row_key, squeeze, strip, through
 from .cluster import clustered
 
 
-
 def joined_text(cells: Column, gap: Column) -> Column:
     """The texts of cells (x, w, str) in order; a blank where the gap to the one before is wide enough and neither brings one."""
 
@@ -27,11 +26,10 @@ def build_rows(runs: DataFrame) -> DataFrame:
     # The tolerance is half the page's usual height of type.
     usual = F.median(F.when((F.col("h") > 0) & (F.col("h") < 200), F.col("h"))).over(Window.partitionBy("doc_id", "page"))
     runs = runs.withColumn("_m", usual).withColumn("_t", F.greatest(F.lit(1.5), 0.5 * F.when(F.coalesce("_m", F.lit(0.0)) == 0, 10.0).otherwise(F.col("_m"))))
-    numbered = clustered(runs, ["doc_id", "page", "_t"], "y", F.col("_t"), ["x", "ord"])
-    rows = numbered.groupBy("doc_id", "page", "cluster").agg(F.median("y").alias("y"), F.median("h").alias("height"), F.sort_array(F.collect_list(F.struct("x", "ord", "str", "w"))).alias("_runs"))
+    numbered = clustered(split_runs(runs), ["doc_id", "page", "_t"], "y", F.col("_t"), ["x", "ord"])
+    rows = numbered.groupBy("doc_id", "page", "cluster").agg(F.median("y").alias("y"), F.median("h").alias("height"), F.sort_array(F.collect_list(F.struct("x", "ord", "str", "w", "cells"))).alias("_runs"))
     rows = rows.withColumn("text", joined_text(F.col("_runs"), F.greatest(F.lit(1.2), 0.18 * F.col("height"))))
-    parts = F.flatten(F.transform("_runs", lambda r: split_cell(r["str"], r["x"], r["w"])))
-    rows = rows.withColumn("cells", F.transform(parts, lambda c: F.struct(c["str"].alias("str"), c["x"].alias("x"), c["w"].alias("w"), classify(c["str"]).alias("kind"))))
+    rows = rows.withColumn("cells", F.flatten(F.transform("_runs", lambda r: r["cells"])))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "y", "cluster")) - 1
     return rows.select("doc_id", "page", number.cast("long").alias("row_no"), "y", "height", "text", "cells")
 
@@ -119,16 +117,14 @@ def table_window(rows: DataFrame) -> DataFrame:
 def assemble(rows: DataFrame, model: DataFrame, orders: DataFrame) -> DataFrame:
     """(doc_id, idx, page, row_no, iso, date_raw, description, raw_text, flags, money): a transaction for each dated
     row, with the rows below it. orders(doc_id, date_order, year): how dates are read."""
-    from ..functions.amounts import parse_amount
-
     r = table_window(furniture(rows)).where("not noise").join(model.select("doc_id", "date_bands", "money_bands"), "doc_id").join(orders, "doc_id")
     centre = lambda c: c["x"] + c["w"] / 2
     dated = F.get(F.filter("cells", lambda c: (c["kind"] == "date") & in_band(centre(c), F.col("date_bands"))), F.lit(0))["str"]
     words = F.filter(F.transform(F.filter("cells", lambda c: ~in_band(centre(c), F.col("date_bands"), 4) & ~in_band(centre(c), F.col("money_bands"), 4)), lambda c: strip(c["str"])), lambda s: s != "")
-    amounts = F.transform(F.filter("cells", lambda c: c["kind"].isin("money", "weak_number")), lambda c: F.struct(nearest(centre(c), F.col("money_bands"))["id"].alias("band"), parse_amount(c["str"]).alias("a")))
-    amounts = F.transform(F.filter(amounts, lambda m: m["band"].isNotNull() & m["a"].isNotNull()), lambda m: F.struct(m["band"].alias("band"), m["a"]["cents"].alias("cents")))
+    amounts = F.transform(F.filter("cells", lambda c: c["kind"].isin("money", "weak_number")), lambda c: F.struct(nearest(centre(c), F.col("money_bands"))["id"].alias("band"), c["cents"].alias("cents")))
+    amounts = F.filter(amounts, lambda m: m["band"].isNotNull())
     r = r.select("doc_id", "page", "row_no", "text", "in_table", "date_order", "year", dated.alias("date_cell"), squeeze(F.array_join(words, " ")).alias("words"), amounts.alias("money"))
-    r = r.withColumn("iso", parse_date(F.col("date_cell"), F.col("date_order"), F.col("year"))["iso"])
+    r = through(r, {"_date": (F.col("date_cell"), date_steps(F.col("date_order"), F.col("year")))}).withColumn("iso", F.col("_date.iso")).drop("_date")
     opens = F.col("iso").isNotNull()
     r = r.withColumn("idx", F.count_if(opens).over(Window.partitionBy("doc_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)))
     r = r.where(opens | ((F.col("idx") > 0) & F.col("in_table") & ~no_row(F.col("text"))))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.amounts import money_reading
-from ..functions.dates import any_date
-from ..functions.text import SPACE, strip
+from ..functions.amounts import AMOUNT_STEPS, money_reading, money_word
+from ..functions.dates import date_steps
+from ..functions.text import SPACE, strip, through
 from .cluster import clustered, first_fit_groups, line_pitch
 
 WORD = rf"(?:(?!{SPACE}).)+"
@@ -83,7 +83,9 @@ def stacked_years(tokens: DataFrame) -> DataFrame:
 
 def money_candidates(tokens: DataFrame) -> DataFrame:
     """Tokens that may be money, with `r` (the reading), the column of their right edge, its support and their confidence."""
-    t = tokens.withColumn("r", money_reading(F.col("text"), any_date(F.regexp_replace(strip(F.col("text")), "[,;:]$", "")))).where("r is not null").withColumn("right", F.col("x") + F.col("width"))
+    word = money_word(F.col("text"))
+    t = through(tokens, {"_amount": (word, AMOUNT_STEPS), "_date": (word, date_steps("DMY"))})
+    t = t.withColumn("r", money_reading(F.col("text"), F.col("_amount"), F.col("_date").isNotNull())).drop("_amount", "_date").where("r is not null").withColumn("right", F.col("x") + F.col("width"))
     t = t.withColumn("reach", F.greatest(F.lit(1.5), 0.35 * F.col("font")))
     t = clustered(t, ["doc_id", "reach"], "right", F.col("reach"), ["page", "ord", "n"], first_fit_groups)
     members = F.count("*").over(Window.partitionBy("doc_id", "cluster"))
@@ -107,7 +109,8 @@ def build_lines(tokens: DataFrame) -> DataFrame:
     money = money_candidates(tokens).select(*ID, F.struct("x", "ord", "n", F.col("r.value").alias("value"), F.col("r.magnitude").alias("magnitude"), F.col("r.has_sign").alias("has_sign"), "confidence", "support").alias("m"))
     stacked = stacked_years(tokens).select(*ID, F.lit(True).alias("stacked"))
     t = tokens.join(lines, ["doc_id", "page", "y"]).join(money, list(ID), "left").join(stacked, list(ID), "left")
-    dated = any_date(F.regexp_replace(strip(F.col("text")), "[,;]$", "")) | F.coalesce("stacked", F.lit(False))
+    t = through(t, {"_date": (F.regexp_replace(strip(F.col("text")), "[,;]$", ""), date_steps("DMY"))})
+    dated = F.col("_date").isNotNull() | F.coalesce("stacked", F.lit(False))
     out = t.groupBy("doc_id", "page", "line").agg(F.min("y").alias("y"), F.sort_array(F.collect_list(F.struct("x", "ord", "n", "m"))).alias("all"), F.bool_or(dated).alias("dated"))
     out = out.withColumn("money", F.transform(F.filter("all", lambda a: a["m"].isNotNull()), lambda a: a["m"]))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "y")) - 1

@@ -89,14 +89,14 @@ def d5_statements(spark, sf_dir):
 
 @query(f"""WITH {SOLVED}, t AS (SELECT doc_id, count(*) AS n_rows, count(*) FILTER (checked) AS checked, count(*) FILTER (checked AND previous + amount_cents = balance_cents) AS matched, count(*) FILTER (turned) AS sign_corrections FROM f GROUP BY doc_id),
 d AS (SELECT DISTINCT doc_id FROM q)
-SELECT doc_id, CASE WHEN n_rows IS NULL THEN 'none' ELSE 'header labels' END AS reading, coalesce(n_rows, 0) AS n_rows, coalesce(checked, 0) AS checked, coalesce(matched, 0) AS matched, coalesce(sign_corrections, 0) AS sign_corrections,
+SELECT doc_id, CASE WHEN n_rows IS NULL THEN 'none' ELSE 'by headings' END AS reading, coalesce(n_rows, 0) AS n_rows, coalesce(checked, 0) AS checked, coalesce(matched, 0) AS matched, coalesce(sign_corrections, 0) AS sign_corrections,
   CASE WHEN coalesce(checked, 0) >= 3 AND matched / checked::DOUBLE >= 0.98::DOUBLE THEN 'ok' WHEN coalesce(checked, 0) >= 1 THEN 'partial' ELSE 'none' END AS badge FROM d LEFT JOIN t USING (doc_id)""")
 def d4_reading_of_columns(spark, sf_dir):
     return build_statements(runs(spark, sf_dir))["summary"].select("doc_id", "reading", "n_rows", "checked", "matched", "sign_corrections", "badge")
 
 
 @query(f"""WITH {READ}, k AS (SELECT DISTINCT doc_id, n, nb FROM q WHERE n >= 2 OR nb >= 2) SELECT doc_id, place, reading_id FROM (
-  SELECT doc_id, 1 AS place, 'header' AS reading_id FROM k WHERE n >= 2 AND nb >= 2) a""")
+  SELECT doc_id, 1 AS place, 'headings' AS reading_id FROM k WHERE n >= 2 AND nb >= 2) a""")
 def o5_best_reading(spark, sf_dir):
     """The best reading of statements with two money columns."""
     out = build_statements(runs(spark, sf_dir))
@@ -136,7 +136,7 @@ def _read(spark, sf_dir):
 
 
 @query(f"""WITH {READ}, s AS (SELECT doc_id, idx, amount_cents AS a, balance_cents AS b FROM q WHERE n >= 2 AND nb >= 2)
-SELECT doc_id, idx, 'header' AS reading_id, NULL::BIGINT AS debit_cents, NULL::BIGINT AS credit_cents, b AS balance_cents, a AS amount_cents FROM s UNION ALL SELECT doc_id, idx, 'amount-balance', NULL, NULL, b, a FROM s
+SELECT doc_id, idx, 'headings' AS reading_id, NULL::BIGINT AS debit_cents, NULL::BIGINT AS credit_cents, b AS balance_cents, a AS amount_cents FROM s UNION ALL SELECT doc_id, idx, 'amount-balance', NULL, NULL, b, a FROM s
 UNION ALL SELECT doc_id, idx, 'debit-balance', abs(a), NULL, b, -abs(a) FROM s UNION ALL SELECT doc_id, idx, 'debit-credit', abs(a), abs(b), NULL, coalesce(abs(b), 0) - abs(a) FROM s""")
 def a17_amounts_by_reading(spark, sf_dir):
     """Of statements with two money columns, every row's amounts under each reading."""
@@ -151,7 +151,7 @@ def a18_reading_scores(spark, sf_dir):
     from ..operators import roles
 
     ranked, _ = roles.rank(_read(spark, sf_dir).where("size(reading.roles) = 2"))
-    return ranked.where("reading_id = 'header'").select("doc_id", F.round("score", 9).alias("score"), F.round("pass_rate", 9).alias("pass_rate"))
+    return ranked.where("reading_id = 'headings'").select("doc_id", F.round("score", 9).alias("score"), F.round("pass_rate", 9).alias("pass_rate"))
 
 
 @query(f"WITH {READ} SELECT doc_id, page::INT AS page, count(*) AS opened, max(idx) AS last FROM q WHERE n >= 2 GROUP BY ALL")

@@ -20,8 +20,8 @@ L = f"l AS ({for_duckdb(LEDGER)})"
 
 @query(f"WITH {P} SELECT doc_id, idx, amount_cents AS cents, abs(amount_cents) / 100.0::DOUBLE AS magnitude, amount_cents < 0 AS negative, true AS strong FROM p")
 def e1_parse_amount(spark, sf_dir):
-    a = A.parse_amount(F.col("amount_text"))
-    return printed_rows(spark, sf_dir).select("doc_id", "idx", a.alias("a")).select("doc_id", "idx", "a.cents", "a.magnitude", "a.negative", "a.strong")
+    rows = printed_rows(spark, sf_dir).select("doc_id", "idx", "amount_text")
+    return X.through(rows, {"a": (F.col("amount_text"), A.AMOUNT_STEPS)}).select("doc_id", "idx", "a.cents", "a.magnitude", "a.negative", "a.strong")
 
 
 #: Written numbers and what they come to, or null.
@@ -54,8 +54,9 @@ def e4_decimal_text(spark, sf_dir):
 @query(f"""WITH {P} SELECT doc_id, idx, okey % 5 AS style, (15 + 40 + CASE WHEN amount_cents < 0 THEN 20 ELSE 0 END) / 100.0::DOUBLE AS confidence, true AS has_decimal, amount_cents < 0 AS has_sign FROM p""")
 def e5_money_reading(spark, sf_dir):
     t = F.col("amount_text")
-    r = A.money_reading(t, D.any_date(F.regexp_replace(t, "[,;:]$", "")))
-    return printed_rows(spark, sf_dir).select("doc_id", "idx", (F.col("okey") % 5).alias("style"), r.alias("r")).select("doc_id", "idx", "style", "r.confidence", "r.has_decimal", "r.has_sign")
+    rows = X.through(printed_rows(spark, sf_dir).select("doc_id", "idx", "okey", "amount_text"), {"a": (A.money_word(t), A.AMOUNT_STEPS), "d": (A.money_word(t), D.date_steps("DMY"))})
+    r = A.money_reading(t, F.col("a"), F.col("d").isNotNull())
+    return rows.select("doc_id", "idx", (F.col("okey") % 5).alias("style"), r.alias("r")).select("doc_id", "idx", "style", "r.confidence", "r.has_decimal", "r.has_sign")
 
 
 @query("SELECT l_orderkey, l_linenumber, floor((l_extendedprice * (1 - l_discount) - 50000) * 100 + 0.5::DOUBLE)::BIGINT AS cents FROM lineitem")
@@ -74,16 +75,20 @@ def f2_amount_like(spark, sf_dir):
 DATES = """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '--%m-%d') AS partial, year(o_orderdate)::INT AS y, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders"""
 
 
-@query(f"""WITH t AS ({DATES}) SELECT o_orderkey, iso AS from_iso, iso AS from_slashes, iso AS from_dots, iso AS from_day_name, iso AS from_name_day, partial AS from_partial, strftime(make_date(2024, m::BIGINT, CASE WHEN m = 2 THEN least(d, 28) ELSE d END::BIGINT), '%Y-%m-%d') AS with_year FROM t""")
+@query(f"""WITH t AS ({DATES}) SELECT o_orderkey, form, CASE form WHEN 'partial' THEN partial WHEN 'with year' THEN strftime(make_date(2024, m::BIGINT, CASE WHEN m = 2 THEN least(d, 28) ELSE d END::BIGINT), '%Y-%m-%d') WHEN 'no date' THEN NULL ELSE iso END AS iso
+FROM t, (SELECT unnest(['iso', 'slashes', 'dots', 'day name', 'name day', 'partial', 'with year', 'no date']) AS form) f""")
 def e8_parse_date(spark, sf_dir):
+    """Every order's date written in seven ways and read back; the first of a month 13 is no date."""
     day = F.col("o_orderdate").cast("date")
     on = lambda p: F.date_format(day, p)
-    iso = lambda t, order, year=None: D.parse_date(t, order, year)["iso"]
     partial = F.when((F.month(day) == 2) & (F.dayofmonth(day) > 28), F.lit("28.02.")).otherwise(on("dd.MM."))
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey", iso(on("yyyy-MM-dd"), "MDY").alias("from_iso"), iso(on("M/d/yyyy"), "MDY").alias("from_slashes"), iso(on("dd.MM.yyyy."), "DMY").alias("from_dots"), iso(on("d MMM yyyy"), "MDY").alias("from_day_name"),
-        iso(on("MMMM d, yyyy"), "DMY").alias("from_name_day"), iso(on("dd.MM."), "DMY").alias("from_partial"), iso(partial, "DMY", 2024).alias("with_year"),
-    )
+    ways = {
+        "iso": (on("yyyy-MM-dd"), "MDY"), "slashes": (on("M/d/yyyy"), "MDY"), "dots": (on("dd.MM.yyyy."), "DMY"), "day name": (on("d MMM yyyy"), "MDY"), "name day": (on("MMMM d, yyyy"), "DMY"),
+        "partial": (on("dd.MM."), "DMY"), "with year": (partial, "DMY", 2024), "no date": (on("yyyy-13-dd"), "MDY"),
+    }
+    written = F.array(*[F.struct(F.lit(form).alias("form"), text.alias("text"), F.lit(order).alias("order"), F.lit(year[0] if year else None).cast("int").alias("year")) for form, (text, order, *year) in ways.items()])
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.inline(written))
+    return X.through(rows, {"d": (F.col("text"), D.date_steps(F.col("order"), F.col("year")))}).select("o_orderkey", "form", F.col("d.iso").alias("iso"))
 
 
 MONTH_NAMES = [("Januar", 1), ("févr.", 2), ("März", 3), ("abril", 4), ("Mai", 5), ("giugno", 6), ("juil", 7), ("août", 8), ("Set", 9), ("Okt", 10), ("noviembre", 11), ("dicembre", 12), ("mrt", 3), ("total", None), ("mon", None)]
@@ -103,8 +108,8 @@ def e12_format_date(spark, sf_dir):
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS own, false AS own_inherited, strftime(make_date(2024, month(o_orderdate), day(o_orderdate)), '%Y-%m-%d') AS taken, true AS inherited FROM orders")
 def e19_date_reading(spark, sf_dir):
-    own, part = D.date_reading(F.date_format("o_orderdate", "dd/MM/yyyy,"), "DMY", 2024), D.date_reading(F.date_format("o_orderdate", "dd/MM;"), "DMY", 2024)
-    return table(spark, sf_dir, "orders").select("o_orderkey", own.alias("a"), part.alias("b")).select("o_orderkey", F.col("a.iso").alias("own"), F.col("a.inherited").alias("own_inherited"), F.col("b.iso").alias("taken"), "b.inherited")
+    words = {"a": F.date_format("o_orderdate", "dd/MM/yyyy,"), "b": F.date_format("o_orderdate", "dd/MM;")}
+    return X.through(table(spark, sf_dir, "orders"), {k: (w, D.reading_steps("DMY", 2024)) for k, w in words.items()}).select("o_orderkey", F.col("a.iso").alias("own"), F.col("a.inherited").alias("own_inherited"), F.col("b.iso").alias("taken"), "b.inherited")
 
 
 @query("SELECT o_orderkey, true AS slashes, day(o_orderdate) <= 31 AS dots, true AS named, false AS order_no FROM orders")
@@ -118,7 +123,8 @@ def e14_split_run(spark, sf_dir):
     k = F.col("o_orderkey")
     amount = F.concat(F.lit("-"), (100 + k % 900).cast("string"), F.lit(","), F.lpad((k % 100).cast("string"), 2, "0"))
     run = F.concat(F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" Rent paid "), amount)
-    cells = table(spark, sf_dir, "orders").withColumn("run", run).select("o_orderkey", C.split_cell(F.col("run"), F.lit(42.0), 5.0 * F.length("run")).alias("c"))
+    runs = table(spark, sf_dir, "orders").select("o_orderkey", run.alias("str"), F.lit(42.0).alias("x"), (5.0 * F.length(run)).alias("w"))
+    cells = C.split_runs(runs).select("o_orderkey", F.col("cells").alias("c"))
     # The middle starts where the date ends; its own first character comes a blank later.
     return cells.select("o_orderkey", F.array_join(F.transform("c", lambda c: c["str"]), "|").alias("parts"), F.round(F.col("c")[0]["x"], 6).alias("x0"), F.round(F.col("c")[1]["x"] + 5, 6).alias("x1_or_end"))
 
@@ -182,7 +188,7 @@ SELECT kind, count(*) AS n FROM c GROUP BY kind""")
 def a25_cell_kinds(spark, sf_dir):
     rows = printed_rows(spark, sf_dir)
     cells = rows.select(F.explode(F.array("date_text", "description", "amount_text", F.col("okey").cast("string"))).alias("t"))
-    return cells.groupBy(C.classify(F.col("t")).alias("kind")).agg(F.count("*").alias("n"))
+    return C.classified(cells, F.col("t"), "kind", "amount").groupBy("kind").agg(F.count("*").alias("n"))
 
 
 HEADINGS = [("Running Balance", "balance"), ("Withdrawals:", "debit"), ("Paid in", "credit"), ("Amount *", "amount"), ("Value Date", "date"), ("Narration", "description"), ("zzz", None), ("Closing bal", "balance"), ("Money Out", "debit"), ("Dr.", "debit"), ("", None)]
@@ -206,9 +212,8 @@ VOTES = f"""{P}, v AS (SELECT doc_id, count(*) FILTER (doc_id % 2 = 1 AND day(tx
 
 def date_votes(rows, text: str):
     """Votes of numeric dates by document, with the order under either default."""
-    s = X.strip(F.col(text))
-    a, b = F.regexp_extract(s, D.NUMERIC, 1).try_cast("int"), F.regexp_extract(s, D.NUMERIC, 3).try_cast("int")
-    votes = rows.groupBy("doc_id").agg(F.count_if((a > 12) & (b <= 12)).alias("dmy"), F.count_if((b > 12) & (a <= 12)).alias("mdy"))
+    dmy, mdy = D.votes(F.col("f"))
+    votes = X.through(rows, {"f": (F.col(text), D.FIELD_STEPS)}).groupBy("doc_id").agg(F.count_if(dmy).alias("dmy"), F.count_if(mdy).alias("mdy"))
     order = lambda default: F.when(F.col("dmy") > F.col("mdy"), "DMY").when(F.col("mdy") > F.col("dmy"), "MDY").otherwise(default)
     return votes.select("doc_id", "dmy", "mdy", order("MDY").alias("order_v1"), order("DMY").alias("order_v2"), (F.col("dmy") == F.col("mdy")).alias("ambiguous"))
 
@@ -324,8 +329,9 @@ def e20_ofx_tags(spark, sf_dir):
     clock = F.when(F.col("o_orderkey") % 2 == 0, "081500.000[-5:EST]").otherwise("")
     block = F.concat(F.lit("<STMTTRN><dtposted>"), F.date_format("o_orderdate", "yyyyMMdd"), clock, F.lit("\r\n<NAME> A &amp; "), F.col("o_orderpriority"), F.lit(" </NAME><MEMO></MEMO>"))
     t = table(spark, sf_dir, "orders").select("o_orderkey", block.alias("b"))
-    on = O.ofx_date(O.tag(F.col("b"), "DTPOSTED"))
-    return t.select("o_orderkey", O.tag(F.col("b"), "NAME").alias("name"), O.tag(F.col("b"), "MEMO").alias("memo"), on["iso"].alias("iso"), on["time"].alias("time"))
+    tag = lambda name: O.tag(O.pieces(F.col("b")), name)
+    on = O.ofx_date(F.col("posted"))
+    return t.select("o_orderkey", tag("NAME").alias("name"), tag("MEMO").alias("memo"), tag("DTPOSTED").alias("posted")).select("o_orderkey", "name", "memo", on["iso"].alias("iso"), on["time"].alias("time"))
 
 
 @query(f"WITH {L}, g AS (SELECT *, lag(balance_cents) OVER (PARTITION BY doc_id ORDER BY idx) AS previous FROM l) SELECT doc_id, idx, abs(previous + amount_cents - balance_cents) / 100.0::DOUBLE <= 0.005 AS agrees, abs(previous + amount_cents - balance_cents) / 100.0::DOUBLE <= 100.0 AS near FROM g WHERE previous IS NOT NULL AND balance_cents IS NOT NULL")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tallyspark", **conf: str) -> SparkSession:
-    """A session with what the engine counts on: UTC and adaptive plans that split skewed partitions."""
-    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    """A session with what the engine counts on: UTC, adaptive plans that split skewed partitions, and checkpoints whose files
+    go with the last reference to them (a session made elsewhere keeps them unless it sets the same)."""
+    builder = SparkSession.builder.appName(name).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()

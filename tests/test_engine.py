@@ -43,7 +43,9 @@ def test_cells(spark):
 
 
 def test_splitting(spark):
-    got = one(spark, ["01. Okt 2021 Miete -790,00", "plain", "Coffee  shop 1,234.56", ""], "string", lambda c: cells.split_cell(c, F.lit(0.0), F.length(c) * 1.0))
+    texts = ["01. Okt 2021 Miete -790,00", "plain", "Coffee  shop 1,234.56", ""]
+    runs = spark.createDataFrame([(i, t, 0.0, float(len(t))) for i, t in enumerate(texts)], "i int, str string, x double, w double")
+    got = [r.cells for r in cells.split_runs(runs).orderBy("i").collect()]
     assert [[p.str for p in x] for x in got] == [["01. Okt 2021", "Miete", "-790,00"], ["plain"], ["Coffee  shop", "1,234.56"], [""]]
     assert [p.x for p in got[0]] == [0.0, 12.0, 19.0] and [p.w for p in got[2]] == [13.0, 8.0]
 
@@ -85,7 +87,7 @@ def test_statement(spark):
     assert [r.amount_cents for r in rows] == [-1000, -500, 101500, -2000] and rows[3].flags == ["sign-corrected"]
     assert rows[0].iso == "2025-04-13" and rows[1].description == "Shop number 1 card ending 99" and rows[1].flags == ["multiline-description"]
     s = got["summary"].first()
-    assert (s.reading, s.checked, s.matched, s.sign_corrections, s.quality, s.badge) == ("header labels", 3, 3, 1, "ok", "ok")
+    assert (s.reading, s.checked, s.matched, s.sign_corrections, s.quality, s.badge) == ("by headings", 3, 3, 1, "ok", "ok")
     assert got["warnings"].first().warnings == []
 
 
