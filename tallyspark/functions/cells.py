@@ -92,13 +92,13 @@ def split_runs(runs: DataFrame) -> DataFrame:
     before = size - F.length(F.regexp_replace(s, f"^{SPACE}+", ""))
     df = df.withColumn("_a", F.when(k == 3, ends[3]).when(k == 2, ends[2]).when(k == 1, ends[1]).otherwise(0)).withColumn("_b", F.when(F.col("_m"), before + F.length(strip(s)) - F.length(F.get(p, n - 1))).otherwise(size))
     whole = (k == 0) & ~F.col("_m")
-    df = classified(df.withColumn("_rest", F.when(whole, s).otherwise(strip(F.substring(s, a + 1, b - a)))), F.col("_rest"), "_kind", "_amount")
+    df = df.withColumn("_rest", F.when(whole, s).otherwise(strip(F.substring(s, a + 1, b - a)))).withColumn("_read", examined(F.col("_rest")))
     df = df.withColumn("_last", F.when(F.col("_m"), F.get(p, n - 1))).withColumn("_end", F.when(F.col("_m"), examined(F.get(p, n - 1))))  # few runs have one
     step = w / F.greatest(size, F.lit(1))
     piece = lambda text, at, to, kind, cents: F.struct(text.alias("str"), (x + at * step).cast("double").alias("x"), ((to - at) * step).cast("double").alias("w"), kind.alias("kind"), cents.alias("cents"))
     date = piece(F.array_join(F.slice(p, F.lit(1), F.greatest(k, F.lit(1))), " "), F.lit(0), a, F.lit("date"), F.lit(None).cast("long"))
-    rest = piece(F.col("_rest"), a, b, F.col("_kind"), F.col("_amount.cents"))
+    rest = piece(F.col("_rest"), a, b, F.col("_read.kind"), F.col("_read.cents"))
     last = piece(F.col("_last"), b, size, F.col("_end.kind"), F.col("_end.cents"))
     parts = F.array_compact(F.array(F.when(k > 0, date), F.when(F.col("_rest") != "", rest), F.when(F.col("_m"), last)))
-    one = F.array(F.struct(s.alias("str"), x.cast("double").alias("x"), w.cast("double").alias("w"), F.col("_kind").alias("kind"), F.col("_amount.cents").alias("cents")))
+    one = F.array(F.struct(s.alias("str"), x.cast("double").alias("x"), w.cast("double").alias("w"), F.col("_read.kind").alias("kind"), F.col("_read.cents").alias("cents")))
     return df.withColumn("cells", F.when(whole, one).otherwise(parts)).select(*runs.columns, "cells")
