@@ -33,23 +33,31 @@ def plain_label(text: Column) -> Column:
 
 def heading(text: Column) -> Column:
     """the task of a column heading, or null."""
-    label, out = plain_label(text), None
-    holds = lambda words: [F.contains(label, F.lit(f" {w} ")) for w in words]
-    for task, (first, anywhere, phrases) in HEADINGS.items():
-        tests = [label.startswith(f" {w} ") for w in first] + holds(anywhere) + holds(phrases) + holds(p.replace(" ", "") for p in phrases)
-        fits = tests[0]
-        for t in tests[1:]:
-            fits = fits | t
-        out = F.when(fits, task) if out is None else out.when(fits, task)
-    return out
+
+    def task_of(label: Column) -> Column:
+        out = None
+        holds = lambda words: [F.contains(label, F.lit(f" {w} ")) for w in words]
+        for task, (first, anywhere, phrases) in HEADINGS.items():
+            tests = [label.startswith(f" {w} ") for w in first] + holds(anywhere) + holds(phrases) + holds(p.replace(" ", "") for p in phrases)
+            fits = tests[0]
+            for t in tests[1:]:
+                fits = fits | t
+            out = F.when(fits, task) if out is None else out.when(fits, task)
+        return out
+
+    return let(plain_label(text), task_of)
 
 
 def no_row(text: Column) -> Column:
     """whether a row's text begins like a heading, a sum or small print."""
-    label, fits = plain_label(text), F.lit(False)
-    for begin in NOT_ROWS:
-        fits = fits | (label.startswith(f" {begin[:-1]}") & F.substring(label, len(begin) + 1, 1).between("0", "9") if begin.endswith("#") else label.startswith(f" {begin} "))
-    return fits
+
+    def begins(label: Column) -> Column:
+        fits = F.lit(False)
+        for begin in NOT_ROWS:
+            fits = fits | (label.startswith(f" {begin[:-1]}") & F.substring(label, len(begin) + 1, 1).between("0", "9") if begin.endswith("#") else label.startswith(f" {begin} "))
+        return fits
+
+    return let(plain_label(text), begins)
 
 
 def _kind(text: Column, amount: Column, dated: Column) -> Column:

@@ -47,13 +47,26 @@ YEAR_FIRST = [f"#{x}#{y}#" for x in MARKS for y in MARKS]
 NUMBERS = [f"#{x}#" for x in MARKS] + [f"#{x}#{x}#" for x in MARKS]
 
 
-def _parts(text: Column) -> Column:
-    """struct(frame, numbers, names, led): a text that may be a date, one closing mark left off, with # for each run of letters or
-    digits; its numbers and its words; whether a word comes first. Null for texts that no date looks like."""
-    s = F.regexp_replace(F.regexp_replace(strip(text), r"[./-]$", ""), f"{SPACE}+", " ")
-    frame = F.regexp_replace(s, r"[\p{L}0-9]+", "#")
+def _tidied(s: Column) -> Column:
+    """A text with a digit, one closing mark left off and blanks squeezed; null without one, as no date does without."""
+    return F.when(F.translate(s, "0123456789", "") != s, F.regexp_replace(F.regexp_replace(s, r"[./-]$", ""), f"{SPACE}+", " "))
+
+
+def _framed(s: Column) -> Column:
+    """struct(s, frame): with # for each run of letters or digits; null for texts too short or too long for a date."""
+    return F.when(F.length(s).between(3, 24), F.struct(s.alias("s"), F.regexp_replace(s, r"[\p{L}0-9]+", "#").alias("frame")))
+
+
+def _parts(x: Column) -> Column:
+    """struct(frame, numbers, names, led): the frame of a text that may be a date, its numbers and its words; whether a word comes
+    first. Null for texts that no date looks like."""
+    s, frame = x["s"], x["frame"]
     fields = F.struct(frame.alias("frame"), F.regexp_extract_all(s, F.lit("[0-9]+"), F.lit(0)).alias("numbers"), F.regexp_extract_all(s, F.lit(r"\p{L}+"), F.lit(0)).alias("names"), (~F.substring(s, 1, 1).between("0", "9")).alias("led"))
-    return F.when((F.length(s) <= 24) & (F.length(s) >= 3) & frame.startswith("#") & (F.length(frame) < F.length(s)), fields)
+    return F.when(frame.startswith("#") & (F.length(frame) < F.length(s)), fields)
+
+
+#: Each step uses the one before several times, and an interpreted expression is computed as often as it is used.
+PART_STEPS = [strip, _tidied, _framed, _parts]
 
 
 def _named(p: Column) -> Column:
@@ -96,7 +109,7 @@ def _numbered(f: Column) -> Column:
     return F.when(f["shape"].isNotNull(), F.struct(f["shape"].alias("shape"), f["a"].try_cast("int").alias("a"), f["b"].try_cast("int").alias("b"), f["month"].alias("month"), f["year"].alias("year")))
 
 
-FIELD_STEPS = [_parts, _named, _shaped, _dealt, _numbered]
+FIELD_STEPS = [*PART_STEPS, _named, _shaped, _dealt, _numbered]
 
 
 def _placed(f: Column, order: Column, fallback: Column) -> Column:
@@ -165,7 +178,7 @@ def date_like(text: Column) -> Column:
     known = lambda p: F.struct(p["frame"].alias("frame"), p["led"].alias("led"), F.size(p["numbers"]).alias("count"), F.size(p["names"]).alias("month"), *[F.get(p["numbers"], F.lit(k)).alias(n) for k, n in enumerate(("first", "second", "third"))])
     fits = lambda p: (F.size(p["names"]) == 0) | ((F.size(p["names"]) == 1) & F.length(F.get(p["names"], F.lit(0))).between(3, 9))
     numbers = lambda f: (f["shape"] != "numbers") | (f["a"].between(1, 31) & f["b"].between(1, 31))
-    return F.coalesce(chained(text, [_parts, lambda p: F.when(fits(p), known(p)), _shaped, _dealt, _numbered, numbers]), F.lit(False))
+    return F.coalesce(chained(text, [*PART_STEPS, lambda p: F.when(fits(p), known(p)), _shaped, _dealt, _numbered, numbers]), F.lit(False))
 
 
 def _resolved(iso: Column, year: Column | int) -> Column:
