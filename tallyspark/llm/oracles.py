@@ -125,3 +125,26 @@ c AS (SELECT DISTINCT row_id, unnest(range(i, i + 35)) AS place FROM r),
 x AS (SELECT row_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM d),
 k AS (SELECT row_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS kept FROM x ANTI JOIN c USING (row_id, place) GROUP BY row_id)
 SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (row_id)"""
+
+#: CRC-32 of a list of bytes `b`, for DuckDB: after each byte the register is shifted eight times.
+CRC32 = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform({b}, lambda x: [x, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END), 4294967295)"
+
+SQL["op13_periodic_runs"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, {WORDS} AS words,
+    {CRC32.format(b="list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)")} AS h FROM documents),
+p AS (SELECT *, len(words) AS n, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN h // 10 % len(words) END AS a FROM d),
+q AS (SELECT *, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM p),
+t AS (SELECT row_id, doc_id, CASE WHEN a IS NULL THEN words ELSE list_transform(range(0, n), lambda i: words[CASE WHEN i >= a THEN a + (i - a) % p ELSE i END + 1]) END AS words FROM q),
+w AS (SELECT row_id, len(words) AS n, unnest(range(0, len(words))) AS i, unnest(words) AS word FROM t),
+m AS (SELECT row_id, i, word, n FROM w QUALIFY count(*) OVER (PARTITION BY row_id, word) >= 4),
+e AS (SELECT x.row_id, y.i - x.i AS period, x.i - row_number() OVER (PARTITION BY x.row_id, y.i - x.i ORDER BY x.i) AS island, x.i FROM m x JOIN m y ON x.row_id = y.row_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT row_id, period, min(i) AS start, count(*) + period AS length FROM e GROUP BY row_id, period, island HAVING count(*) + period >= greatest(6, 4 * period)),
+r AS (SELECT row_id, start, length, min(period) AS period FROM s GROUP BY ALL),
+b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+l AS (SELECT row_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS runs FROM r GROUP BY row_id),
+o AS (SELECT DISTINCT row_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT row_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN o USING (row_id, i) GROUP BY row_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN b USING (row_id) LEFT JOIN l USING (row_id) LEFT JOIN k USING (row_id)"""
