@@ -148,3 +148,25 @@ k AS (SELECT row_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN o
 SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
   sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM t LEFT JOIN b USING (row_id) LEFT JOIN l USING (row_id) LEFT JOIN k USING (row_id)"""
+
+SQL["op12_resample"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {PLAIN} AS words FROM documents),
+b AS (SELECT {PLAIN} AS words FROM benchmark),
+x AS (SELECT row_id, words FROM d UNION ALL SELECT NULL, words FROM b),
+f AS (
+  SELECT row_id, unnest(words) AS feature FROM x
+  UNION ALL SELECT row_id, unnest(list_transform(range(1, len(words)), lambda i: concat(words[i], ' ', words[i + 1]))) FROM x WHERE len(words) > 1
+  UNION ALL SELECT row_id, unnest(list_transform(range(1, len(words) - 1), lambda i: concat(words[i], ' ', words[i + 1], ' ', words[i + 2]))) FROM x WHERE len(words) > 2),
+n AS (SELECT row_id, feature, count(*) AS n FROM f GROUP BY ALL),
+u AS (SELECT DISTINCT feature, hex(feature) AS bytes FROM n),
+h AS (SELECT feature, {CRC32.format(b="list_transform(range(0, strlen(feature)), lambda i: ('0x' || substr(bytes, (2 * i + 1)::BIGINT, 2))::BIGINT)")} % 10000 AS bucket FROM u),
+m AS (SELECT row_id, bucket, sum(n)::BIGINT AS n FROM n JOIN h USING (feature) GROUP BY ALL),
+a AS (SELECT bucket, coalesce(sum(n) FILTER (row_id IS NOT NULL), 0)::BIGINT AS s, coalesce(sum(n) FILTER (row_id IS NULL), 0)::BIGINT AS t FROM m GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM a),
+w AS (SELECT row_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM m JOIN g USING (bucket) WHERE row_id IS NOT NULL GROUP BY row_id),
+s AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256(concat('42:', doc_id)), 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (row_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) FILTER (n_words >= 20) OVER () * 5 // 100 AS most FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= most THEN place END AS rank FROM r"""

@@ -91,6 +91,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 def planted(docs: DataFrame) -> DataFrame:
     """docs, where each tenth text by the checksum of its id repeats a stretch of its words to its end."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
