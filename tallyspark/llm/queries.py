@@ -91,6 +91,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal import find_personal
+
+    return find_personal(table(spark, sf_dir, "documents")).drop("added").withColumnRenamed("id", "doc_id")
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resample import resample
 
