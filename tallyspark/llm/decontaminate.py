@@ -10,8 +10,7 @@ the shortest window: no window can occur anywhere else. A word counts as a bench
 whole window of them.
 
 The benchmark is the stated query set. It is read in blocks of up to BLOCK_BYTES of text, and each block is broadcast,
-as word numbers and places in them, and searched in a pass of its own over the documents, which hand on the spans and
-items found so far.
+as word numbers and places in them, and searched in a pass of its own over the documents.
 
 Defined cases: null texts have no words and are clean; items that are null, wordless or without an id are no items;
 an item id that repeats counts once among a document's items; repeated rows are judged one by one; a very long text is searched in parts that overlap by a window; an
@@ -27,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, quoted
+from .common import bounded_batches, quoted, scratch
 from .wordhash import NOT_ALNUM, Words, buffers, give_back, grams, mix, tidy
 
 WINDOW = 13
-SHARD, STEP = 1 << 18, 8
+SHARD, STEP, FLUSH = 1 << 18, 8, 5000
 BLOCK_BYTES = 4 << 20
 
 
@@ -174,8 +173,9 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return d, a[new] - d * far, b[last] - d * far
 
 
-def _scan(shared, more: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches (id, text, starts, ends, items) -> (id, text if more, n_words, starts, ends, items): found spans and items are added to those given."""
+def _scan(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (text, ...) -> (..., n_words, starts, ends, items). Texts are let go once their words are numbered: a task holds one batch, what a
+    shard needs, and the other columns of FLUSH rows."""
     query = shared.value if hasattr(shared, "value") else shared
     vocabulary, least = query["vocabulary"], min(query["windows"], default=0)
     split = Words(NOT_ALNUM, lower=True)
@@ -212,22 +212,18 @@ def _scan(shared, more: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal rows, counts, docs, hits, items
         search()
+        none = np.empty(0, dtype=np.int64)
+        d, s, e = merged(*(np.concatenate(x) for x in zip((none, none, none), *hits, strict=True)))
+        cut = pa.array(np.searchsorted(d, np.arange(docs + 1)), pa.int32())
+        owned = [sorted(items.get(d, ())) for d in range(docs)]
         table = pa.Table.from_batches(rows).combine_chunks()
-        for column in ("starts", "ends", "items"):
-            table = table.set_column(table.schema.get_field_index(column), column, pa.chunked_array([table.column(column).combine_chunks()]))
-        before, ends = (table.column(c).chunk(0) for c in ("starts", "ends"))
-        old = np.repeat(np.arange(table.num_rows), np.diff(before.offsets.to_numpy()))
-        d, s, e = merged(*(np.concatenate(x) for x in zip((old, before.flatten().to_numpy(), ends.flatten().to_numpy()), *hits, strict=True)))
-        cut = pa.array(np.searchsorted(d, np.arange(table.num_rows + 1)), pa.int32())
-        owned = [sorted({*x, *items.get(d, ())}) for d, x in enumerate(table.column("items").to_pylist())]
-        lists = [pa.ListArray.from_arrays(cut, pa.array(s)), pa.ListArray.from_arrays(cut, pa.array(e)), pa.array(owned, pa.list_(pa.string()))]
-        text = [table.column("text")] if more else []
-        out = pa.Table.from_arrays([table.column("id"), *text, pa.array(np.concatenate(counts) if counts else [], pa.int64()), *lists], ["id", *["text"] * more, "n_words", "starts", "ends", "items"])
-        yield from out.combine_chunks().to_batches()
+        for name, column in (("n_words", pa.array(np.concatenate(counts), pa.int64())), ("starts", pa.ListArray.from_arrays(cut, pa.array(s))), ("ends", pa.ListArray.from_arrays(cut, pa.array(e))), ("items", pa.array(owned, pa.list_(pa.string())))):
+            table = table.append_column(name, column)
+        yield from table.to_batches()
         rows, counts, hits, items, docs = [], [], [], {}, 0
 
     for batch in batches:
-        for i, j, text, _, _, h in split.pieces(*buffers(batch.column(1))):
+        for i, j, text, _, _, h in split.pieces(*buffers(batch.column(0))):
             counts.append(np.bincount(text - i, minlength=j - i).astype(np.int64))
             number = np.searchsorted(vocabulary, h)
             known = np.zeros(len(h), dtype=bool)
@@ -245,31 +241,58 @@ def _scan(shared, more: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
                     size += len(part) + 1
                     if size >= SHARD:
                         search()
-            rows.append(batch.slice(i, j - i))
+            rows.append(batch.slice(i, j - i).select(batch.schema.names[1:]))
             docs += j - i
-            if docs >= 5000:
+            if docs >= FLUSH:
                 yield from flush()
     if rows:
         yield from flush()
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (id, n_words, starts, ends, items) with spans and items of several passes -> the same with spans merged and items once."""
+    for batch in batches:
+        starts, ends = batch.column("starts"), batch.column("ends")
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(starts.offsets.to_numpy()))
+        d, s, e = merged(doc, starts.flatten().to_numpy(), ends.flatten().to_numpy())
+        cut = pa.array(np.searchsorted(d, np.arange(batch.num_rows + 1)), pa.int32())
+        owned = pa.array([sorted(set(x)) for x in batch.column("items").to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), pa.ListArray.from_arrays(cut, pa.array(s)), pa.ListArray.from_arrays(cut, pa.array(e)), owned], ["id", "n_words", "starts", "ends", "items"])
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, n_words, n_hit, starts, ends, items, contaminated): one row for each row of docs; starts and ends bound the merged spans of hit words, items are the
-    item ids as strings. A document is contaminated if at least one word in twenty is hit."""
+    item ids as strings. A document is contaminated if at least one word in twenty is hit.
+
+    A benchmark of one block is one pass over docs. Of more, each pass by itself has one Python worker for each core and one
+    block in it; the first gives all rows, the others save those with hits, which meet by id and a digest of the text."""
     spark = bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     items = benchmark.select(F.col(quoted(item_col)).cast("string").alias("item"), F.col(quoted(item_text_col)).alias("text")).where("item is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
-    out = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), F.array().cast("array<bigint>").alias("starts"), F.array().cast("array<bigint>").alias("ends"), F.array().cast("array<string>").alias("items"))
-    for k in range(blocks):
+    text = F.col(quoted(text_col))
+    rows = docs.select(text.alias("text"), F.col(quoted(id_col)).alias("id"), *[F.struct(F.col(quoted(id_col)).alias("id"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("text")).alias("key")] * (blocks > 1))
+    schema = f"id {kind}, {f'key struct<id:{kind},text:string>, ' * (blocks > 1)}n_words long, starts array<long>, ends array<long>, items array<string>"
+
+    def searched(k: int) -> DataFrame:
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast(windows(sorted((r["item"], r["text"]) for r in block.collect())))  # a block: about BLOCK_BYTES of text
         give_back()
-        more = k + 1 < blocks
-        out = out.mapInArrow(lambda b, shared=shared, more=more: tidy(_scan(shared, more, b)), f"id {kind}, {'text string, ' * more}n_words long, starts array<long>, ends array<long>, items array<string>")
-        if more:
-            out = out.select("id", "text", "starts", "ends", "items")
+        return rows.mapInArrow(lambda b: tidy(_scan(shared, b)), schema)
+
+    out = searched(0)
+    if blocks > 1:
+        with scratch(spark) as s:
+            first, more = s.save(out), None
+            for k in range(1, blocks):
+                part = s.save(searched(k).where(F.size("starts") > 0).dropDuplicates(["key"]).drop("id", "n_words"))
+                more = part if more is None else more.unionByName(part)
+            joined = lambda c: F.flatten(F.collect_list(c)).alias(f"more_{c}")
+            more = s.save(more.groupBy("key").agg(*map(joined, ("starts", "ends", "items"))))
+            both = first.join(more, first["key"].eqNullSafe(more["key"]), "left")
+            listed = [F.concat(c, F.coalesce(f"more_{c}", F.array().cast(first.schema[c].dataType))).alias(c) for c in ("starts", "ends", "items")]
+            out = s.keep(both.select("id", "n_words", *listed).mapInArrow(lambda b: tidy(_united(b)), f"id {kind}, n_words long, starts array<long>, ends array<long>, items array<string>"))
     hit = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda t, x: t + x)
     out = out.withColumn("n_hit", hit)
     return out.select("id", "n_words", "n_hit", "starts", "ends", "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))

@@ -15,14 +15,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import bounded_batches, quoted
+from .wordhash import tidy
 
 #: The shapes, and the split pattern that goes with the public byte-level vocabulary.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -80,6 +83,12 @@ def random_spans(text: str, encode, ratio: float = RATIO) -> list[tuple[int, int
     return out
 
 
+def apart(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that overlap none of base, which is sorted: of the base spans that start before a span ends, the one that reaches furthest decides."""
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    return [x for x in spans if not (k := bisect_left(starts, x[2])) or reach[k - 1] <= x[0]]
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -91,7 +100,7 @@ def _scan(shared, ratio: float, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         for text in batch.column(1):
             text = text.as_py() or ""
             base = base_spans(text)
-            more = [x for x in random_spans(text, encode, ratio) if not any(a < x[2] and x[0] < b for a, _, b in base)]
+            more = apart(random_spans(text, encode, ratio), base)
             for k, column in enumerate(counts):
                 column.append(sum(x[1] == k for x in base))
             digest.append(hashlib.sha256(written(base).encode()).hexdigest())
@@ -102,6 +111,7 @@ def _scan(shared, ratio: float, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, ratio: float = RATIO) -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_sha256, spans), one row for each row of docs. vocabulary: a file of ranks
     that the driver can read; the executors get its contents."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())  # a vocabulary: under 1 MB
-    return docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(lambda b: _scan(shared, ratio, b), f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(lambda b: tidy(_scan(shared, ratio, b)), f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
