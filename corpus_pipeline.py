@@ -36,7 +36,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, the one with the smallest id; of rows that repeat that id in a group,
-    the one with the smallest text hash. Documents without words or without an id stay."""
+    the one with the smallest text hash, and of equal texts the one whose row is the first as JSON, whatever the order of rows. Documents without words or without an id stay."""
     (key,) = fresh(docs, "content")
     with scratch(spark) as s:
         found = near_duplicates(docs).where("set_no is not null")
@@ -45,7 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         out = joined(docs.withColumn(key, F.xxhash64("text")), gone, ["doc_id", key], "left_anti")
         if many.limit(1).count():  # rows that repeat an id in a group
             listed = s.keep(joined(found.where("kept"), many, ["set_no"], "inner").select("doc_id", F.col("content").alias(key), (F.col("content") == F.col("one")).alias("stays")).distinct())
-            one = joined(out, s.save(listed.where("stays").drop("stays")), ["doc_id", key], "left_semi").groupBy("doc_id", key).agg(F.first(F.struct(*[quoted(c) for c in docs.columns])).alias("row"))
+            one = joined(out, s.save(listed.where("stays").drop("stays")), ["doc_id", key], "left_semi").groupBy("doc_id", key).agg(F.min_by(F.struct(*[quoted(c) for c in docs.columns]), F.to_json(F.struct(*[quoted(c) for c in docs.columns]))).alias("row"))
             rest = joined(out, s.save(listed.drop("stays")), ["doc_id", key], "left_anti").select(*[quoted(c) for c in docs.columns])
             return s.keep(rest.unionByName(one.select("row.*")))
     return out.select(*[quoted(c) for c in docs.columns])
