@@ -44,11 +44,12 @@ SHAPES = {
     "local_phone": r"(?<![0-9A-Za-z+(./-])(?:\([0-9]{2,5}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z/-])",
     "birth_date": r"(?<![0-9./-])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9/-])",
     "address": r"(?<![0-9.,])[0-9]{1,5}\x20(?:[A-Z][a-z]{1,20}+\x20){1,3}?(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Place|Pl|Square|Sq|Terrace|Way)(?![A-Za-z])",
-    "name": r"(?<![\p{L}\p{N}'.-])(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?)\.?\x20)?\p{Lu}\p{Ll}{1,20}+(?:\x20\p{Lu}\.)?(?:\x20\p{Lu}[\p{L}'-]{1,30}+){1,2}",
+    "name": r"(?=\p{Lu})(?<![\p{L}\p{N}'.-])(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?)\.?\x20)?\p{Lu}\p{Ll}{1,20}+(?:\x20\p{Lu}\.)?(?:\x20\p{Lu}[\p{L}'-]{1,30}+){1,2}",
 }
 KINDS = (*BASE, *SHAPES)
-#: All shapes at once; the mark that a date repeats has the only group.
+#: All shapes at once; the mark that a date repeats has the only group. Without a digit or a spelled "at" only names can be found.
 CANDIDATE = "|".join(SHAPES.values())
+MORE_THAN_NAMES = r"[0-9]|[\[(]\x20?(?:at|AT|ät)"
 
 #: Gazetteers and cue words.
 GIVEN = (
@@ -103,7 +104,8 @@ def located(text: Column, pattern: str, contexts: bool = False) -> Column:
 
         return let(parts, lambda p: F.when(F.size(p) <= CHUNK, placed(p, F.lit(0))).otherwise(by_chunks(p)))
 
-    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")), spans)
+    some = lambda hits: let(F.struct(hits.alias("hits"), F.split(text, pattern, -1).alias("gaps")), spans)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) == 0, F.array().cast(SPAN)).otherwise(some(hits)))
 
 
 def hidden(text: Column, pattern: str, good) -> Column:
@@ -211,7 +213,8 @@ def candidates(text: Column, company: Column) -> Column:
 
         return let(kind_of(c["text"]), told)
 
-    return F.filter(F.transform(located(text, CANDIDATE, contexts=True), judged), lambda c: c["kind"].isNotNull())
+    found = F.when(text.rlike(MORE_THAN_NAMES), located(text, CANDIDATE, contexts=True)).otherwise(located(text, SHAPES["name"], contexts=True))
+    return F.filter(F.transform(found, judged), lambda c: c["kind"].isNotNull())
 
 
 FEATURES = VOTES + len(SHAPES) + 12
