@@ -6,58 +6,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .amounts import AMOUNT_STEPS, amount_like, money_shape, parse_amount
-from .dates import any_date, date_steps, month_number
+from .dates import FIELD_STEPS, any_date, date_steps, dated_steps, month_number
 from .text import SPACE, let, strip, through
 
-#: Headings by task, in the order in which they are tried, as statements of banks have them: words that a label begins with,
-#: words that it holds anywhere, and phrases, which may also be written as one word.
-HEADINGS = {
-    "balance": (("balance", "bal"), (), ("running balance", "running bal", "closing balance", "closing bal")),
-    "debit": ((), ("debit", "debits", "withdrawal", "withdrawals", "dr"), ("paid out", "money out", "payment out", "payments out")),
-    "credit": ((), ("credit", "credits", "deposit", "deposits", "cr"), ("paid in", "money in", "payment in", "payments in")),
-    "amount": (("amount", "amt"), (), ()),
-    "date": (("date",), (), ("value date", "value dt", "post date", "posting date", "booking date", "txn date", "transaction date")),
-    "description": ((), ("description", "desc", "details", "detail", "narration", "narrative", "particulars", "particular", "remarks", "remark", "merchant", "payee", "memo", "transaction", "transactions", "reference"), ()),
-}
-#: How rows begin that belong to no transaction: one word, or words in a row; # stands for a number.
-NOT_ROWS = (
-    "opening", "beginning", "ending", "closing balance", "balance forward", "balance brought", "balance carried", "b f", "c f", "total", "totals", "subtotal", "sub total", "summary",
-    "minimum payment", "amount due", "continued", "page #", "important", "please note", "this is", "this statement", "member fdic", "equal housing", "deposit may not", "deposits may not",
-)
+#: Words of bank statements by what they speak of, in English, German, French, Spanish, Italian and Portuguese, without accents.
+STATE = "balance bal saldo solde kontostand".split()
+DEBIT = "debit debits dr withdrawal withdrawals charge charges soll lastschrift belastung cargo cargos dare addebito debito sortie sorties retrait retiros".split()
+CREDIT = "credit credits cr deposit deposits haben gutschrift abono abonos avere accredito credito entree entrees versement ingresos".split()
+AMOUNT = "amount amt betrag umsatz montant importe monto importo valor".split()
+DATE = "date dt datum fecha data buchungstag valuta".split()
+WORDING = "description desc detail details narration narrative particular particulars remark remarks memo payee merchant reference transaction transactions text verwendungszweck buchungstext libelle concepto detalle causale descrizione descricao historico".split()
+FLOW, INTO, OUT_OF = "paid money payment payments funds".split(), "in received".split(), "out made".split()
+STAGE = "opening starting beginning initial previous closing ending final new".split()
+SUMS = "total totals subtotal subtotals summe somme totale".split()
+ACCENTS = ("áàâäãéèêëíìîïóòôöõúùûüçñß", "aaaaaeeeeiiiiooooouuuucns")
 
 
-def plain_label(text: Column) -> Column:
-    """A label in lower case, its words apart by single blanks and between blanks."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+def label_words(text: Column) -> Column:
+    """The words of a label in lower case, without accents and marks."""
+    return F.filter(F.split(F.translate(F.lower(text), *ACCENTS), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def heading(text: Column) -> Column:
-    """the task of a column heading, or null."""
+    """the task of a column heading, or null. A state of the account decides before a side of it, a side before an amount, and that
+    before dates and wording; money that goes in or out has a side without a word for it."""
 
-    def task_of(label: Column) -> Column:
-        out = None
-        holds = lambda words: [F.contains(label, F.lit(f" {w} ")) for w in words]
-        for task, (first, anywhere, phrases) in HEADINGS.items():
-            tests = [label.startswith(f" {w} ") for w in first] + holds(anywhere) + holds(phrases) + holds(p.replace(" ", "") for p in phrases)
-            fits = tests[0]
-            for t in tests[1:]:
-                fits = fits | t
-            out = F.when(fits, task) if out is None else out.when(fits, task)
-        return out
+    def task_of(words: Column) -> Column:
+        has = lambda of: F.exists(words, lambda w: w.isin(of))
+        moves = lambda where: (has(FLOW) & has(where)) | has([f + w for f in FLOW for w in where])
+        return F.when(has(STATE), "balance").when(has(DEBIT) | moves(OUT_OF), "debit").when(has(CREDIT) | moves(INTO), "credit").when(has(AMOUNT), "amount").when(has(DATE), "date").when(has(WORDING), "description")
 
-    return let(plain_label(text), task_of)
+    return let(label_words(text), task_of)
 
 
 def no_row(text: Column) -> Column:
-    """whether a row's text begins like a heading, a sum or small print."""
+    """whether a row's text says a state of the account, a sum, what is due, where a page ends, or small print, by its first two words."""
 
-    def begins(label: Column) -> Column:
-        fits = F.lit(False)
-        for begin in NOT_ROWS:
-            fits = fits | (label.startswith(f" {begin[:-1]}") & F.substring(label, len(begin) + 1, 1).between("0", "9") if begin.endswith("#") else label.startswith(f" {begin} "))
-        return fits
+    def begins(words: Column) -> Column:
+        first, second = F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.coalesce(F.get(words, F.lit(1)), F.lit(""))
+        figure = second.rlike("^[0-9]*$")
+        state = (first.isin(STAGE) & (second.isin(STATE) | figure)) | (first.isin(STATE) & second.isin("brought", "carried", "forward", "due", "b", "c")) | (first.isin("brought", "carried", "b", "c") & second.isin("forward", "fwd", "f", "d"))
+        due = (first.isin("minimum", "amount", "payment", "past") & second.isin("due", "payment")) | (first.isin(SUMS)) | ((first == "sub") & second.isin(SUMS))
+        edge = (first.isin("page", "seite", "pagina", "folio", "blatt") & figure & (second != "")) | first.isin("continued", "continues", "fortsetzung")
+        print_ = first.isin("important", "notice", "disclaimer") | (first.isin("please", "kindly") & second.isin("note", "see", "contact", "refer", "read", "examine")) | ((first == "this") & second.isin("is", "statement", "page", "account", "document"))
+        insured = (first.isin("deposit", "deposits", "funds") & second.isin("may", "are", "not")) | (first.isin("member", "members") & second.isin("fdic", "sipc", "finra")) | ((first == "equal") & second.isin("housing", "opportunity"))
+        return state | due | edge | print_ | insured
 
-    return let(plain_label(text), begins)
+    return let(label_words(text), begins)
 
 
 def _kind(text: Column, amount: Column, dated: Column) -> Column:
@@ -83,30 +78,67 @@ def classified(df: DataFrame, text: Column, kind: str, amount: str) -> DataFrame
     return read.withColumn(kind, _kind(F.col(own), F.col(amount), F.col(date).isNotNull())).drop(own, date)
 
 
-def split_runs(runs: DataFrame) -> DataFrame:
-    """runs(str, x, w) with `cells`, an array of struct(str, x, w, kind, cents): a leading date, the middle and a trailing amount,
-    placed by even advance; or the run itself if there is nothing to split off."""
-    s, x, w = F.col("str"), F.col("x"), F.col("w")
-    p, n, size, k, a, b = F.col("_p"), F.size("_p"), F.length("str"), F.col("_k"), F.col("_a"), F.col("_b")
-    df = runs.withColumn("_p", F.filter(F.split(strip(s), f"{SPACE}+"), lambda z: z != ""))
+#: What parts of a run's text may turn out to be: the whole, its first one to three words as a date, its last word as an amount;
+#: from REST on what is left between a date of k words and, if m is 1, an amount: REST + 2 * k + m.
+WHOLE, LAST, REST = 0, 4, 10
+
+
+def _slots(s: Column, p: Column, opens: Column, shaped: Column) -> Column:
+    """struct(slot, str, text, at, to) of every part of a text that must be read; p: its words; opens: whether it may begin
+    with a date; shaped: whether it ends like an amount. `text` is what is read, `str` what is shown."""
+    n, size = F.size(p), F.length(s)
+    slot = lambda k, shown, at, to, text=None: F.struct(F.lit(k).alias("slot"), shown.alias("str"), (shown if text is None else text).alias("text"), at.alias("at"), to.alias("to"))
+    ends = {0: F.lit(0)} | {j: F.length(F.regexp_extract(s, rf"^{SPACE}*" + rf"{SPACE}+".join([rf"[^{SPACE[1:-1]}]+"] * j), 0)) for j in (1, 2, 3)}
+    last = F.get(p, n - 1)
+    begins = {0: size, 1: size - F.length(F.regexp_replace(s, f"^{SPACE}+", "")) + F.length(strip(s)) - F.length(last)}
+    out = [slot(WHOLE, s, F.lit(0), size), F.when(shaped, slot(LAST, last, begins[1], size))]
+    for j in (1, 2, 3):
+        first = F.array_join(F.slice(p, F.lit(1), j), " ")
+        out.append(F.when(opens & (n > j), slot(j, first, F.lit(0), ends[j], F.regexp_replace(first, "[,.]$", ""))))
+    for k in range(4):
+        for m in (0, 1):
+            if k or m:
+                between = strip(F.substring(s, ends[k] + 1, begins[m] - ends[k]))
+                out.append(F.when((opens & (n > k) if k else F.lit(True)) & (shaped if m else F.lit(True)), slot(REST + 2 * k + m, between, ends[k], begins[m])))
+    return F.array_compact(F.array(*out))
+
+
+def read_strings(strings: DataFrame) -> DataFrame:
+    """(str, parts) for each distinct text of strings(str): struct(str, at, to, kind, cents, fields, task) of a leading date, the middle and a
+    trailing amount, or of the whole if there is nothing to split off. All parts that may be needed are read side by side,
+    by generated code; fields are a date's, for whatever order its document has."""
+    s, p, n = F.col("str"), F.col("_p"), F.size("_p")
+    d = strings.select("str").where("str is not null").distinct().withColumn("_p", F.filter(F.split(strip(s), f"{SPACE}+"), lambda z: z != ""))
     # Only what starts with a digit or a month is tried as a date.
     opens = (n > 1) & (F.substring(F.get(p, F.lit(0)), 1, 1).between("0", "9") | month_number(F.regexp_extract(F.get(p, F.lit(0)), r"^\p{L}+", 0)).isNotNull())
-    dated = lambda j: (n > j) & any_date(F.regexp_replace(F.array_join(F.slice(p, F.lit(1), j), " "), "[,.]$", ""))
-    first = F.get(F.filter(F.array(F.lit(3), F.lit(2), F.lit(1)), dated), F.lit(0))
-    df = df.withColumn("_k", F.when(opens, F.coalesce(first, F.lit(0))).otherwise(0))
-    df = df.withColumn("_m", F.when((n >= 2) & ((k == 0) | (n > 2)), money_shape(F.get(p, n - 1))).otherwise(False))
-    # Where the last word of the date ends and where the amount starts.
-    ends = {j: F.length(F.regexp_extract(s, rf"^{SPACE}*" + rf"{SPACE}+".join([rf"[^{SPACE[1:-1]}]+"] * j), 0)) for j in (1, 2, 3)}
-    before = size - F.length(F.regexp_replace(s, f"^{SPACE}+", ""))
-    df = df.withColumn("_a", F.when(k == 3, ends[3]).when(k == 2, ends[2]).when(k == 1, ends[1]).otherwise(0)).withColumn("_b", F.when(F.col("_m"), before + F.length(strip(s)) - F.length(F.get(p, n - 1))).otherwise(size))
-    whole = (k == 0) & ~F.col("_m")
-    df = df.withColumn("_rest", F.when(whole, s).otherwise(strip(F.substring(s, a + 1, b - a)))).withColumn("_read", examined(F.col("_rest")))
-    df = df.withColumn("_last", F.when(F.col("_m"), F.get(p, n - 1))).withColumn("_end", F.when(F.col("_m"), examined(F.get(p, n - 1))))  # few runs have one
+    d = d.withColumn("_opens", F.coalesce(opens, F.lit(False))).withColumn("_shaped", F.when(n >= 2, money_shape(F.get(p, n - 1))).otherwise(False))
+    e = d.select("str", n.alias("n"), F.inline(_slots(s, p, F.col("_opens"), F.col("_shaped")))).toDF("str", "n", "slot", "shown", "text", "at", "to")
+    e = through(e, {"amount": (F.col("text"), AMOUNT_STEPS), "fields": (F.col("text"), FIELD_STEPS)})
+    e = through(e, {"date": (F.col("fields"), dated_steps("DMY"))})
+    dated = F.col("date").isNotNull()
+    part = F.struct(F.col("shown").alias("str"), "at", "to", _kind(F.col("text"), F.col("amount"), dated).alias("kind"), F.col("amount.cents").alias("cents"), F.when(dated, F.col("fields")).alias("fields"), heading(F.col("shown")).alias("task"))
+    g = e.groupBy("str").agg(F.map_from_entries(F.collect_list(F.struct("slot", part.alias("part")))).alias("read"), F.max("n").alias("n"), F.coalesce(F.max(F.when(F.col("slot").between(1, 3) & dated, F.col("slot"))), F.lit(0)).alias("k"))
+    read = lambda slot: F.try_element_at("read", slot)
+    g = g.withColumn("m", (read(F.lit(LAST)).isNotNull() & ((F.col("k") == 0) | (F.col("n") > 2))).cast("int"))
+    rest = read(REST + 2 * F.col("k") + F.col("m"))
+    date = read(F.col("k")).withField("kind", F.lit("date")).withField("cents", F.lit(None).cast("long"))
+    parts = F.array_compact(F.array(F.when(F.col("k") > 0, date), F.when(rest["str"] != "", rest), F.when(F.col("m") == 1, read(F.lit(LAST)))))
+    return g.select("str", F.when((F.col("k") == 0) & (F.col("m") == 0), F.array(read(F.lit(WHOLE)))).otherwise(parts).alias("parts"))
+
+
+def split_runs(runs: DataFrame) -> DataFrame:
+    """runs(str, x, w) with `cells`, an array of struct(str, x, w, kind, cents, fields, task): what read_strings() found in each
+    distinct text, placed by even advance. A null text is one cell."""
+    x, w, size = F.col("x").cast("double"), F.col("w").cast("double"), F.length("str")
     step = w / F.greatest(size, F.lit(1))
-    piece = lambda text, at, to, kind, cents: F.struct(text.alias("str"), (x + at * step).cast("double").alias("x"), ((to - at) * step).cast("double").alias("w"), kind.alias("kind"), cents.alias("cents"))
-    date = piece(F.array_join(F.slice(p, F.lit(1), F.greatest(k, F.lit(1))), " "), F.lit(0), a, F.lit("date"), F.lit(None).cast("long"))
-    rest = piece(F.col("_rest"), a, b, F.col("_read.kind"), F.col("_read.cents"))
-    last = piece(F.col("_last"), b, size, F.col("_end.kind"), F.col("_end.cents"))
-    parts = F.array_compact(F.array(F.when(k > 0, date), F.when(F.col("_rest") != "", rest), F.when(F.col("_m"), last)))
-    one = F.array(F.struct(s.alias("str"), x.cast("double").alias("x"), w.cast("double").alias("w"), F.col("_read.kind").alias("kind"), F.col("_read.cents").alias("cents")))
-    return df.withColumn("cells", F.when(whole, one).otherwise(parts)).select(*runs.columns, "cells")
+    kept = lambda c: [c[k].alias(k) for k in ("kind", "cents", "fields", "task")]
+
+    def placed(c: Column) -> Column:
+        whole = (c["at"] == 0) & (c["to"] == size)
+        return F.struct(c["str"].alias("str"), F.when(whole, x).otherwise(x + c["at"] * step).alias("x"), F.when(whole, w).otherwise((c["to"] - c["at"]) * step).alias("w"), *kept(c))
+
+    read = read_strings(runs)
+    fields = read.schema["parts"].dataType.elementType["fields"].dataType
+    none = F.struct(F.lit(None).cast("string").alias("str"), x.alias("x"), w.alias("w"), F.lit("text").alias("kind"), F.lit(None).cast("long").alias("cents"), F.lit(None).cast(fields).alias("fields"), F.lit(None).cast("string").alias("task"))
+    cells = F.when(F.col("parts").isNull(), F.array(none)).otherwise(F.transform("parts", placed))
+    return runs.join(read, "str", "left").withColumn("cells", cells).select(*runs.columns, "cells")

@@ -142,6 +142,11 @@ def date_steps(order: Column | str = "MDY", fallback_year: Column | int | None =
     return [*FIELD_STEPS, lambda f: _placed(f, order, fallback), _checked]
 
 
+def dated_steps(order: Column | str = "MDY", fallback_year: Column | int | None = None) -> list:
+    """The last of date_steps(): from what FIELD_STEPS make of a text."""
+    return date_steps(order, fallback_year)[len(FIELD_STEPS) :]
+
+
 def parse_date(text: Column, order: Column | str = "MDY", fallback_year: Column | int | None = None) -> Column:
     """struct(year, month, day, order, iso) of a text that is one date, else null."""
     return chained(text, date_steps(order, fallback_year))

@@ -25,19 +25,26 @@ def chained(value: Column, steps) -> Column:
 
 def through(df: DataFrame, jobs: dict[str, tuple]) -> DataFrame:
     """df with columns {name: (column, steps)}: as chained(), but each step is a projection of its own, so Spark generates
-    code for it and computes what a later step uses several times once. HotSpot never compiles methods of more than 8,000 bytes,
-    so Spark is told not to fuse projections beyond that. Filters on a result would be pushed down through all steps and copied
-at each; a row number that is always true stops them."""
+    code for it and computes what a later step uses several times once; the k-th steps of all jobs share one. HotSpot never compiles
+    methods of more than 8,000 bytes, so Spark is told not to fuse projections beyond that. Filters on a result would be pushed
+    down through all steps and copied at each; a row number that is always true stops them."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.codegen.hugeMethodLimit")) > 8000:
         conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    out, kept = df, [c for c in df.columns if c not in jobs]
-    for name, (value, steps) in jobs.items():
-        for k, step in enumerate(steps):
-            out = out.withColumn(f"_{name}_{k}", step(F.col(f"_{name}_{k - 1}") if k else value))
-        out = out.drop(*[f"_{name}_{k}" for k in range(len(steps) - 1)])
-    read = lambda name, steps: F.when(F.monotonically_increasing_id() >= 0, F.col(f"_{name}_{len(steps) - 1}"))
-    return out.select(*kept, *[read(name, steps).alias(name) for name, (_, steps) in jobs.items()])
+    own = {name: f"_{name}_step" for name in jobs}
+    out, carried = df, list(df.columns)
+    for k in range(max(len(steps) for _, steps in jobs.values())):
+        read = lambda name, value, steps: steps[k](F.col(own[name]) if k else value) if k < len(steps) else F.col(own[name])  # noqa: B023, E731
+        out = out.select(*carried, *[read(name, value, steps).alias(own[name]) for name, (value, steps) in jobs.items()])
+        carried = [c for c in carried if c not in jobs]
+    return out.select(*carried, *[F.when(F.monotonically_increasing_id() >= 0, F.col(own[name])).alias(name) for name in jobs])
+
+
+def read_once(df: DataFrame, column: str, jobs: dict[str, list]) -> DataFrame:
+    """df with columns {name: steps} of the texts in `column`, as through() has them, but each distinct text is read once and meets its
+    rows again by value. Spark broadcasts what was read if it turns out to be small; else both sides are dealt out by text."""
+    texts = through(df.select(column).distinct(), {name: (F.col(column), steps) for name, steps in jobs.items()})
+    return df.join(texts, column, "left").select(*df.columns, *jobs)
 
 
 def strip(text: Column) -> Column:

@@ -1,14 +1,14 @@
-"""Clusters of numbers on a line by running means, as folds over sorted arrays."""
+"""Clusters of numbers on a line by running means: cut at gaps, then folded between them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 def mean_groups(values: Column, tolerance: Column | float) -> Column:
-    """A1: group numbers (from 0) of ascending values. A value joins the last group if it lies within tolerance of the
-    group's mean so far, else it opens a new one; a group may drift along with its mean."""
+    """A1, A5: group numbers (from 0) of ascending values. A value joins the last group if it lies within tolerance of the
+    group's mean so far, else it opens a new one; a group may drift along with its mean. To join the first group within
+    tolerance comes to the same: a group that one value is beyond stays behind all later ones."""
     tolerance = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))
     start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("n"), F.lit(-1).alias("g"))
 
@@ -20,28 +20,24 @@ def mean_groups(values: Column, tolerance: Column | float) -> Column:
     return F.aggregate(values, start, step, lambda s: s["out"])
 
 
-def first_fit_groups(values: Column, tolerance: Column | float) -> Column:
-    """A5: as mean_groups, but a value joins the first group whose mean lies within tolerance."""
-    tolerance = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))
-    group = "array<struct<sum:double,n:double>>"
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.array().cast(group).alias("groups"))
-
-    def step(s: Column, v: Column) -> Column:
-        near = F.transform(s["groups"], lambda g, i: F.when(F.abs(g["sum"] / g["n"] - v) <= tolerance, i))
-        at = F.coalesce(F.array_min(near), F.size(s["groups"]))
-        grown = F.transform(s["groups"], lambda g, i: F.when(i == at, F.struct((g["sum"] + v).alias("sum"), (g["n"] + 1.0).alias("n"))).otherwise(g))
-        fresh = F.when(at == F.size(s["groups"]), F.array(F.struct(v.alias("sum"), F.lit(1.0).alias("n")))).otherwise(F.array().cast(group))
-        return F.struct(F.concat(s["out"], F.array(at.cast("int"))).alias("out"), F.concat(grown, fresh).alias("groups"))
-
-    return F.aggregate(values, start, step, lambda s: s["out"])
-
+def clustered(items: DataFrame, keys: list[str], value: str, tolerance: Column | float, order: list[str]) -> DataFrame:
+    """items with a column `cluster`: numbers of clusters of `value` within keys, ties by the order columns. tolerance is a number
+    or depends on keys.
 
-def clustered(items: DataFrame, keys: list[str], value: str, tolerance: Column | float, order: list[str], fold=mean_groups) -> DataFrame:
-    """items with a column `cluster`: numbers of clusters of `value` within keys, ties by the order columns."""
+    Values further apart than the tolerance never share a cluster, as a mean lies between its values. So values in order are cut at
+    such gaps, and only a segment between them, not all of a key, meets in a row. A segment narrower than the tolerance is one
+    cluster; the others are folded, which takes the square of a segment's size, as Spark copies a fold's state at each step."""
     columns = [c for c in items.columns if c not in keys]
-    lists = items.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(value).alias("_v"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*columns).alias("_item")))).alias("_items"))
-    numbered = lists.withColumn("_groups", fold(F.transform("_items", lambda x: x["_v"]), tolerance))
-    return numbered.select(*keys, F.explode(F.arrays_zip("_items", "_groups")).alias("_z")).select(*keys, "_z._items._item.*", F.col("_z._groups").alias("cluster"))
+    tolerance = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))
+    v, in_order = F.col("_v"), Window.partitionBy(*keys).orderBy("_v", *order)
+    cut = F.coalesce(v - F.lag("_v").over(in_order) > tolerance, F.lit(True))
+    cut_up = items.withColumn("_v", F.col(value).cast("double")).withColumn("_cut", cut).withColumn("_segment", F.count_if("_cut").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    packed = F.struct("_v", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*columns).alias("_item"))
+    lists = cut_up.groupBy(*keys, "_segment").agg(F.sort_array(F.collect_list(packed)).alias("_items"), (F.max("_v") - F.min("_v")).alias("_width"))
+    groups = F.when(F.col("_width") < 0.999999 * tolerance, F.array_repeat(F.lit(0), F.size("_items"))).otherwise(mean_groups(F.transform("_items", lambda x: x["_v"]), tolerance))
+    numbered = lists.withColumn("_groups", groups).select(*keys, "_segment", F.explode(F.arrays_zip("_items", "_groups")).alias("_z"))
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("_segment", "_group")) - 1
+    return numbered.select(*keys, "_segment", "_z._items._item.*", F.col("_z._groups").alias("_group")).withColumn("cluster", number).drop("_segment", "_group")
 
 
 def median(x: Column | str) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cells import heading, no_row, split_runs
-from ..functions.dates import parse_date
-from ..functions.text import row_key, squeeze, strip
+from ..functions.cells import no_row, split_runs
+from ..functions.dates import dated_steps
+from ..functions.text import row_key, squeeze, strip, through
 from .cluster import clustered
 
 
@@ -25,8 +25,8 @@ def build_rows(runs: DataFrame) -> DataFrame:
     """A2, O1: (doc_id, page, row_no, y, height, text, cells): runs on one baseline, in reading order, split by E14 and classified by F1."""
     # The tolerance is half the page's usual height of type.
     usual = F.median(F.when((F.col("h") > 0) & (F.col("h") < 200), F.col("h"))).over(Window.partitionBy("doc_id", "page"))
-    runs = runs.withColumn("_m", usual).withColumn("_t", F.greatest(F.lit(1.5), 0.5 * F.when(F.coalesce("_m", F.lit(0.0)) == 0, 10.0).otherwise(F.col("_m"))))
-    numbered = clustered(split_runs(runs), ["doc_id", "page", "_t"], "y", F.col("_t"), ["x", "ord"])
+    split = split_runs(runs).withColumn("_m", usual).withColumn("_t", F.greatest(F.lit(1.5), 0.5 * F.when(F.coalesce("_m", F.lit(0.0)) == 0, 10.0).otherwise(F.col("_m"))))
+    numbered = clustered(split, ["doc_id", "page", "_t"], "y", F.col("_t"), ["x", "ord"])
     rows = numbered.groupBy("doc_id", "page", "cluster").agg(F.median("y").alias("y"), F.median("h").alias("height"), F.sort_array(F.collect_list(F.struct("x", "ord", "str", "w", "cells"))).alias("_runs"))
     rows = rows.withColumn("text", joined_text(F.col("_runs"), F.greatest(F.lit(1.2), 0.18 * F.col("height"))))
     rows = rows.withColumn("cells", F.flatten(F.transform("_runs", lambda r: r["cells"])))
@@ -72,7 +72,7 @@ def detect_columns(rows: DataFrame) -> DataFrame:
     extent = cells.groupBy("doc_id").agg(F.min("x").alias("table_left"), F.max(F.col("x") + F.col("w")).alias("table_right"), F.count_if(F.col("kind") == "money").alias("n_money"))
     base = body.join(extent, "doc_id", "left").withColumns({"date_t": F.greatest(F.lit(6.0), 0.9 * F.col("body")), "money_t": F.greatest(F.lit(5.0), 0.7 * F.col("body")), "n_money": F.coalesce("n_money", F.lit(0))})
 
-    labels = F.filter(F.transform("cells", lambda c: F.struct(strip(c["str"]).alias("str"), c["x"].alias("x"), (c["x"] + c["w"]).alias("right"), heading(c["str"]).alias("task"))), lambda h: h["task"].isNotNull())
+    labels = F.filter(F.transform("cells", lambda c: F.struct(strip(c["str"]).alias("str"), c["x"].alias("x"), (c["x"] + c["w"]).alias("right"), c["task"].alias("task"))), lambda h: h["task"].isNotNull())
     heads = rows.where("row_no < 60").select("doc_id", "row_no", labels.alias("labels")).withColumn("tasks", F.size(F.array_distinct(F.transform("labels", lambda h: h["task"])))).where("tasks >= 2")
     header = heads.groupBy("doc_id").agg(F.max_by(F.struct("row_no", "labels"), F.struct("tasks", -F.col("row_no"))).alias("h")).select("doc_id", F.col("h.row_no").alias("header_row"), F.col("h.labels").alias("header"))
 
@@ -115,26 +115,26 @@ def table_window(rows: DataFrame) -> DataFrame:
 
 
 def assemble(rows: DataFrame, model: DataFrame, orders: DataFrame) -> DataFrame:
-    """(doc_id, idx, page, row_no, iso, date_raw, description, raw_text, flags, money): a transaction for each dated
+    """(doc_id, idx, page, row_no, iso, date_raw, description, raw_text, flags, money, money_bands): a transaction for each dated
     row, with the rows below it. orders(doc_id, date_order, year): how dates are read."""
     r = table_window(furniture(rows)).where("not noise").join(model.select("doc_id", "date_bands", "money_bands"), "doc_id").join(orders, "doc_id")
     centre = lambda c: c["x"] + c["w"] / 2
-    dated = F.get(F.filter("cells", lambda c: (c["kind"] == "date") & in_band(centre(c), F.col("date_bands"))), F.lit(0))["str"]
+    dated = F.get(F.filter("cells", lambda c: (c["kind"] == "date") & in_band(centre(c), F.col("date_bands"))), F.lit(0))
     words = F.filter(F.transform(F.filter("cells", lambda c: ~in_band(centre(c), F.col("date_bands"), 4) & ~in_band(centre(c), F.col("money_bands"), 4)), lambda c: strip(c["str"])), lambda s: s != "")
     amounts = F.transform(F.filter("cells", lambda c: c["kind"].isin("money", "weak_number")), lambda c: F.struct(nearest(centre(c), F.col("money_bands"))["id"].alias("band"), c["cents"].alias("cents")))
     amounts = F.filter(amounts, lambda m: m["band"].isNotNull())
-    r = r.select("doc_id", "page", "row_no", "text", "in_table", "date_order", "year", dated.alias("date_cell"), squeeze(F.array_join(words, " ")).alias("words"), amounts.alias("money"))
-    r = r.withColumn("iso", parse_date(F.col("date_cell"), F.col("date_order"), F.col("year"))["iso"])
+    r = r.select("doc_id", "page", "row_no", "text", "in_table", "date_order", "year", dated["str"].alias("date_cell"), dated["fields"].alias("date_fields"), squeeze(F.array_join(words, " ")).alias("words"), amounts.alias("money"), "money_bands")
+    r = through(r, {"iso": (F.col("date_fields"), [*dated_steps(F.col("date_order"), F.col("year")), lambda d: d["iso"]])})
     opens = F.col("iso").isNotNull()
     r = r.withColumn("idx", F.count_if(opens).over(Window.partitionBy("doc_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)))
     r = r.where(opens | ((F.col("idx") > 0) & F.col("in_table") & ~no_row(F.col("text"))))
     below = F.sort_array(F.collect_list(F.when(~opens, F.struct("row_no", "words", "money"))))
-    t = r.groupBy("doc_id", "idx").agg(*[F.any_value(F.when(opens, F.col(c)), ignoreNulls=True).alias(c) for c in ("page", "row_no", "iso", "date_cell", "words", "text", "money")], below.alias("below"))
+    t = r.groupBy("doc_id", "idx").agg(*[F.any_value(F.when(opens, F.col(c)), ignoreNulls=True).alias(c) for c in ("page", "row_no", "iso", "date_cell", "words", "text", "money", "money_bands")], below.alias("below"))
     added = F.filter(F.transform("below", lambda b: b["words"]), lambda s: (s != "") & (F.length(s) <= 160))
     adopted = F.get(F.filter(F.transform("below", lambda b: b["money"]), lambda m: F.size(m) > 0), F.lit(0))
     adopts = (F.size("money") == 0) & adopted.isNotNull()
     flags = F.concat(F.transform(added, lambda s: F.lit("multiline-description")), F.when(adopts, F.array(F.lit("amount-on-continuation-row"))).otherwise(F.array().cast("array<string>")))
     return t.select(
         "doc_id", "idx", "page", "row_no", "iso", strip(F.col("date_cell")).alias("date_raw"), F.trim(F.array_join(F.concat(F.array("words"), added), " ")).alias("description"), F.col("text").alias("raw_text"),
-        flags.alias("flags"), F.when(adopts, adopted).otherwise(F.col("money")).alias("money"),
+        flags.alias("flags"), F.when(adopts, adopted).otherwise(F.col("money")).alias("money"), "money_bands",
     )

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import AMOUNT_STEPS, money_reading, money_word
-from ..functions.dates import date_steps
+from ..functions.dates import FIELD_STEPS, date_steps
 from ..functions.text import SPACE, strip, through
-from .cluster import clustered, first_fit_groups, line_pitch
+from .cluster import clustered, line_pitch
 
 WORD = rf"(?:(?!{SPACE}).)+"
 
@@ -73,11 +73,18 @@ def stacked_below(tokens: DataFrame) -> DataFrame:
     return pairs.where((F.col("b.y") > F.col("a.y")) & (F.col("b.x1") < F.col("a.x2")) & (F.col("b.x2") > F.col("a.x1")))
 
 
+def day_months(tokens: DataFrame) -> DataFrame:
+    """tokens with `fields`, what the date frames make of their text without a closing comma or semicolon."""
+    return through(tokens, {"fields": (F.regexp_replace(strip(F.col("text")), "[,;]$", ""), FIELD_STEPS)})
+
+
 def stacked_years(tokens: DataFrame) -> DataFrame:
-    """Day and month fragments with a year below them: (doc_id, ord, n, year)."""
-    fragment = tokens.where(F.regexp_replace(strip(F.col("text")), "[,;]$", "").rlike(r"^\d{1,2}[/.\-]\d{1,2}\.?$"))
-    years = tokens.where(F.col("text").rlike(r"^(?:19|20)\d{2}$"))
-    marked = fragment.withColumn("side", F.lit(0)).unionByName(years.withColumn("side", F.lit(1)))
+    """Two numbers framed as a day and a month, with a year of this or the last century below them: (doc_id, ord, n, year)."""
+    t = tokens if "fields" in tokens.columns else day_months(tokens)
+    year = F.when(F.length("text") == 4, F.col("text").try_cast("int"))
+    fragment = (F.col("fields.shape") == "numbers") & F.col("fields.year").isNull()
+    side = F.when(fragment, 0).when(year.between(1900, 2099), 1)
+    marked = t.withColumn("side", side).where("side is not null").drop("fields")
     return stacked_below(marked).where("a.side = 0 and b.side = 1").groupBy(*[F.col(f"a.{c}").alias(c) for c in ID]).agg(F.min(F.struct("b.ord", "b.text"))["text"].cast("int").alias("year"))
 
 
@@ -87,7 +94,7 @@ def money_candidates(tokens: DataFrame) -> DataFrame:
     t = through(tokens, {"_amount": (word, AMOUNT_STEPS), "_date": (word, date_steps("DMY"))})
     t = t.withColumn("r", money_reading(F.col("text"), F.col("_amount"), F.col("_date").isNotNull())).drop("_amount", "_date").where("r is not null").withColumn("right", F.col("x") + F.col("width"))
     t = t.withColumn("reach", F.greatest(F.lit(1.5), 0.35 * F.col("font")))
-    t = clustered(t, ["doc_id", "reach"], "right", F.col("reach"), ["page", "ord", "n"], first_fit_groups)
+    t = clustered(t, ["doc_id", "reach"], "right", F.col("reach"), ["page", "ord", "n"])
     members = F.count("*").over(Window.partitionBy("doc_id", "cluster"))
     return t.withColumn("support", F.least(F.lit(1.0), (members - 1) / 3)).withColumn("confidence", F.least(F.lit(1.0), F.col("r.confidence") + 0.45 * F.least(F.lit(1.0), members / 6)))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import layout
 from ..session import settle
-from ..operators.cluster import clustered, first_fit_groups, line_pitch, mean_groups
+from ..operators.cluster import clustered, line_pitch
 from ..sources.ledger import PRINTED, RUNS, for_duckdb, runs
 from ..sources.runs import text_runs
 from .catalog import query, table
@@ -32,7 +32,7 @@ f AS (SELECT o_custkey, i, v, v AS sum, 1 AS n, 0 AS g FROM s WHERE i = 1
 SELECT o_custkey, g::INT AS cluster, count(*) AS n, min(v) AS least, max(v) AS most FROM f GROUP BY ALL""")
 def a1_clusters_of_amounts(spark, sf_dir):
     items = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") / 1000).alias("v"))
-    return clustered(items, ["o_custkey"], "v", 20.0, ["o_orderkey"], mean_groups).groupBy("o_custkey", "cluster").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    return clustered(items, ["o_custkey"], "v", 20.0, ["o_orderkey"]).groupBy("o_custkey", "cluster").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
 
 
 @query("SELECT o_custkey, coalesce(median(o_totalprice), 0) AS median FROM orders GROUP BY o_custkey")
@@ -120,7 +120,7 @@ def j1_nearest_band(spark, sf_dir):
 @query("""SELECT unnest([10.0, 11.0, 12.5, 30.0, 30.5, 13.0])::DOUBLE AS v, unnest([0, 0, 1, 2, 2, 1])::INT AS g""")
 def a5_first_fit_clusters(spark, sf_dir):
     items = spark.createDataFrame([(1, v, i) for i, v in enumerate([10.0, 11.0, 12.5, 30.0, 30.5, 13.0])], "k int, v double, i int")
-    return clustered(items, ["k"], "v", 1.6, ["i"], first_fit_groups).select("v", F.col("cluster").alias("g"))
+    return clustered(items, ["k"], "v", 1.6, ["i"]).select("v", F.col("cluster").alias("g"))
 
 
 def _read(spark, sf_dir):
@@ -132,7 +132,7 @@ def _read(spark, sf_dir):
     rows = settle(layout.build_rows(r))
     model = settle(layout.detect_columns(rows))
     orders = context(r, rows).select("doc_id", "date_order", F.col("year").cast("int").alias("year"))
-    return settle(roles.read_amounts(layout.assemble(rows, model, orders), model))
+    return settle(roles.read_amounts(layout.assemble(rows, model, orders)))
 
 
 @query(f"""WITH {READ}, s AS (SELECT doc_id, idx, amount_cents AS a, balance_cents AS b FROM q WHERE n >= 2 AND nb >= 2)

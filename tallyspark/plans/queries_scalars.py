@@ -88,7 +88,9 @@ def e8_parse_date(spark, sf_dir):
     }
     written = F.array(*[F.struct(F.lit(form).alias("form"), text.alias("text"), F.lit(order).alias("order"), F.lit(year[0] if year else None).cast("int").alias("year")) for form, (text, order, *year) in ways.items()])
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.inline(written))
-    return X.through(rows, {"d": (F.col("text"), D.date_steps(F.col("order"), F.col("year")))}).select("o_orderkey", "form", F.col("d.iso").alias("iso"))
+    # Few distinct texts: their frames are read once each, under whatever order a row has.
+    read = X.read_once(rows, "text", {"f": D.FIELD_STEPS})
+    return X.through(read, {"d": (F.col("f"), D.dated_steps(F.col("order"), F.col("year")))}).select("o_orderkey", "form", F.col("d.iso").alias("iso"))
 
 
 MONTH_NAMES = [("Januar", 1), ("févr.", 2), ("März", 3), ("abril", 4), ("Mai", 5), ("giugno", 6), ("juil", 7), ("août", 8), ("Set", 9), ("Okt", 10), ("noviembre", 11), ("dicembre", 12), ("mrt", 3), ("total", None), ("mon", None)]
@@ -329,7 +331,7 @@ def e20_ofx_tags(spark, sf_dir):
     clock = F.when(F.col("o_orderkey") % 2 == 0, "081500.000[-5:EST]").otherwise("")
     block = F.concat(F.lit("<STMTTRN><dtposted>"), F.date_format("o_orderdate", "yyyyMMdd"), clock, F.lit("\r\n<NAME> A &amp; "), F.col("o_orderpriority"), F.lit(" </NAME><MEMO></MEMO>"))
     t = table(spark, sf_dir, "orders").select("o_orderkey", block.alias("b"))
-    tag = lambda name: O.tag(O.pieces(F.col("b")), name)
+    tag = lambda name: O.tag(O.pieces(F.col("b")), O.names(O.pieces(F.col("b"))), name)
     on = O.ofx_date(F.col("posted"))
     return t.select("o_orderkey", tag("NAME").alias("name"), tag("MEMO").alias("memo"), tag("DTPOSTED").alias("posted")).select("o_orderkey", "name", "memo", on["iso"].alias("iso"), on["time"].alias("time"))
 

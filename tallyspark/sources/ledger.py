@@ -113,13 +113,13 @@ def printed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RUNS, from one pass over the printed rows."""
-    p = settle(printed_rows(spark, sf_dir)).withColumn("page", F.col("page").cast("int")).withColumn("y", F.col("y").cast("double"))
+    """RUNS, from one pass over the printed rows: the first row of a page brings what stands on it besides."""
+    p = printed_rows(spark, sf_dir).withColumn("page", F.col("page").cast("int")).withColumn("y", F.col("y").cast("double"))
     at = lambda k, text, x: F.struct((F.col("idx") * 10 + k).alias("ord"), text.alias("str"), x.cast("double").alias("x"), F.col("y").alias("y"))
     right = lambda c, edge: F.lit(edge) - 5 * F.length(c)
     cells = F.array(at(1, F.col("date_text"), F.lit(42)), at(2, F.col("description"), F.lit(112)), at(3, F.col("amount_text"), right("amount_text", 430)), at(4, F.col("balance_text"), right("balance_text", 528)))
-    body = p.select("doc_id", "page", F.inline(F.filter(cells, lambda c: c["str"].isNotNull())))
     fixed = lambda k, text, x, y: F.struct(F.lit(k).cast("long").alias("ord"), text.alias("str"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
     frame = F.array(fixed(-9, F.lit("Account statement"), 42, 104), fixed(-8, F.lit("Date"), 42, 117), fixed(-7, F.lit("Description"), 112, 117), fixed(-6, F.lit("Amount"), 400, 117), fixed(-5, F.lit("Balance"), 493, 117), fixed(1000000, F.concat(F.lit("Page "), F.col("page").cast("string")), 280, 182))
-    edges = p.select("doc_id", "page").distinct().select("doc_id", "page", F.inline(frame))
-    return settle(body.unionByName(edges).withColumn("w", (5 * F.length("str")).cast("double")).withColumn("h", F.lit(9.0)))
+    every = F.when(F.col("idx") % 4 == 1, F.concat(cells, frame)).otherwise(cells)
+    body = p.select("doc_id", "page", F.inline(F.filter(every, lambda c: c["str"].isNotNull())))
+    return settle(body.withColumn("w", (5 * F.length("str")).cast("double")).withColumn("h", F.lit(9.0)))
