@@ -21,9 +21,11 @@ def s4_page_and_text_guards(spark, sf_dir):
 ERRORS = [("PasswordException", 1, "PASSWORD_NEEDED"), ("PasswordException", 2, "WRONG_PASSWORD"), ("InvalidPDFException", None, "INVALID_FILE"), ("MissingPDFException", None, "UNREADABLE"), ("Other", None, "Other"), ("x", 2, "WRONG_PASSWORD")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {'NULL' if c is None else c}::INT, '{m}')" for n, c, m in ERRORS) + ") t(name, code, meaning)")
+@query("SELECT c_custkey, [" + ", ".join(f"'{m}'" for _, _, m in ERRORS) + f"][c_custkey % {len(ERRORS)} + 1] AS meaning FROM customer")
 def s6_error_mapping(spark, sf_dir):
-    return spark.createDataFrame([(n, c) for n, c, _ in ERRORS], "name string, code int").select("name", "code", S.friendly_error(F.col("name"), F.coalesce("code", F.lit(0))).alias("meaning"))
+    """The failures of one reader for each customer."""
+    one = lambda i: F.get(F.array(*[F.lit(e[i]) for e in ERRORS]), (F.col("c_custkey") % len(ERRORS)).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", S.friendly_error(one(0), F.coalesce(one(1), F.lit(0))).alias("meaning"))
 
 
 @query("SELECT doc_id, n_chars > 20000 AS refused FROM documents")
@@ -94,13 +96,13 @@ def u5_served_paths(spark, sf_dir):
     return V.served(table(spark, sf_dir, "part").select(path.alias("path")))
 
 
-@query("""WITH r AS (SELECT n_nationkey AS ord, CASE WHEN n_nationkey % 4 = 0 THEN concat('/', n_regionkey, '/*') ELSE concat('/', n_name) END AS source FROM nation), m AS (SELECT max(ord) AS last FROM r WHERE source NOT LIKE '%*%')
-SELECT ord, source, 'hides-page' AS problem FROM r WHERE source IN (SELECT concat('/', n_name) FROM nation WHERE n_nationkey % 3 = 0) UNION ALL SELECT ord, source, 'splat-before-plain' FROM r, m WHERE source LIKE '%*%' AND ord < last""")
+@query("""WITH r AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 40 = 0 THEN concat('/', p_size, '/*') ELSE concat('/', p_name) END AS source FROM part), m AS (SELECT max(ord) AS last FROM r WHERE source NOT LIKE '%*%')
+SELECT ord, source, 'hides-page' AS problem FROM r WHERE source IN (SELECT concat('/', p_name) FROM part WHERE p_partkey % 3 = 0) UNION ALL SELECT ord, source, 'splat-before-plain' FROM r, m WHERE source LIKE '%*%' AND ord < last""")
 def j16_redirect_conflicts(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    source = F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit("/"), F.col("n_regionkey").cast("string"), F.lit("/*"))).otherwise(F.concat(F.lit("/"), F.col("n_name")))
-    paths = n.where("n_nationkey % 3 = 0").select(F.concat(F.lit("/"), F.col("n_name")).alias("path"))
-    return V.redirect_conflicts(n.select(F.col("n_nationkey").alias("ord"), source.alias("source")), paths)
+    n = table(spark, sf_dir, "part")
+    source = F.when(F.col("p_partkey") % 40 == 0, F.concat(F.lit("/"), F.col("p_size").cast("string"), F.lit("/*"))).otherwise(F.concat(F.lit("/"), F.col("p_name")))
+    paths = n.where("p_partkey % 3 = 0").select(F.concat(F.lit("/"), F.col("p_name")).alias("path"))
+    return V.redirect_conflicts(n.select(F.col("p_partkey").alias("ord"), source.alias("source")), paths)
 
 
 @query("""WITH a AS (SELECT n_name AS key, concat('{n} of {', lower(left(n_name, 1)), '}') AS text, n_nationkey AS k FROM nation) SELECT key, CASE WHEN k % 5 = 0 THEN 'only-first' ELSE 'placeholders' END AS problem FROM a WHERE k % 5 = 0 OR k % 7 = 0""")
@@ -120,10 +122,12 @@ def u6_verified_and_pending(spark, sf_dir):
     return table(spark, sf_dir, "customer").agg(F.count_if(gate).alias("verified"), F.count_if(~gate).alias("pending"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{t}')" for c, t in OCCUPATIONS) + ") t(code, title)")
+@query("WITH o AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', '{t}')" for i, (c, t) in enumerate(OCCUPATIONS)) + f") t(n, code, title)) SELECT c_custkey, code, title FROM customer JOIN o ON n = c_custkey % {len(OCCUPATIONS)}")
 def t10_occupations(spark, sf_dir):
-    """The occupation codes with their titles."""
-    return occupations(spark).orderBy("code")
+    """A customer's occupation by its code."""
+    codes = F.array(*[F.lit(c) for c, _ in OCCUPATIONS])
+    people = table(spark, sf_dir, "customer").select("c_custkey", F.get(codes, (F.col("c_custkey") % len(OCCUPATIONS)).cast("int")).alias("code"))
+    return people.join(F.broadcast(occupations(spark)), "code").select("c_custkey", "code", "title")  # a list of under 100 rows
 
 
 K8 = f"""{L}, g AS (SELECT *, lag(balance_cents) OVER (PARTITION BY doc_id ORDER BY idx) AS previous FROM l),

@@ -19,11 +19,14 @@ READ = f"""{P}, v AS (SELECT doc_id, bool_or(day(txn_date) > 12) AS plain, count
 q AS (SELECT p.*, n, nb, CASE WHEN doc_id % 2 = 1 AND NOT plain THEN strftime(txn_date, '%Y-%d-%m') ELSE strftime(txn_date, '%Y-%m-%d') END AS iso FROM p JOIN v USING (doc_id))"""
 
 
-@query("""SELECT 'drift' AS kind, unnest([0.0, 1.5, 3.0, 4.5, 6.0, 20.0])::DOUBLE AS v, unnest([0, 0, 1, 1, 2, 3])::INT AS g""")
+@query("""WITH RECURSIVE s AS (SELECT s_nationkey, s_acctbal AS v, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS i FROM supplier),
+f AS (SELECT s_nationkey, i, v, v AS sum, 1 AS n, 0 AS g FROM s WHERE i = 1
+  UNION ALL SELECT s.s_nationkey, s.i, s.v, CASE WHEN abs(s.v - sum / n) <= 400 THEN sum + s.v ELSE s.v END, CASE WHEN abs(s.v - sum / n) <= 400 THEN n + 1 ELSE 1 END, CASE WHEN abs(s.v - sum / n) <= 400 THEN g ELSE g + 1 END FROM f JOIN s ON s.s_nationkey = f.s_nationkey AND s.i = f.i + 1)
+SELECT s_nationkey, v, g::INT AS g FROM f""")
 def a1_running_mean_clusters(spark, sf_dir):
-    """A1 on values each near its neighbour: the mean drifts, so gaps alone don't tell the clusters."""
-    items = spark.createDataFrame([("drift", float(v), i) for i, v in enumerate([0.0, 1.5, 3.0, 4.5, 6.0, 20.0])], "kind string, v double, i int")
-    return clustered(items, ["kind"], "v", 2.0, ["i"]).select("kind", "v", F.col("cluster").alias("g"))
+    """A1 on balances of suppliers, many near their neighbours: means drift, so gaps alone don't tell the clusters."""
+    items = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.col("s_acctbal").alias("v"))
+    return clustered(items, ["s_nationkey"], "v", 400.0, ["s_suppkey"]).select("s_nationkey", "v", F.col("cluster").alias("g"))
 
 
 @query("""WITH RECURSIVE s AS (SELECT o_custkey, o_totalprice / 1000 AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice / 1000, o_orderkey) AS i FROM orders),
@@ -117,10 +120,16 @@ def j1_nearest_band(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", layout.nearest(F.col("l_quantity") * 8.0, bands)["id"].alias("id"))
 
 
-@query("""SELECT unnest([10.0, 11.0, 12.5, 30.0, 30.5, 13.0])::DOUBLE AS v, unnest([0, 0, 1, 2, 2, 1])::INT AS g""")
+@query(f"""WITH RECURSIVE {R}, s AS (SELECT doc_id, x + w AS v, row_number() OVER (PARTITION BY doc_id ORDER BY x + w, page, ord) AS i FROM r),
+f AS (SELECT doc_id, i, v, [v] AS firsts, [1] AS counts, 1 AS g FROM s WHERE i = 1
+  UNION ALL SELECT doc_id, i, v, CASE WHEN g > len(firsts) THEN list_append(firsts, v) ELSE list_transform(firsts, lambda x, k: CASE WHEN k = g THEN x + v ELSE x END) END,
+    CASE WHEN g > len(firsts) THEN list_append(counts, 1) ELSE list_transform(counts, lambda x, k: CASE WHEN k = g THEN x + 1 ELSE x END) END, g
+  FROM (SELECT s.doc_id, s.i, s.v, firsts, counts, coalesce(list_position(list_transform(firsts, lambda x, k: abs(x / counts[k] - s.v) <= 3.15::DOUBLE), true), len(firsts) + 1) AS g FROM f JOIN s ON s.doc_id = f.doc_id AND s.i = f.i + 1))
+SELECT doc_id, (g - 1)::INT AS g, count(*) AS n, min(v) AS least, max(v) AS most FROM f GROUP BY doc_id, g""")
 def a5_first_fit_clusters(spark, sf_dir):
-    items = spark.createDataFrame([(1, v, i) for i, v in enumerate([10.0, 11.0, 12.5, 30.0, 30.5, 13.0])], "k int, v double, i int")
-    return clustered(items, ["k"], "v", 1.6, ["i"]).select("v", F.col("cluster").alias("g"))
+    """A5 on the right edges of all runs of a document. The SQL tries every cluster in order, the engine the last one only."""
+    edges = runs(spark, sf_dir).select("doc_id", "page", "ord", (F.col("x") + F.col("w")).alias("v"))
+    return clustered(edges, ["doc_id"], "v", 3.15, ["page", "ord"]).groupBy("doc_id", F.col("cluster").alias("g")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
 
 
 def _read(spark, sf_dir):

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import tax as T
+from ..sources.ledger import grouped
 from .catalog import query, table
+from .queries_scalars import PRICED, prices
 
 STATUSES = ("single", "hoh", "mfj", "qss", "mfs")
 _list = "['" + "', '".join(STATUSES) + "']"
@@ -40,12 +42,12 @@ SELECT o_orderkey, reason IS NULL AS eligible, reason, qualified, cap::DOUBLE AS
   CASE WHEN reason IS NOT NULL THEN 0 WHEN year = 2026 AND status <> 'mfs' THEN floor({_tax('before')} - {_tax('greatest(0.0::DOUBLE, before - left0)')} + 0.5::DOUBLE) END::DOUBLE AS tax_saved FROM e"""
 WHY = "CASE WHEN NOT (year BETWEEN 2025 AND 2028) THEN 'year' WHEN status = 'mfs' THEN 'filing-status' WHEN NOT ssn THEN 'ssn' END"
 
-AMOUNTS = [("$1,234.50", 1234.5), ("-3", 0.0), ("abc", 0.0), (" 7 ", 7.0), ("", 0.0), ("0", 0.0)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {b}::DOUBLE)" for a, b in AMOUNTS) + ") t(raw, amount)")
+@query(f"WITH {PRICED} SELECT k, CASE WHEN k % 4 IN (0, 3) THEN c / 100.0::DOUBLE ELSE 0.0::DOUBLE END AS amount FROM r")
 def t1_to_amount(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in AMOUNTS], "raw string").select("raw", T.to_amount(F.col("raw")).alias("amount"))
+    """Every price as it is typed in, with a sign or a word that makes it none, or as a plain number with blanks."""
+    k, us = F.col("k"), F.concat(F.lit("$"), F.expr(grouped("c", ",", ".")))
+    typed = F.when(k % 4 == 0, us).when(k % 4 == 1, F.concat(F.lit("-"), us)).when(k % 4 == 2, F.concat(F.lit("about "), us)).otherwise(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")))
+    return prices(spark, sf_dir).select("k", T.to_amount(typed).alias("amount"))
 
 
 @query(f"WITH r AS ({RETURNS}) SELECT o_orderkey, {_cut} AS reduction FROM r")

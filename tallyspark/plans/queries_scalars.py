@@ -24,26 +24,44 @@ def e1_parse_amount(spark, sf_dir):
     return X.through(rows, {"a": (F.col("amount_text"), A.AMOUNT_STEPS)}).select("doc_id", "idx", "a.cents", "a.magnitude", "a.negative", "a.strong")
 
 
-#: Written numbers and what they come to, or null.
-NUMBERS = [("48'671.25", "48671.25"), ("12,34,567.89", "1234567.89"), ("1.234,56", "1234.56"), ("23.05.", None), (".50", "0.50"), ("1,234", "1234"), ("1.234.567", "1234567"), ("12345,678", "12345.678"), ("7,5", "7.5"), ("abc", None), ("1 234,50", "1234.50"), ("", None)]
+#: Prices in cents, as text in three ways of grouping, and what they come to; SQL that Spark and DuckDB read alike.
+PRICES = f"""SELECT o_orderkey AS k, o_orderdate, c, concat(CAST(CAST(floor(c / 100) AS BIGINT) AS VARCHAR(12)), '.', lpad(CAST(c % 100 AS VARCHAR(2)), 2, '0')) AS plain,
+  CASE o_orderkey % 3 WHEN 0 THEN {grouped("c", ",", ".")} WHEN 1 THEN {grouped("c", ".", ",")} ELSE {grouped("c", "''", ".")} END AS written
+FROM (SELECT *, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS c FROM {{orders}} orders) o"""
+PRICED = f"r AS ({for_duckdb(PRICES)})"
 
 
-def _values(pairs, names: str) -> str:
-    show = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(show(v) for v in row) + ')' for row in pairs)}) AS t({names})"
+def prices(spark, sf_dir):
+    return spark.sql(PRICES, orders=table(spark, sf_dir, "orders"))
 
 
-@query(_values(NUMBERS, "raw, number"))
+def _listed(values) -> str:
+    """SQL for a list of texts; pick one by its place from 1 on."""
+    return "[" + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'" for v in values) + "]"
+
+
+def dealt(values, key):
+    """One of values by key, as an expression."""
+    return F.get(F.array(*[F.lit(v) for v in values]), (key % len(values)).cast("int"))
+
+
+@query(f"WITH {PRICED} SELECT k, CASE WHEN k % 11 <> 0 THEN plain END AS number FROM r")
 def e2_plain_number(spark, sf_dir):
-    return spark.createDataFrame([(r,) for r, _ in NUMBERS], "raw string").select("raw", A.plain_number(F.col("raw")).alias("number"))
+    """Every price, grouped in one of three ways, or with a letter in it."""
+    r = prices(spark, sf_dir)
+    return r.select("k", A.plain_number(F.when(F.col("k") % 11 == 0, F.concat("written", F.lit("x"))).otherwise(F.col("written"))).alias("number"))
 
 
-MONEY = [("$5.00", "USD"), ("R$ 5,00", "BRL"), ("HK$9", "HKD"), ("€ 3", "EUR"), ("12 chf", "CHF"), ("USD 1", "USD"), ("7.00", None), ("₹1", "INR"), ("NZ$ 2", "NZD"), ("plain", None)]
+#: What stands before and behind an amount, and the currency that it says.
+MARKED = [("$", "", "USD"), ("R$ ", "", "BRL"), ("HK$", "", "HKD"), ("€ ", "", "EUR"), ("", " chf", "CHF"), ("USD ", "", "USD"), ("", "", None), ("₹", "", "INR"), ("NZ$ ", "", "NZD"), ("plain ", "", None)]
 
 
-@query(_values(MONEY, "raw, currency"))
+@query(f"WITH {PRICED} SELECT k, {_listed([c for _, _, c in MARKED])}[k % {len(MARKED)} + 1] AS currency FROM r")
 def e3_currency(spark, sf_dir):
-    return spark.createDataFrame([(r,) for r, _ in MONEY], "raw string").select("raw", A.currency(F.col("raw")).alias("currency"))
+    """Every price with a symbol or code."""
+    k = F.col("k")
+    text = F.concat(dealt([a for a, _, _ in MARKED], k), F.col("written"), dealt([b for _, b, _ in MARKED], k))
+    return prices(spark, sf_dir).select("k", A.currency(text).alias("currency"))
 
 
 @query(f"WITH {L} SELECT doc_id, idx, CASE WHEN amount_cents % 100 = 0 THEN concat(amount_cents // 100, '.00') ELSE concat(CASE WHEN amount_cents < 0 THEN '-' ELSE '' END, abs(amount_cents) // 100, '.', lpad((abs(amount_cents) % 100)::VARCHAR, 2, '0')) END AS text FROM l")
@@ -93,12 +111,14 @@ def e8_parse_date(spark, sf_dir):
     return X.through(read, {"d": (F.col("f"), D.dated_steps(F.col("order"), F.col("year")))}).select("o_orderkey", "form", F.col("d.iso").alias("iso"))
 
 
-MONTH_NAMES = [("Januar", 1), ("févr.", 2), ("März", 3), ("abril", 4), ("Mai", 5), ("giugno", 6), ("juil", 7), ("août", 8), ("Set", 9), ("Okt", 10), ("noviembre", 11), ("dicembre", 12), ("mrt", 3), ("total", None), ("mon", None)]
-
-
-@query("SELECT name, month::INT AS month FROM (" + _values(MONTH_NAMES, "name, month") + ")")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN month(o_orderdate) END::INT AS month FROM orders")
 def e11_month_number(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n, _ in MONTH_NAMES], "name string").select("name", D.month_number(F.col("name")).alias("month"))
+    """The month of every order by one of its names, with accents, capitals or a point; other words have none."""
+    k, names = F.col("o_orderkey"), F.array(*[F.array(*[F.lit(n) for n in D.MONTHS[m].split()]) for m in range(1, 13)])
+    own = F.get(names, F.month("o_orderdate") - 1)
+    name = F.get(own, (k % F.size(own)).cast("int"))
+    spelled = F.when(k % 13 == 0, "total").when(k % 3 == 0, F.initcap(name)).when(k % 3 == 1, F.concat(name, F.lit("."))).otherwise(F.translate(F.upper(name), "AEU", "ÀÉÛ"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.month_number(spelled).alias("month"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS f0, strftime(o_orderdate, '%d/%m/%Y') AS f1, strftime(o_orderdate, '%m/%d/%Y') AS f2, strftime(o_orderdate, '%d.%m.%Y') AS f3, strftime(o_orderdate, '%d-%b-%Y') AS f4,
@@ -196,17 +216,23 @@ def a25_cell_kinds(spark, sf_dir):
 HEADINGS = [("Running Balance", "balance"), ("Withdrawals:", "debit"), ("Paid in", "credit"), ("Amount *", "amount"), ("Value Date", "date"), ("Narration", "description"), ("zzz", None), ("Closing bal", "balance"), ("Money Out", "debit"), ("Dr.", "debit"), ("", None)]
 
 
-@query(_values(HEADINGS, "label, task"))
+@query(f"SELECT p_partkey, {_listed([t for _, t in HEADINGS])}[p_partkey % {len(HEADINGS)} + 1] AS task FROM part")
 def f4_heading(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x, _ in HEADINGS], "label string").select("label", C.heading(F.col("label")).alias("task"))
+    """labels as they are printed: in capitals or not, with blanks and marks."""
+    k = F.col("p_partkey")
+    label = dealt([x for x, _ in HEADINGS], k)
+    shown = F.concat(dealt(["", " ", "  "], k), F.when(k % 2 == 0, F.upper(label)).otherwise(label), dealt(["", ":", " *", ".", " "], k))
+    return table(spark, sf_dir, "part").select("p_partkey", C.heading(shown).alias("task"))
 
 
-STOPS = [("Total for May", True), ("b/f 12.00", True), ("Page 3 of 4", True), ("Closing balance", True), ("Coffee", False), ("Subtotal", True), ("  Opening", True), ("A total", False), ("This statement", True)]
+STOPS = [("Total for May", True), ("b/f", True), ("Page 3 of 4", True), ("Closing balance", True), ("Coffee", False), ("Subtotal", True), ("  Opening", True), ("A total", False), ("This statement", True), ("Balance forward", True), ("Openings & Co", False), ("Please note: fees", True), ("Deposits may not be", True)]
 
 
-@query("SELECT row_text, stop::BOOLEAN AS stop FROM (" + _values(STOPS, "row_text, stop") + ")")
+@query(f"WITH {PRICED} SELECT k, {_listed([t for _, t in STOPS])}[k % {len(STOPS)} + 1]::BOOLEAN AS stop FROM r")
 def f6_no_row(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x, _ in STOPS], "row_text string").select("row_text", C.no_row(F.col("row_text")).alias("stop"))
+    """rows of a label and a price."""
+    text = F.concat(dealt([x for x, _ in STOPS], F.col("k")), F.lit(" "), F.col("written"))
+    return prices(spark, sf_dir).select("k", C.no_row(text).alias("stop"))
 
 
 VOTES = f"""{P}, v AS (SELECT doc_id, count(*) FILTER (doc_id % 2 = 1 AND day(txn_date) > 12) AS dmy, count(*) FILTER (doc_id % 2 = 0 AND day(txn_date) > 12) AS mdy FROM p GROUP BY doc_id)"""
@@ -267,12 +293,12 @@ def k1_csv_files(spark, sf_dir):
     return E.csv_files(export_rows(spark, sf_dir), "csv", "de-DE").select("doc_id", "row_count", F.sha2("content", 256).alias("sha256"))
 
 
-NAMES = [("May 2025 (final).pdf", "May-2025-final-transactions.csv"), (None, "bank-statement-transactions.csv"), ("???.OFX", "bank-statement-transactions.csv"), ("a" * 80 + ".csv", "a" * 60 + "-transactions.csv"), ("x.y_z-1.qfx", "x.y_z-1-transactions.csv")]
-
-
-@query(_values(NAMES, "source, name"))
+@query("""SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN concat(replace(s_name, '#', ''), '-final-transactions.csv') WHEN 3 THEN concat(repeat('a', 60), '-transactions.csv') WHEN 4 THEN concat('x.y_z-', s_suppkey, '-transactions.csv') ELSE 'bank-statement-transactions.csv' END AS name FROM supplier""")
 def k4_file_names(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x, _ in NAMES], "source string").select("source", E.file_name(F.col("source"), "csv").alias("name"))
+    """K4: names with marks, without any letter, too long, or none."""
+    k = F.col("s_suppkey")
+    source = F.when(k % 5 == 0, F.concat("s_name", F.lit(" (final).pdf"))).when(k % 5 == 2, "???.OFX").when(k % 5 == 3, F.concat(F.repeat(F.lit("a"), F.lit(80)), k.cast("string"), F.lit(".csv"))).when(k % 5 == 4, F.concat(F.lit("x.y_z-"), k.cast("string"), F.lit(".qfx")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", E.file_name(source, "csv").alias("name"))
 
 
 @query(f"""WITH {EXPORT}, g AS (SELECT *, lag(balance_cents) OVER (PARTITION BY doc_id ORDER BY idx) + amount_cents - balance_cents AS off FROM x)
