@@ -5,7 +5,8 @@ shape makes a candidate and LABELERS vote on it, for (1), against (-1) or not at
 ranges), gazetteers (given names, country codes), the words before it, the words after it, personal data in the same text, and how
 it stands on its line. Expectation-maximisation over the counts of vote patterns estimates how often each labeler is right and
 how common each kind is; the posteriors then train a logistic classifier over votes, kind and shape, which
-decides. A candidate for which no labeler votes is never taken, and what a base span covers is no candidate.
+decides. A candidate for which none of the labelers votes that look at it or the words beside it is never taken, and
+what a base span covers is no candidate.
 
 Everything about a text stays in its row: one scan finds spans and votes, vote patterns are counted by groupBy, and the
 classifier is applied to the saved candidates. The tables that are iterated over have as many rows as there are patterns, and
@@ -57,7 +58,7 @@ GIVEN = (
     "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Betty Margaret Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda Dorothy Melissa Deborah Stephanie Rebecca Sharon Laura Cynthia Kathleen Amy Anna Alice Emma Olivia Sophia Jane "
     "Hans Klaus Jürgen Peter Wolfgang Michael Stefan Andreas Ursula Monika Petra Sabine Renate Claudia Jean Pierre Michel André Philippe Nathalie Isabelle Sylvie Catherine Marie Antonio José Manuel Francisco Juan Carmen María Ana Isabel Dolores Luis Carlos Pablo"
 ).split()
-COMMON = "The This That These Those There When Where What Who How And But For From With Without After Before In On At By Of To As If It Its We You He She They Our Your His Her Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April June July August September October November December New North South East West United University Street Road Avenue Company".split()
+COMMON = "The This That These Those There When Where What Who How And But For From With Without After Before In On At By Of To As If It Its We You He She They Our Your His Her Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April June July August September October November December New North South East West United University Street Road Avenue Company License Licensed General Public Version Apache Foundation Software Copyright Inc Ltd Corporation".split()
 COUNTRIES = "AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM".split()
 DOMAINS = "com org net edu gov io co de fr es it uk us eu info".split()
 OWN = {
@@ -74,7 +75,9 @@ COUNTED = r"^\s?(?:%|€|\$|£|(?:kg|km|cm|mm|mb|gb|units?|pieces?|pages?|items?
 SAID = r"^,?\s(?:said|says|born|lives|lived|wrote|writes|aged?|who|and (?:his|her)|\(born)\b"
 PLACE = r"^,?\s\p{Lu}[\p{L} ]{1,30}(?:,?\s[A-Z]{2}\s[0-9]{5}|,?\s[0-9]{4,5})"
 
+#: The first OWN_VOTES look at the span and the words beside it; the others only at where it stands.
 LABELERS = ("form", "gazetteer", "before", "after", "company", "line")
+OWN_VOTES = 4
 VOTES = 3 * len(LABELERS)
 CHUNK, BEFORE, AFTER, ROUNDS = 128, 48, 32, 40
 SPAN = "array<struct<text:string,start:int,end:int,before:string,after:string>>"
@@ -297,7 +300,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         def taken(c):
             if wanted is not None:
                 return wanted
-            return F.exists(F.transform(c["votes"], lambda v: v % 3), lambda v: v == 2) & (chance(weighed(F.concat(c["votes"], c["traits"]), learned)) >= threshold)
+            return F.exists(F.slice(c["votes"], 1, OWN_VOTES), lambda v: v % 3 == 2) & (chance(weighed(F.concat(c["votes"], c["traits"]), learned)) >= threshold)
 
         written = lambda spans, kind: F.transform(spans, lambda x: F.concat_ws(":", kind(x), x["start"], x["end"]))
         base = F.concat(*[written(F.col(k), (lambda name: lambda x: F.lit(name))(k)) for k in BASE])

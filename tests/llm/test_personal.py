@@ -110,6 +110,12 @@ def test_added_spans_are_found_and_clean_texts_left_alone(learned):
     assert len(want & got) / len(got) > 0.95
 
 
+def test_licenses_and_sentences_are_no_names(spark):
+    texts = ["Licensed under the Apache License, Version 2.0. Write to me@x.org, He The at thonble.", "GNU General Public License, call +1 (884) 555-3918", "my name is Mary Brown"] * 3
+    out = P.find_personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["id"] % 3: [x["kind"] for x in r["added"]] for r in out} == {0: [], 1: [], 2: ["name"]}
+
+
 def test_learning_equals_plain_python(spark):
     rnd = random.Random(2)
     patterns = Counter()
