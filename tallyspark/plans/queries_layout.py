@@ -144,6 +144,21 @@ def _read(spark, sf_dir):
     return settle(roles.read_amounts(layout.assemble(rows, model, orders)))
 
 
+#: Scores of all readings: with a balance, the share of checks that hold with either sign counts; without one, few rows with a debit and a credit.
+SCORES_OF = f"""WITH {READ}, s AS (SELECT doc_id, idx, n, nb, amount_cents AS a, balance_cents AS b, lag(balance_cents) OVER (PARTITION BY doc_id ORDER BY idx) AS before FROM q WHERE n >= 2),
+t AS (SELECT doc_id, any_value(nb) AS nb, count(*) AS n_rows, count(*) FILTER (before IS NOT NULL AND b IS NOT NULL) AS checked, count(*) FILTER (b - before IN (a, -a)) AS matched, count(*) FILTER (abs(a) > 0 AND abs(b) > 0) AS sides FROM s GROUP BY doc_id),
+u AS (SELECT *, CASE WHEN checked > 0 THEN matched / checked::DOUBLE ELSE 0 END AS agreed FROM t),
+k AS (
+  SELECT doc_id, 0 AS ord, 'by headings' AS label, 0.06::DOUBLE AS prior, nb >= 2 AS balanced, false AS sided FROM u
+  UNION ALL SELECT doc_id, 1, 'amount', 0.02::DOUBLE, false, false FROM u WHERE nb < 2
+  UNION ALL SELECT doc_id, 2, 'debit, credit', 0.05::DOUBLE, false, true FROM u WHERE nb >= 2 UNION ALL SELECT doc_id, 3, 'amount, balance', 0.04::DOUBLE, true, false FROM u WHERE nb >= 2 UNION ALL SELECT doc_id, 4, 'debit, balance', 0.02::DOUBLE, true, false FROM u WHERE nb >= 2),
+c AS (
+  SELECT doc_id, ord, label, CASE WHEN balanced THEN agreed ELSE 0 END AS rate,
+    round(0.8::DOUBLE * CASE WHEN balanced AND checked >= 2 THEN agreed ELSE 0 END + 0.2::DOUBLE + prior + CASE WHEN NOT balanced AND CASE WHEN sided THEN sides ELSE 0 END / n_rows::DOUBLE < 0.2::DOUBLE THEN 0.03::DOUBLE ELSE 0 END, 12) AS score
+  FROM k JOIN u USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS place FROM c)"""
+
+
 @query(f"""WITH {READ}, s AS (SELECT doc_id, idx, amount_cents AS a, balance_cents AS b FROM q WHERE n >= 2 AND nb >= 2)
 SELECT doc_id, idx, 'headings' AS reading_id, NULL::BIGINT AS debit_cents, NULL::BIGINT AS credit_cents, b AS balance_cents, a AS amount_cents FROM s UNION ALL SELECT doc_id, idx, 'amount-balance', NULL, NULL, b, a FROM s
 UNION ALL SELECT doc_id, idx, 'debit-balance', abs(a), NULL, b, -abs(a) FROM s UNION ALL SELECT doc_id, idx, 'debit-credit', abs(a), abs(b), NULL, coalesce(abs(b), 0) - abs(a) FROM s""")
@@ -174,3 +189,27 @@ def w3_transaction_groups(spark, sf_dir):
 def f9_in_band(spark, sf_dir):
     band = lambda lo, hi: F.struct(F.lit(lo).alias("left"), F.lit(hi).alias("right"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", layout.in_band(F.col("l_quantity") * 8.0, F.array(band(40.0, 90.0), band(300.0, 360.0))).alias("held"))
+
+
+@query(f"""{SCORES_OF} SELECT doc_id, place::INT AS place, label, round(score, 3) AS score, round(rate, 2) AS pass_rate FROM ranked WHERE place <= 4""")
+def o5_alternatives(spark, sf_dir):
+    """The four best readings of every statement with their scores and rates."""
+    from ..operators import roles
+
+    return roles.alternatives(roles.rank(_read(spark, sf_dir))[0])
+
+
+@query(f"WITH {R} SELECT doc_id, min(x) AS table_left, max(x + w) AS table_right, count(*) FILTER (str = 'Date') > 0 AS headed FROM r GROUP BY doc_id")
+def a16_table_extent(spark, sf_dir):
+    """How far the cells of every statement reach, and whether a heading was found."""
+    m = layout.detect_columns(settle(layout.build_rows(runs(spark, sf_dir))))
+    return m.select("doc_id", "table_left", "table_right", F.col("header_row").isNotNull().alias("headed"))
+
+
+@query(f"""WITH {P} SELECT doc_id, page, y::DOUBLE AS y, CASE WHEN doc_id % 2 = 0 AND day(txn_date) <= 12 THEN strftime(txn_date, '%Y-%d-%m') ELSE strftime(txn_date, '%Y-%m-%d') END AS iso FROM p""")
+def d15_line_dates(spark, sf_dir):
+    """The dates on every line, read with the day first: of documents that print the month first, those with a day above 12 are turned."""
+    from ..operators import tokens
+    from .statement import line_dates
+
+    return line_dates(tokens.tokenise(runs(spark, sf_dir)), "DMY").select("doc_id", F.col("page").cast("long").alias("page"), "y", "iso")
