@@ -11,7 +11,7 @@ from ..sources.ledger import PRINTED, for_duckdb, ledger, runs
 from .catalog import query
 
 #: So few states that most statements lose some, for the trace; and figures of a statement that is read without losing any.
-BEAM, SHORT = 48, 8
+BEAM, SHORT = 16, 8
 
 #: What tokens make of printed rows: amounts (CR and DR are words of their own), balances and page numbers, with the points of a reading and the column of right edges.
 FIGURES = f"""p AS ({for_duckdb(PRINTED)}),
