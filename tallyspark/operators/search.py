@@ -70,12 +70,12 @@ def search(figures: DataFrame, w: Weights = Weights(), watched: DataFrame | None
     start = F.struct(F.lit(None).alias("anchor"), F.lit(0).alias("total"), F.lit(0).alias("span"), F.lit(0.0).alias("support"), F.lit(0.0).alias("score"), F.lit(0).alias("path"), F.lit("").alias("roles")).cast(STATE)
     front = figures.where("step = 1").select("doc_id", start.alias("s"), F.lit(False).alias("pruned"))
     within, found = Window.partitionBy("doc_id"), []
+    grow = F.explode(F.aggregate("figures", F.array("s"), lambda states, m: _extended(states, m, w))).alias("s")
+    best, rank = F.max_by("s", F.struct(F.col("s.score"), -F.col("s.path"))), F.row_number().over(within.orderBy(F.desc("s.score"), "first"))
     for step in range(1, steps + 1):
         line = figures.where(F.col("step") == step).select("doc_id", "step", "last", "figures")
-        grown = front.join(line, "doc_id").select("doc_id", "step", "last", "pruned", F.explode(F.aggregate("figures", F.array("s"), lambda states, m: _extended(states, m, w))).alias("s"))
-        best = F.max_by("s", F.struct(F.col("s.score"), -F.col("s.path")))
+        grown = front.join(line, "doc_id").select("doc_id", "step", "last", "pruned", grow)
         merged = grown.groupBy("doc_id", "step", "last", "pruned", F.col("s.anchor").alias("anchor"), F.col("s.total").alias("total")).agg(best.alias("s"), F.min("s.path").alias("first"))
-        rank = F.row_number().over(within.orderBy(F.desc("s.score"), "first"))
         ranked = settle(merged.withColumn("rank", rank.cast("long")).withColumn("states", F.count("*").over(within)))
         found.append(ranked)
         pruned = F.col("pruned") | (F.col("states") > w.max_states)
