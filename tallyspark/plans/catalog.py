@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("verify", "scalars", "layout", "tokens", "search", "gate", "edges", "rules")
+MODULES = ("verify", "scalars", "layout", "tokens", "search", "gate", "edges", "rules", "streams")
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}

@@ -1,7 +1,7 @@
 """Statements as they arrive. Extensions: the batch engine has no streams of its own to match.
 
-Files are read as they land in a folder and go through the batch plans in foreachBatch; the balance rule can also be checked row by row with the last
-balance of each account held as state.
+Files are read as they land in a folder and go through the batch plans in foreachBatch; the balance rule can also be checked row by row, with
+what an account's next rows need held as state.
 """
 
 from __future__ import annotations
@@ -10,38 +10,129 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 CHECKED = "doc_id long, idx long, amount_cents long, balance_cents long, previous long, agrees boolean, late boolean"
+ROWS = 10_000
 
 
-def _check(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Holds (last idx, last balance or null) of an account. Rows behind the last one are marked late and change nothing."""
-    last, balance = state.get if state.exists else (-1, None)
-    balance = None if balance is None or pd.isna(balance) else int(balance)
-    rows = pd.concat(list(batches)).sort_values("idx", kind="stable")
-    out = []
-    for idx, amount, now in zip(rows["idx"], rows["amount_cents"], rows["balance_cents"], strict=True):
-        printed = None if pd.isna(now) else int(now)
-        late = idx <= last
-        previous = None if late else balance
-        agrees = None if previous is None or printed is None else bool(previous + int(amount) == printed)
-        out.append((key[0], int(idx), int(amount), printed, previous, agrees, late))
-        if not late:
-            last, balance = int(idx), printed
-    state.update((last, balance))
-    names = [c.split()[0] for c in CHECKED.split(", ")]
-    frame = pd.DataFrame(out, columns=names)
-    for c in ("balance_cents", "previous"):
+def _whole(x) -> int | None:
+    return None if x is None or pd.isna(x) else int(x)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in CHECKED.split(", ")])
+    for c in ("amount_cents", "balance_cents", "previous"):
         frame[c] = frame[c].astype("Int64")
     frame["agrees"] = frame["agrees"].astype("boolean")
-    yield frame
+    return frame
+
+
+class ChainKeeper(StatefulProcessor):
+    """Holds the last row of an account up to which none is missing, and the rows beyond it that came too early."""
+
+    def __init__(self, first: int, patience_ms: int | None) -> None:
+        self.first, self.patience_ms = first, patience_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "idx long, balance_cents long")
+        self.waiting = handle.getMapState("waiting", "idx long", "amount_cents long, balance_cents long")
+
+    def _reached(self) -> tuple[int, int | None]:
+        last = self.last.get() if self.last.exists() else (self.first - 1, None)
+        return int(last[0]), _whole(last[1])
+
+    @staticmethod
+    def _check(key: tuple, idx: int, amount: int | None, printed: int | None, previous: int | None) -> tuple:
+        agrees = None if None in (previous, printed, amount) else previous + amount == printed
+        return key[0], idx, amount, printed, previous, agrees, False
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        idx, balance = self._reached()
+        for part in rows:
+            out = []
+            part = part.sort_values("idx", kind="stable")
+            for at, amount, printed in zip(part["idx"], part["amount_cents"], part["balance_cents"], strict=True):
+                at, amount, printed = int(at), _whole(amount), _whole(printed)
+                if at == idx + 1:
+                    out.append(self._check(key, at, amount, printed, balance))
+                    idx, balance = at, printed
+                elif at <= idx or self.waiting.containsKey((at,)):
+                    out.append((key[0], at, amount, printed, None, None, True))
+                else:
+                    self.waiting.updateValue((at,), (amount, printed))
+            while self.waiting.containsKey((idx + 1,)):
+                amount, printed = map(_whole, self.waiting.getValue((idx + 1,)))
+                self.waiting.removeKey((idx + 1,))
+                out.append(self._check(key, idx + 1, amount, printed, balance))
+                idx, balance = idx + 1, printed
+                if len(out) >= ROWS:
+                    yield _frame(out)
+                    out = []
+            if out:
+                yield _frame(out)
+        self.last.update((idx, balance))
+        if self.patience_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(int(timer))
+            if self.waiting.exists():
+                self.handle.registerTimer(int(timerValues.getCurrentProcessingTimeInMs()) + self.patience_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        idx, balance = self._reached()
+        out = []
+        for at in sorted(int(k[0]) for k in self.waiting.keys()):
+            amount, printed = map(_whole, self.waiting.getValue((at,)))
+            out.append(self._check(key, at, amount, printed, balance))
+            idx, balance = at, printed
+            if len(out) >= ROWS:
+                yield _frame(out)
+                out = []
+        self.waiting.clear()
+        self.last.update((idx, balance))
+        if out:
+            yield _frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def incremental_chain(rows: DataFrame, first: int = 1, patience_ms: int | None = None) -> DataFrame:
+    """W1 over a stream of rows(doc_id, idx, amount_cents, balance_cents); idx numbers an account's rows from `first` on without gaps.
+
+    A row is given out once, as soon as the one before it has come; rows that come too early wait, and one that comes late lets go what waits
+    for it. So any order of arrival ends in the rows of the batch rule. A row that repeats an earlier number is given out unchecked with late = true
+    (which of several that arrive together counts is open). patience_ms: an account that got no rows for that long stops waiting for missing
+    ones: what waits is checked against the row before it, as the batch rule does over a gap, and missing rows that come after all are late.
+    Without patience they wait for ever. State is one row for each account and the rows that wait; no list of an account is read or written as
+    a whole. Needs the RocksDB state store (see state_store)."""
+    keeper = ChainKeeper(first, patience_ms)
+    return rows.groupBy("doc_id").transformWithStateInPandas(keeper, CHECKED, "append", "none" if patience_ms is None else "processingtime")
+
+
+class state_store:
+    """The RocksDB state store for queries that are started within; the session's own setting comes back after."""
+
+    KEY, STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+
+    def __enter__(self) -> None:
+        self.before = self.spark.conf.get(self.KEY, None)
+        self.spark.conf.set(self.KEY, self.STORE)
+
+    def __exit__(self, *_) -> None:
+        self.spark.conf.set(self.KEY, self.before) if self.before else self.spark.conf.unset(self.KEY)
 
 
-def incremental_chain(rows: DataFrame) -> DataFrame:
-    """W1 over a stream of rows(doc_id, idx, amount_cents, balance_cents), each account's in order across batches."""
-    return rows.groupBy("doc_id").applyInPandasWithState(_check, CHECKED, "last long, balance long", "append", GroupStateTimeout.NoTimeout)
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """All that a stream over present files gives, written below folder and read back."""
+    with state_store(stream.sparkSession):
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start(f"{folder}/rows")
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def arriving_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

@@ -1,7 +1,9 @@
 """The engine's expressions and plans on vectors and small statements; the queries against their SQL are in test_queries."""
 
 import io
+import os
 import random
+import time
 import zipfile
 
 import pytest
@@ -251,17 +253,26 @@ def test_alignment_is_greedy(spark):
 
 
 def test_streams(spark, tmp_path):
-    from tallyspark.streaming.statements import arriving_files, incremental_chain, ingest
+    from tallyspark.streaming.statements import arriving_files, drained, incremental_chain, ingest
 
     kind = "doc_id long, idx long, amount_cents long, balance_cents long"
-    for k, rows in enumerate([[(1, 0, 5, 100), (1, 1, 5, 105)], [(1, 2, 5, 999), (1, 1, 0, 0), (2, 0, 1, 1)]]):
-        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{k}")
-    source = spark.readStream.schema(kind).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
-    q = incremental_chain(source).writeStream.format("memory").queryName("chain").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
-    q.processAllAvailable()
-    q.stop()
-    got = spark.table("chain").collect()
-    assert len(got) == 5 and sum(r.agrees is True for r in got) >= 1
+
+    def arrive(name, *batches):
+        """Batches of rows as files, a batch each, older ones first."""
+        for k, rows in enumerate(batches):
+            spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/in{k}")
+            for f in (tmp_path / name / f"in{k}").glob("*.parquet"):
+                os.utime(f, (1000 + k, 1000 + k))
+        return spark.readStream.schema(kind).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+
+    # The third row waits for the second; a repeated number is late; a balance or an amount that is null is not checked.
+    source = arrive("a", [(1, 1, 5, 100), (1, 3, 5, 999)], [(2, 1, 1, None), (1, 4, None, 7)], [(1, 2, 5, 105), (1, 2, 6, 1)], [(1, 1, 0, 0), (2, 2, 1, 2), (3, 2, 1, 1)])
+    got = {(r.doc_id, r.idx, r.late): (r.previous, r.agrees) for r in drained(incremental_chain(source), f"{tmp_path}/out").collect()}
+    second = got.pop((1, 2, False))
+    assert second[0] == 100 and got.pop((1, 2, True)) == (None, None)
+    third = got.pop((1, 3, False))
+    assert third in ((105, False), (1, False))
+    assert got == {(1, 1, False): (None, None), (1, 4, False): (999, None), (1, 1, True): (None, None), (2, 1, False): (None, None), (2, 2, False): (None, None)}
     (tmp_path / "files").mkdir()
     (tmp_path / "files" / "a.ofx").write_text(OFX)
     seen = []
@@ -271,6 +282,26 @@ def test_streams(spark, tmp_path):
     assert len(seen) == 2
 
 
+def test_a_stream_stops_waiting_for_missing_rows(spark, tmp_path):
+    from tallyspark.streaming.statements import incremental_chain, state_store
+
+    kind = "doc_id long, idx long, amount_cents long, balance_cents long"
+    put = lambda rows: spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    put([(1, 1, 5, 100), (1, 3, 5, 105), (1, 4, 1, 106)])
+    stream = incremental_chain(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), patience_ms=100)
+    with state_store(spark):
+        q = stream.writeStream.format("memory").queryName("gaps").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="200 milliseconds").start()
+    until = time.monotonic() + 60
+    while spark.table("gaps").count() < 3 and time.monotonic() < until:
+        time.sleep(0.2)
+    put([(1, 2, 0, 100), (1, 5, 1, 107)])
+    while spark.table("gaps").count() < 5 and time.monotonic() < until:
+        time.sleep(0.2)
+    q.stop()
+    got = {r.idx: (r.previous, r.agrees, r.late) for r in spark.table("gaps").collect()}
+    assert got == {1: (None, None, False), 3: (100, True, False), 4: (105, True, False), 2: (None, None, True), 5: (106, True, False)}
+
+
 def test_site_checks(spark):
     paths = evaluate.served(spark.createDataFrame([("/a/index.html",), ("/b.html",)], "path string"))
     assert {r.path for r in paths.collect()} == {"/a/index.html", "/a/", "/b.html", "/b"}
