@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.occupations import OCCUPATIONS, occupations
 from ..operators import evaluate as V
+from ..session import scratch, settle
 from ..sources import runs as S
 from ..sources.ledger import LEDGER, RUNS, for_duckdb, ledger, runs
 from .catalog import query, table
@@ -144,13 +145,41 @@ def k8_baseline(spark, sf_dir):
     return baseline(s.where("doc_id % 10 > 0"), s.where("doc_id % 10 = 0").select("doc_id", F.lit("NO_TEXT_LAYER").alias("reason"))).select("doc_id", "outcome", "reason", "rows", "rate", "checked")
 
 
-@query(f"WITH {K8} SELECT doc_id, rows, r AS rate, checked, checked > 0 AND r >= 0.95::DOUBLE AND rows >= 3 AS publishable FROM b")
-def k9_verify_report(spark, sf_dir):
+def _report(spark, sf_dir):
     from ..operators import reconcile
     from ..sources.reports import verify_report
 
-    s = reconcile.summary(ledger(spark, sf_dir)).withColumn("pages", F.lit(1)).withColumn("quality", F.lit("ok"))
-    return verify_report(s).select("doc_id", "rows", "rate", "checked", "publishable")
+    return verify_report(reconcile.summary(ledger(spark, sf_dir)).withColumn("pages", F.lit(1)).withColumn("quality", F.lit("ok")))
+
+
+K9 = f"{K8}, v AS (SELECT doc_id, rows, r AS rate, checked, checked > 0 AND r >= 0.95::DOUBLE AND rows >= 3 AS publishable FROM b)"
+
+
+@query(f"WITH {K9} SELECT * FROM v")
+def k9_verify_report(spark, sf_dir):
+    return _report(spark, sf_dir).select("doc_id", "rows", "rate", "checked", "publishable")
+
+
+@query(f"WITH {K9} SELECT count(*) AS documents, sum(rows)::BIGINT AS rows, sum(checked)::BIGINT AS checked, count(*) FILTER (publishable) AS publishable, 0::BIGINT AS doubtful FROM v")
+def k9_observed_totals(spark, sf_dir):
+    """K9: totals of the report, counted by the job that writes it."""
+    from ..sources.records import write_records
+    from ..sources.reports import with_totals
+
+    report, totals = with_totals(_report(spark, sf_dir))
+    with scratch(spark) as folder:
+        write_records(report, folder)
+        return spark.createDataFrame([totals.get])
+
+
+@query(f"WITH {K9} SELECT doc_id, 1::BIGINT AS pages, rows, rate, checked, 'ok' AS quality, publishable FROM v")
+def k10_records(spark, sf_dir):
+    """The report of every statement, written as records and read back."""
+    from ..sources.records import read_records, write_records
+
+    with scratch(spark) as folder:
+        write_records(_report(spark, sf_dir), folder)
+        return settle(read_records(spark, folder).withColumn("pages", F.col("pages").cast("long")))
 
 
 @query(f"WITH {L} SELECT doc_id, idx FROM l WHERE okey % 97 = 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idx) <= 300")

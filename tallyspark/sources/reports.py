@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,13 @@ def verify_report(summary: DataFrame) -> DataFrame:
     return summary.select("doc_id", "pages", F.col("n_rows").alias("rows"), F.col("pass_rate").alias("rate"), "checked", "quality", ok.alias("publishable"))
 
 
+def with_totals(report: DataFrame) -> tuple[DataFrame, Observation]:
+    """K9: the report, and totals that the job which writes it counts while its rows pass; read them (`.get`) after that job."""
+    seen = Observation("totals")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return report.observe(seen, F.count(F.lit(1)).alias("documents"), total("rows"), total("checked"), F.count_if("publishable").alias("publishable"), F.count_if(F.col("quality") != "ok").alias("doubtful")), seen
+
+
 def write_artifacts(records: DataFrame, path: str) -> None:
     """JSON records, never over earlier ones. Columns outside the allow-list are an error."""
     if unknown := set(records.columns) - ALLOWED:

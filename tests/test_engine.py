@@ -142,6 +142,62 @@ def test_reports(spark, tmp_path):
         reports.write_artifacts(base.withColumn("description", F.lit("x")), f"{tmp_path}/b")
 
 
+def test_records_are_written_whole_or_not_at_all(spark, tmp_path):
+    from tallyspark.sources.records import read_records, write_records
+
+    rows = spark.range(40, numPartitions=4).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("é\u2028\n"), F.col("id"))).alias("status"), (F.col("id") / 7).alias("rate"), (F.col("id") % 2 == 0).alias("publishable"))
+    write_records(rows, f"{tmp_path}/r")
+    back = read_records(spark, f"{tmp_path}/r")
+    assert back.schema.simpleString() == rows.schema.simpleString() and sorted(back.collect()) == sorted(rows.collect())
+    # Files whose range of ids holds none that a filter asks for are not opened.
+    for some, n, files in (("doc_id = 11", 1, 1), ("doc_id > 18", 21, 3), ("doc_id in (1, 35)", 2, 2), ("doc_id >= 0 and status is null", 14, 4), ("doc_id = 99", 0, 0)):
+        found = back.where(some)
+        assert found.count() == n and len(found.select(F.spark_partition_id()).distinct().collect()) == min(files, n) and found.rdd.getNumPartitions() == max(files, 1)
+    before = {f.name for f in (tmp_path / "r").iterdir()}
+    with pytest.raises(Exception, match="already"):
+        write_records(rows, f"{tmp_path}/r")
+    assert {f.name for f in (tmp_path / "r").iterdir()} == before
+    # A task that fails leaves nothing, nor do those that were through before it.
+    broken = rows.withColumn("rate", F.when(F.col("doc_id") == 39, F.raise_error(F.lit("no"))).otherwise(F.col("rate")))
+    with pytest.raises(Exception, match="no"):
+        write_records(broken, f"{tmp_path}/b")
+    assert not list((tmp_path / "b").glob("**/*.jsonl")) and not list((tmp_path / "b").glob("run-*/*"))
+    write_records(rows.where("doc_id < 0"), f"{tmp_path}/e")
+    assert read_records(spark, f"{tmp_path}/e").count() == 0
+    for odd in (rows.withColumn("d", F.current_date()), rows.drop("doc_id")):
+        with pytest.raises(Exception, match="records"):
+            write_records(odd, f"{tmp_path}/o")
+
+
+def test_totals_are_counted_while_rows_pass(spark, tmp_path):
+    summary = spark.createDataFrame([(k, 1, 3 + k, 0.9 + k / 100, 4, "ok" if k % 2 else "low_confidence") for k in range(8)], "doc_id long, pages int, n_rows long, pass_rate double, checked long, quality string")
+    report, totals = reports.with_totals(reports.verify_report(summary))
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("totals"))
+    spark.sparkContext.setJobGroup("totals", "")
+    report.write.parquet(f"{tmp_path}/t")
+    once = jobs()
+    assert totals.get == {"documents": 8, "rows": 52, "checked": 32, "publishable": 3, "doubtful": 4} and jobs() == once
+    spark.sparkContext.setJobGroup("", "")
+
+
+def test_visual_lines_against_a_walk_through_the_tokens(spark):
+    from tallyspark.operators.tokens import visual_lines
+
+    rng = random.Random(5)
+    rows = [(d, p, o, 0, f"t{o}", float(rng.randrange(0, 60)), rng.randrange(0, 120) / 2, 13.0) for d in range(4) for p in (1, 2) for o in range(rng.choice((1, 25)))]
+    got = visual_lines(spark.createDataFrame(rows, "doc_id long, page int, ord long, n int, text string, x double, y double, pitch double")).collect()
+    want = []
+    for d, p in sorted({r[:2] for r in rows}):
+        page, held, lines = [r for r in rows if r[:2] == (d, p)], set(), []
+        for r in page:
+            if r[2] not in held:
+                line = sorted((o for o in page if abs(o[6] - r[6]) <= 6.5), key=lambda o: (o[5], o[2]))
+                held |= {o[2] for o in line}
+                lines.append((line[0][6], r[2], [o[4] for o in line]))
+        want += [(d, p, *line) for line in sorted(lines)]
+    assert [(r.doc_id, r.page, r.y, r.seed_ord, [t.text for t in r.tokens]) for r in sorted(got, key=lambda r: (r.doc_id, r.line_no))] == want
+
+
 def figure(k, value, signed=False, support=1.0, confidence=0.9):
     return {"token": k, "value": value, "size": abs(value), "has_sign": signed, "confidence": confidence, "support": support}
 
