@@ -88,6 +88,31 @@ def stacked_years(tokens: DataFrame) -> DataFrame:
     return stacked_below(marked).where("a.side = 0 and b.side = 1").groupBy(*[F.col(f"a.{c}").alias(c) for c in ID]).agg(F.min(F.struct("b.ord", "b.text"))["text"].cast("int").alias("year"))
 
 
+def visual_lines(tokens: DataFrame) -> DataFrame:
+    """(doc_id, page, line_no, y, seed_ord, seed_n, tokens): in reading order, a token that no line holds yet opens one with all tokens of its page within half
+    a pitch of its height, those of other lines as well; lines from the top by the height of their leftmost token, tokens from the left.
+
+    Tokens of one height open or don't as one, and heights further apart than the reach don't touch each other. So heights are cut at such gaps, and the
+    order is followed within a segment only. tokens carry the document's `pitch`; ties of place go by ord and n."""
+    reach = F.greatest(F.lit(0.5), 0.5 * F.col("pitch"))
+    down = Window.partitionBy("doc_id", "page").orderBy("y")
+    heights = tokens.groupBy("doc_id", "page", "y", reach.alias("reach")).agg(F.min(F.struct("ord", "n")).alias("first"))
+    cut = F.coalesce(F.col("y") - F.lag("y").over(down) > F.col("reach"), F.lit(True))
+    segments = heights.withColumn("_cut", cut).withColumn("segment", F.count_if("_cut").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    listed = segments.groupBy("doc_id", "page", "reach", "segment").agg(F.sort_array(F.collect_list(F.struct("first", "y"))).alias("heights"))
+    none = F.expr("cast(array() as array<struct<first:struct<ord:bigint,n:int>,y:double>>)")
+    opened = F.aggregate("heights", none, lambda s, h: F.when(F.exists(s, lambda o: F.abs(o["y"] - h["y"]) <= F.col("reach")), s).otherwise(F.array_append(s, F.struct(h["first"].cast("struct<ord:bigint,n:int>").alias("first"), h["y"].alias("y")))))
+    seeds = listed.select("doc_id", "page", "reach", F.inline(opened))
+    # A seed meets the three bands of heights around its own.
+    band = F.floor(F.col("y") / F.col("reach")).cast("long")
+    around = seeds.select("doc_id", "page", "reach", F.col("y").alias("seed_y"), F.col("first.ord").alias("seed_ord"), F.col("first.n").alias("seed_n"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    members = tokens.withColumn("reach", reach).select("doc_id", "page", band.alias("band"), F.struct("x", "ord", "n", "y", "text").alias("token"))
+    held = around.join(members, ["doc_id", "page", "band"]).where(F.abs(F.col("token.y") - F.col("seed_y")) <= F.col("reach"))
+    lines = held.groupBy("doc_id", "page", "seed_ord", "seed_n").agg(F.sort_array(F.collect_list("token")).alias("tokens")).withColumn("y", F.get("tokens", F.lit(0))["y"])
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "y", "seed_ord", "seed_n")) - 1
+    return lines.select("doc_id", "page", number.cast("long").alias("line_no"), "y", "seed_ord", "seed_n", "tokens")
+
+
 def money_candidates(tokens: DataFrame) -> DataFrame:
     """Tokens that may be money, with `r` (the reading), the column of their right edge, its support and their confidence."""
     word = money_word(F.col("text"))

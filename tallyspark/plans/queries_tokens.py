@@ -49,6 +49,19 @@ def j7_stacked_years(spark, sf_dir):
     return tokens.stacked_years(t)
 
 
+#: Heights moved by up to 12 in steps of 3, so that lines of neighbouring rows run into each other. A height opens a line unless an earlier one within reach has.
+@query(f"""WITH RECURSIVE {TOKENS}, m AS (SELECT doc_id, page, ord, n, text, x, y + 3.0::DOUBLE * (abs(ord) * 7 % 5) AS y FROM t),
+h AS (SELECT doc_id, page, y, row_number() OVER (PARTITION BY doc_id, page ORDER BY min(ord)) AS i, min(ord) AS ord FROM m GROUP BY doc_id, page, y),
+g AS (SELECT doc_id, page, i, [y] AS ys, [ord] AS seeds FROM h WHERE i = 1
+  UNION ALL SELECT h.doc_id, h.page, h.i, CASE WHEN near THEN ys ELSE list_append(ys, h.y) END, CASE WHEN near THEN seeds ELSE list_append(seeds, h.ord) END
+  FROM g JOIN h ON h.doc_id = g.doc_id AND h.page = g.page AND h.i = g.i + 1, LATERAL (SELECT len(list_filter(ys, lambda o: abs(o - h.y) <= 6.5::DOUBLE)) > 0 AS near)),
+e AS (SELECT doc_id, page, unnest(ys) AS seed_y, unnest(seeds) AS seed_ord FROM (SELECT doc_id, page, arg_max(ys, i) AS ys, arg_max(seeds, i) AS seeds FROM g GROUP BY ALL))
+SELECT e.doc_id, e.page, seed_ord, arg_min(m.y, (x, ord, n)) AS y, count(*) AS tokens, string_agg(text, ' ' ORDER BY x, ord, n) AS text FROM e JOIN m ON m.doc_id = e.doc_id AND m.page = e.page AND abs(m.y - seed_y) <= 6.5::DOUBLE GROUP BY e.doc_id, e.page, seed_ord""")
+def d6_visual_lines(spark, sf_dir):
+    moved = _tokens(spark, sf_dir).withColumn("y", F.col("y") + 3.0 * (F.abs("ord") * 7 % 5)).withColumn("pitch", F.lit(13.0))
+    return tokens.visual_lines(moved).select("doc_id", "page", "seed_ord", "y", F.size("tokens").cast("long").alias("tokens"), F.array_join(F.transform("tokens", lambda t: t["text"]), " ").alias("text"))
+
+
 @query(f"WITH {P} SELECT doc_id, count(*) + count(balance_cents) + max(page) AS candidates, count(*) + count(balance_cents) AS with_decimals FROM p GROUP BY doc_id")
 def f10_money_candidates(spark, sf_dir):
     m = tokens.money_candidates(_tokens(spark, sf_dir))
