@@ -44,10 +44,13 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with scratch(spark) as s:
         paths = write_archives(table(spark, sf_dir, "pages"), s.folder("archives"))
-        chunks = read_archives(spark, paths, payloads=False)
+        chunks = read_archives(spark, paths)
         number = lambda c: F.substring(c, len(ID) + 1, 20).try_cast("long")
-        return s.keep(chunks.where("last").select(
-            number(F.col("record_id")).alias("page_id"), F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", number(F.col("refers_to")).alias("refers_to"),
+        records = chunks.groupBy("archive", "offset", "record_id", "record_type", "refers_to").agg(
+            F.sum(F.octet_length("payload")).cast("long").alias("read"), F.max("bytes_so_far").alias("told"), F.max_by("digest_so_far", "chunk_no").alias("digest"),
+        )
+        return s.keep(records.select(
+            number(F.col("record_id")).alias("page_id"), F.when(F.col("record_type") == "revisit", F.col("told")).otherwise(F.col("read")).alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", number(F.col("refers_to")).alias("refers_to"),
         ))
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import joined, quoted, scratch
+from .common import bounded_batches, joined, quoted, scratch
 
 CHUNK, ROLL, READ = 1 << 20, 256 << 20, 1 << 18
 ID = "urn:tallyspark:page:"
@@ -41,7 +41,7 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path if urlparse(path).scheme else f"file://{os.path.abspath(path)}")
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> Iterator[bytes]:
+def record(page_id, url: str | None, payload: bytes | memoryview, digest: str, refers_to) -> Iterator[bytes]:
     """The parts of a record: headers, then the payload unless it refers to another one."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
@@ -77,8 +77,12 @@ def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             if out is None:
                 name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                 out = store.open_output_stream(f"{root}/.{name}", compression=None)
-            body = (payload.as_py() or "").encode()
-            digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+            # The text lies in the batch as UTF-8 already; it is looked at there, a chunk at a time, and never copied as a whole.
+            body = memoryview(payload.as_buffer()) if payload.is_valid and payload.as_buffer() is not None else memoryview(b"")
+            sha = hashlib.sha1()
+            for at in range(0, len(body), CHUNK):
+                sha.update(body[at : at + CHUNK])
+            digest = base64.b32encode(sha.digest()).decode()
             press = zlib.compressobj(4, zlib.DEFLATED, 31)
             for part in record(page_id.as_py(), url.as_py(), body, digest, refers_to.as_py()):
                 size += out.write(press.compress(part)) or 0
@@ -215,8 +219,12 @@ def _read(payloads: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Writes pages; returns (path, records, bytes) of the archives."""
-    kind = pages.schema[id_col].dataType.simpleString()
+    """Writes pages; returns (path, records, bytes) of the archives.
+
+    A null payload is empty; a page without id gets a record id without number; of pages that repeat an id and a payload each has a record. Of equal
+    payloads the largest id is the response (null is least); an empty table gives no archive; other columns, whatever their names, are left out.
+    A payload is written from where it lies in its batch, a chunk at a time."""
+    bounded_batches(pages.sparkSession)
     page = pages.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(url_col)).alias("url"), F.col(quoted(payload_col)).alias("payload"))
     text = F.coalesce("payload", F.lit(""))
     hashed = page.withColumns({"sha": F.sha1(text.cast("binary")), "other": F.xxhash64(text), "size": F.octet_length(text).cast("long")})

@@ -369,6 +369,34 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     assert types[2] == [("revisit", f"{warc.ID}3", 0, digest(""))]
 
 
+def test_warc_at_its_true_chunk(spark, tmp_path):
+    """Payloads of none, one and several chunks, cut within a character; names that clash with the operator's own; a query over such pages; no pages at all."""
+    from tallyspark.llm import queries
+
+    chunk = warc.CHUNK
+    texts = {1: "é" * chunk, 2: "x" + "é" * chunk, 3: "y" * (chunk - 1), 4: "z" * chunk, 5: "", 6: None, 7: "é" * chunk, 8: "\r\n\r\nWARC/1.1" * 300_000}
+    df = spark.createDataFrame([(k, "http://a", t, "sha", 1, "first") for k, t in texts.items()], "page_id long, url string, html string, sha string, size int, first string")
+    paths = warc.write_archives(df, f"file://{tmp_path}/archives")
+    rows = defaultdict(list)
+    for r in warc.read_archives(spark, paths).collect():
+        rows[int(r.record_id.removeprefix(warc.ID))].append(r)
+    for k, t in texts.items():
+        parts = sorted(rows[k], key=lambda r: r.chunk_no)
+        body = (t or "").encode()
+        assert [r.last for r in parts] == [False] * (len(parts) - 1) + [True] and parts[-1].bytes_so_far == len(body)
+        if parts[0].record_type == "response":
+            assert b"".join(r.payload for r in parts) == body and all(len(r.payload) == chunk for r in parts[:-1])
+    assert {k: r[0].refers_to for k, r in rows.items() if r[0].record_type == "revisit"} == {1: f"{warc.ID}7", 5: f"{warc.ID}6"}
+    df.write.parquet(f"{tmp_path}/sf/pages.parquet")
+    got = {r.page_id: r for r in queries.op4_warc_round_trip(spark, f"{tmp_path}/sf").collect()}
+    for k, t in texts.items():
+        body = (t or "").encode()
+        assert (got[k].payload_bytes, got[k].payload_digest) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
+        assert (got[k].record_type, got[k].refers_to) == {1: ("revisit", 7), 5: ("revisit", 6)}.get(k, ("response", None))
+    nothing = warc.write_archives(df.limit(0), f"file://{tmp_path}/none")
+    assert nothing.count() == 0 and warc.read_archives(spark, nothing).count() == 0
+
+
 def test_warc_reads_pieces_of_any_size(monkeypatch):
     import io
     import zlib
