@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import amounts, cells, dates, locales
-from tallyspark.operators import decode, evaluate, layout, reconcile, select
-from tallyspark.plans.statement import build_statements
+from tallyspark.operators import decode, evaluate, layout, reconcile, select, tokens
+from tallyspark.plans.statement import build_statements, line_dates
 from tallyspark.sources import exports, ofx, reports
 from tallyspark.sources import runs as sources
 
@@ -363,3 +363,14 @@ def test_site_checks(spark):
     assert {r.path for r in paths.collect()} == {"/a/index.html", "/a/", "/b.html", "/b"}
     links = spark.createDataFrame([("p", "/a"), ("p", "/b#x"), ("p", "/c"), ("p", "http://x")], "page string, href string")
     assert {(r.href, r.needs_slash) for r in evaluate.broken_links(links, paths).collect()} == {("/a", True), ("/c", False)}
+
+
+def test_small_amounts_beside_a_date_are_no_dates(spark):
+    """12.05 is a day and a month, unless the row has a date beyond doubt; by itself it stays one."""
+    cells_of = [(1, 1, 1, "03/02/2025", 40.0, 100.0, 50.0, 9.0), (1, 1, 2, "Coffee", 100.0, 100.4, 30.0, 9.0), (1, 1, 3, "12.05", 400.0, 99.8, 25.0, 9.0), (1, 1, 4, "11.12", 40.0, 113.0, 25.0, 9.0), (1, 1, 5, "1,200.00", 400.0, 113.0, 40.0, 9.0)]
+    runs = spark.createDataFrame(cells_of, RUNS)
+    rows = layout.build_rows(runs).orderBy("row_no").collect()
+    assert [[(c.str, c.kind, c.fields is not None) for c in r.cells] for r in rows] == [[("03/02/2025", "date", True), ("Coffee", "text", False), ("12.05", "money", False)], [("11.12", "date", True), ("1,200.00", "money", False)]]
+    t = tokens.tokenise(runs).join(tokens.metrics(runs), "doc_id")
+    assert {r.text for r in tokens.money_candidates(t).collect()} == {"12.05", "1,200.00"}
+    assert sorted(r.iso for r in line_dates(t).collect()) == ["--12-11", "2025-02-03"]
