@@ -31,7 +31,7 @@ def s6_error_mapping(spark, sf_dir):
 
 @query("SELECT doc_id, n_chars > 20000 AS refused FROM documents")
 def s7_size_gate(spark, sf_dir):
-    files = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") * (S.MAX_BYTES // 20000)).alias("length"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.ceil(F.col("n_chars") * S.MAX_BYTES / 20000).alias("length"))
     return S.size_gate(files).select("doc_id", F.col("error").isNotNull().alias("refused"))
 
 

@@ -52,3 +52,10 @@ def test_a_ledger_is_dealt_out_once(spark):
     """All windows and sums of the balance check share one exchange by account."""
     plan = catalog.queries()["a8_reconcile_summary"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_the_size_gate_refuses_from_the_first_character_on(spark, tmp_path):
+    """A limit of 20,000 characters stands for MAX_BYTES exactly."""
+    spark.createDataFrame([(n, n) for n in (19999, 20000, 20001, 20004, 20005)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.refused for r in catalog.queries()["s7_size_gate"](spark, str(tmp_path)).collect()}
+    assert got == {19999: False, 20000: False, 20001: True, 20004: True, 20005: True}
