@@ -118,7 +118,9 @@ s AS (SELECT d.doc_id, CASE WHEN chain_no IS NULL THEN 'NO_RECONCILED_CHAIN' WHE
 SELECT doc_id, reason, CASE WHEN reason = 'CLEAR_DETAIL_CHAIN' THEN 'selected' ELSE 'partial' END AS status, CASE WHEN reason = 'CLEAR_DETAIL_CHAIN' THEN chain_no END AS chain_no FROM s""")
 def d13_select_chain(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    return select.select_chains(select.evidence(_chains(lines), lines), lines).select("doc_id", "reason", "status", "chain_no")
+    # Scores compete to six places, as they are shown (a19_chain_evidence).
+    scored = select.evidence(_chains(lines), lines).withColumn("detail_score", F.round("detail_score", 6))
+    return select.select_chains(scored, lines).select("doc_id", "reason", "status", "chain_no")
 
 
 @query(f"WITH {L} SELECT doc_id, idx, okey FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, idx // 8 ORDER BY abs(amount_cents) DESC, idx) AS k FROM l) WHERE k <= 5")

@@ -59,3 +59,19 @@ def test_the_size_gate_refuses_from_the_first_character_on(spark, tmp_path):
     spark.createDataFrame([(n, n) for n in (19999, 20000, 20001, 20004, 20005)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.refused for r in catalog.queries()["s7_size_gate"](spark, str(tmp_path)).collect()}
     assert got == {19999: False, 20000: False, 20001: True, 20004: True, 20005: True}
+
+
+def test_chains_compete_by_the_scores_that_are_shown(spark, tmp_path):
+    """Scores of 0.922857 and 0.772857 lie 0.15 apart as shown, but 0.1499997 before they are rounded."""
+    import datetime
+    import duckdb
+
+    orders = [(6, 50_000_000), (3, 30_000_000), (7, 9_583_258), (15, 30_000_000), (27, 30_416_742)]
+    rows = [(k, 1, "O", cents / 100, datetime.datetime(1996, 1, 1 + i)) for i, (k, cents) in enumerate(orders)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 0.0)], "c_custkey long, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "customer"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["d13_select_chain"]).fetchall()
+    assert [tuple(r) for r in catalog.queries()["d13_select_chain"](spark, str(tmp_path)).collect()] == want == [(1, "CLEAR_DETAIL_CHAIN", "selected", 0)]
