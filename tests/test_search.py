@@ -103,3 +103,15 @@ def test_a_long_document_takes_linear_time(spark):
         took.append(time.perf_counter() - began)
         assert top[0] == size and top[1] > size // 4
     assert took[1] < 12 * took[0] + 5
+
+
+def test_steps_save_only_the_states_that_go_on(spark, monkeypatch):
+    """What the beam drops is written nowhere, and what a step saved goes once the next one has been saved."""
+    docs, w, saved, gone = documents(7, 20), decode.Weights(max_states=3), [], []
+    settle, forget = search.settle, search.forget
+    monkeypatch.setattr(search, "settle", lambda df: saved.append(settle(df)) or saved[-1])
+    monkeypatch.setattr(search, "forget", lambda df: gone.append((df, df.groupBy("doc_id").count().agg(F.max("count")).first()[0])) or forget(df))
+    out = search.search(search.figures_of(spark.createDataFrame([(d, k, line) for d, lines in docs.items() for k, line in enumerate(lines)], MONEY)), w)
+    steps = max(sum(map(bool, lines)) for lines in docs.values())
+    assert out["trace"].agg(F.max("states")).first()[0] > 3
+    assert len(gone) == steps and all(most <= 3 for _, most in gone) and len(saved) == 1 + 2 * steps
