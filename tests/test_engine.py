@@ -374,3 +374,22 @@ def test_small_amounts_beside_a_date_are_no_dates(spark):
     t = tokens.tokenise(runs).join(tokens.metrics(runs), "doc_id")
     assert {r.text for r in tokens.money_candidates(t).collect()} == {"12.05", "1,200.00"}
     assert sorted(r.iso for r in line_dates(t).collect()) == ["--12-11", "2025-02-03"]
+
+
+def test_partitions_are_fine_unless_the_session_says_otherwise(spark):
+    """Sorted cells take many times the room of their shuffled form, so tasks are of 8 MB, as many as it takes."""
+    from tallyspark import session
+
+    finest, task = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    at_first = spark.conf.get(finest, None), spark.conf.get(task)
+    try:
+        spark.conf.set(finest, "7")
+        spark.conf.set(task, "1m")
+        layout.build_rows(spark.createDataFrame([(1, 1, 1, "x", 0.0, 10.0, 5.0, 9.0)], RUNS))
+        assert (spark.conf.get(finest), spark.conf.get(task)) == ("7", "1m")
+        spark.conf.unset(finest)
+        layout.build_rows(spark.createDataFrame([(1, 1, 1, "x", 0.0, 10.0, 5.0, 9.0)], RUNS))
+        assert (spark.conf.get(finest), spark.conf.get(task)) == (str(session.FINEST), f"{session.TASK_BYTES}b")
+    finally:
+        for key, value in zip((finest, task), at_first):
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
