@@ -115,3 +115,33 @@ def test_steps_save_only_the_states_that_go_on(spark, monkeypatch):
     steps = max(sum(map(bool, lines)) for lines in docs.values())
     assert out["trace"].agg(F.max("states")).first()[0] > 3
     assert len(gone) == steps and all(most <= 3 for _, most in gone) and len(saved) == 1 + 2 * steps
+
+
+def figures_without_spark(seed, n):
+    given = lambda lines: [[{"token": k * 1000 + i, "value": round(m["value"] * 100), "size": round(m["magnitude"] * 100), **{c: m[c] for c in ("has_sign", "confidence", "support")}} for i, m in enumerate(line)] for k, line in enumerate(lines) if line]
+    return [given(a + b) for a, b in zip(documents(seed, n).values(), documents(seed + 1, n).values(), strict=True)]
+
+
+@pytest.mark.parametrize("most", [1, 2, 7, 60, 400])
+def test_rows_that_cannot_be_kept_change_nothing(most):
+    """A trace counts all states, so it reads all rows; without one only the rows that may be kept are read. States, their order and their ways are the same."""
+    for lines in figures_without_spark(11, 60):
+        w = decode.Weights(max_states=most)
+        some, every = decode.Beam(lines, w), decode.Beam(lines, w)
+        for number, figures in enumerate(lines):
+            (few, a), (states, b) = some.step(figures, number), every.step(figures, number, count=True)
+            assert a == b and few in (None, states) and (few is not None or states > most)
+            assert all((some.now[k] == every.now[k]).all() for k in every.now)
+            assert all((x == y).all() for x, y in zip(some.trail[-1], every.trail[-1], strict=True))
+        assert decode.decode(lines, w) == decode.decode(lines, w, trace=[])
+
+
+def test_a_full_beam_reads_few_more_rows_than_it_keeps(monkeypatch):
+    """Two figures on a line give each of 2,000 states nine readings without a chain; most can't be among the best 2,000."""
+    read, merged = [], decode.Beam._merged
+    monkeypatch.setattr(decode.Beam, "_merged", lambda self, s: read.append(len(s["key"])) or merged(self, s))
+    rnd = random.Random(3)
+    figure = lambda k: {"token": k, "value": (v := rnd.randrange(1, 10**9)), "size": v, "has_sign": False, "confidence": 1.0, "support": 1.0}
+    lines = [[figure(1000 * k), figure(1000 * k + 1)] for k in range(12)]
+    decode.decode(lines, decode.Weights(max_states=2_000))
+    assert max(read) < 10_000
