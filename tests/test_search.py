@@ -145,3 +145,22 @@ def test_a_full_beam_reads_few_more_rows_than_it_keeps(monkeypatch):
     lines = [[figure(1000 * k), figure(1000 * k + 1)] for k in range(12)]
     decode.decode(lines, decode.Weights(max_states=2_000))
     assert max(read) < 10_000
+
+
+def test_a_balance_like_a_day_and_month_stands_in_the_search(spark, tmp_path):
+    """12.05 beside a full date is a balance: steps, ranks and chains are those of the SQL."""
+    import datetime
+    import duckdb
+
+    from tallyspark.plans import catalog
+
+    cents = [(1, 100_000), (2, -98_795), (3, 250_000), (4, 3_000), (6, 40_000)]
+    rows = [(k, 1, "F" if c < 0 else "O", abs(c) / 100, datetime.datetime(1996, 1, 13 + k)) for k, c in cents]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 0.0)], "c_custkey long, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "customer"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("d16_search_trace", "o11_watched_ranks", "d8_chains"):
+        want = con.execute(catalog.oracle_sql()[name]).fetchall()
+        assert want and sorted(map(str, (tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()))) == sorted(map(str, want))
