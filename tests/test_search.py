@@ -164,3 +164,18 @@ def test_a_balance_like_a_day_and_month_stands_in_the_search(spark, tmp_path):
     for name in ("d16_search_trace", "o11_watched_ranks", "d8_chains"):
         want = con.execute(catalog.oracle_sql()[name]).fetchall()
         assert want and sorted(map(str, (tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()))) == sorted(map(str, want))
+
+
+def test_short_documents_lose_none_with_few_figures(spark):
+    """What counts as an amount beyond doubt is read as one figure, and only documents with more of those than asked for go."""
+    from tallyspark.operators import tokens
+
+    sure = ["1,234.56", "-1,234.56", "(1,234,567.89)", "12,34,567.89", "-1.234,56", "1.234.567,89", "1,234.56 CR", "12,34,567.89 DR"]
+    doubtful = ["12.05", "13/01/1996", "Page 3", "Payment to P1234", "1234", "123.45", "1,234", "1.234", "01.02.1996", "-5"]
+    rows = [(d, 1, k, text, 40.0, 100.0 + 13 * k, 5.0 * len(text), 9.0) for d, texts in enumerate([sure, doubtful * 3, sure[:3] + doubtful, sure + ["9,999.99"]]) for k, text in enumerate(texts)]
+    runs = spark.createDataFrame(rows, "doc_id long, page int, ord long, str string, x double, y double, w double, h double")
+    found = tokens.money_candidates(tokens.tokenise(runs.where("doc_id = 0")).join(tokens.metrics(runs), "doc_id"))
+    assert sorted(r.ord for r in found.collect()) == list(range(len(sure)))
+    short = tokens.short_documents(runs, 8)
+    assert sorted(r.doc_id for r in short.select("doc_id").distinct().collect()) == [0, 1, 2]
+    assert short.count() == len(sure) + 3 * len(doubtful) + 3 + len(doubtful)
