@@ -85,9 +85,10 @@ def e6_round_to_cents(spark, sf_dir):
 @query("""SELECT o_orderkey, o_orderkey >= 1000 AS bare, true AS fraction, false AS long_number, o_orderkey >= 1000 AS grouped FROM orders""")
 def f2_amount_like(spark, sf_dir):
     k = F.col("o_orderkey")
-    like = lambda t: A.amount_like(t, A.parse_amount(t))
-    three = F.format_string("%,d", k)
-    return table(spark, sf_dir, "orders").select("o_orderkey", like(k.cast("string")).alias("bare"), like(F.concat(k.cast("string"), F.lit(".25"))).alias("fraction"), like(F.concat(F.lit("9"), F.lpad(k.cast("string"), 15, "0"))).alias("long_number"), like(three).alias("grouped"))
+    texts = {"bare": k.cast("string"), "fraction": F.concat(k.cast("string"), F.lit(".25")), "long_number": F.concat(F.lit("9"), F.lpad(k.cast("string"), 15, "0")), "grouped": F.format_string("%,d", k)}
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", *[t.alias(name) for name, t in texts.items()])
+    read = X.through(rows, {f"{name}_amount": (F.col(name), A.AMOUNT_STEPS) for name in texts})
+    return read.select("o_orderkey", *[A.amount_like(F.col(name), F.col(f"{name}_amount")).alias(name) for name in texts])
 
 
 DATES = """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '--%m-%d') AS partial, year(o_orderdate)::INT AS y, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders"""

@@ -75,3 +75,8 @@ def test_chains_compete_by_the_scores_that_are_shown(spark, tmp_path):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     want = con.execute(catalog.oracle_sql()["d13_select_chain"]).fetchall()
     assert [tuple(r) for r in catalog.queries()["d13_select_chain"](spark, str(tmp_path)).collect()] == want == [(1, "CLEAR_DETAIL_CHAIN", "selected", 0)]
+
+
+def test_amounts_are_read_by_generated_code(spark):
+    """f2_amount_like: no step of reading is a lambda, which Spark interprets row by row."""
+    assert "lambdafunction" not in catalog.queries()["f2_amount_like"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
