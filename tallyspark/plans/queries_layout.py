@@ -56,7 +56,7 @@ def a2_rows(spark, sf_dir):
 
 @query(f"""WITH {READ}, d AS (SELECT DISTINCT doc_id, n, nb FROM q) SELECT doc_id, CASE WHEN n >= 2 THEN 1 ELSE 0 END::INT AS n_date_bands, ((n >= 2)::INT + (nb >= 2)::INT)::INT AS n_money_bands, CASE WHEN n >= 2 THEN CASE WHEN nb >= 2 THEN 'amount,balance' ELSE 'amount' END ELSE CASE WHEN nb >= 2 THEN 'balance' ELSE '' END END AS tasks FROM d""")
 def d1_columns(spark, sf_dir):
-    m = layout.detect_columns(settle(layout.build_rows(runs(spark, sf_dir))))
+    m = layout.detect_columns(layout.build_rows(runs(spark, sf_dir)))
     return m.select("doc_id", F.size("date_bands").alias("n_date_bands"), F.size("money_bands").alias("n_money_bands"), F.array_join(F.transform("money_bands", lambda b: b["task"]), ",").alias("tasks"))
 
 
@@ -202,7 +202,7 @@ def o5_alternatives(spark, sf_dir):
 @query(f"WITH {R} SELECT doc_id, min(x) AS table_left, max(x + w) AS table_right, count(*) FILTER (str = 'Date') > 0 AS headed FROM r GROUP BY doc_id")
 def a16_table_extent(spark, sf_dir):
     """How far the cells of every statement reach, and whether a heading was found."""
-    m = layout.detect_columns(settle(layout.build_rows(runs(spark, sf_dir))))
+    m = layout.detect_columns(layout.build_rows(runs(spark, sf_dir)))
     return m.select("doc_id", "table_left", "table_right", F.col("header_row").isNotNull().alias("headed"))
 
 
