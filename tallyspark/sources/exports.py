@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from datetime import UTC, date, datetime
+from functools import partial
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -22,6 +24,8 @@ PRESETS = {
     "quickbooks": ("Date", "Description", "Amount"),
     "xero": ("*Date", "*Amount", "Payee", "Description", "Reference"),
 }
+#: Statements that are workbooks in the making at a time.
+BOOKS = 16
 MIME = {"csv": "text/csv;charset=utf-8", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"}
 EXCEL_DATES = {"YYYY-MM-DD": "yyyy-mm-dd", "DD/MM/YYYY": "dd/mm/yyyy", "MM/DD/YYYY": "mm/dd/yyyy", "DD.MM.YYYY": "dd.mm.yyyy", "DD-MMM-YYYY": "dd-mmm-yyyy"}
 
@@ -130,6 +134,15 @@ def workbook(rows: list, facts: list[tuple[str, object]], date_format: str = "YY
     return out.getvalue()
 
 
+def books(batches: Iterator[pa.RecordBatch], source: str | None, form: str) -> Iterator[pa.RecordBatch]:
+    """K5: (doc_id, row_count, bytes) of statements(doc_id, rows). Rows as objects and finished workbooks take many times the room of the batch, so BOOKS statements are held as such at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BOOKS):
+            some = batch.slice(at, BOOKS).to_pylist()
+            made = [workbook(b["rows"], [("Source file", source or ""), ("Transactions extracted", len(b["rows"]))], form) for b in some]
+            yield pa.RecordBatch.from_arrays([pa.array([b["doc_id"] for b in some], pa.int64()), pa.array([len(b["rows"]) for b in some], pa.int64()), pa.array(made, pa.binary())], ["doc_id", "row_count", "bytes"])
+
+
 def build_exports(rows: DataFrame, preset: str, source: str | None = None, locale: str | None = None, date_format: str | None = None, **options) -> DataFrame:
     """K3: a file for each statement: (doc_id, file_name, mime, row_count, content or bytes). The date format is the one given, or the market's."""
     name, mime = file_name(F.lit(source), preset), F.lit(MIME["xlsx" if preset == "xlsx" else "csv"])
@@ -139,10 +152,4 @@ def build_exports(rows: DataFrame, preset: str, source: str | None = None, local
     # A workbook is made where its statement's rows meet.
     sheets = workbook_rows(rows).groupBy("doc_id").agg(F.collect_list(F.struct("idx", "day", "description", "debit", "credit", "amount", "balance", "notes", "row_no", "page", "date_raw", "delta", "flags", "raw_text")).alias("rows"))
 
-    def write(batches):
-        for batch in batches:
-            books = batch.to_pylist()
-            made = [workbook(b["rows"], [("Source file", source or ""), ("Transactions extracted", len(b["rows"]))], form) for b in books]
-            yield pa.RecordBatch.from_arrays([pa.array([b["doc_id"] for b in books], pa.int64()), pa.array([len(b["rows"]) for b in books], pa.int64()), pa.array(made, pa.binary())], ["doc_id", "row_count", "bytes"])
-
-    return sheets.mapInArrow(write, "doc_id long, row_count long, bytes binary").select("doc_id", name.alias("file_name"), mime.alias("mime"), "row_count", "bytes")
+    return sheets.mapInArrow(partial(books, source=source, form=form), "doc_id long, row_count long, bytes binary").select("doc_id", name.alias("file_name"), mime.alias("mime"), "row_count", "bytes")
