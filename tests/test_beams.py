@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import beams, decode, search
 
-from .test_search import MONEY, decoded, documents
+from .test_search import MONEY, decoded, documents, figures_without_spark
 
 
 @pytest.mark.parametrize("most", [1, 3, 40, 40_000])
@@ -74,3 +74,43 @@ def test_sums_beyond_64_bits_are_refused():
     big = {"value": np.array([1 << 60]), "size": np.array([1 << 60]), "has_sign": np.array([False]), "confidence": np.ones(1), "support": np.ones(1), "eligible": np.array([True])}
     with pytest.raises(ArithmeticError):
         beams.Beams(np.array([0]), np.array([0]), big, decode.Weights())
+
+
+def statements(seed, n):
+    """Figures of statements as they are printed: some balances are missing or off, some amounts have the wrong sign or none."""
+    rnd, out = random.Random(seed), []
+    figure = lambda token, value, sign, confidence, support: {"token": token, "value": value if sign or value > 0 else -value, "size": abs(value), "has_sign": sign and value < 0, "confidence": confidence, "support": support}
+    for _ in range(n):
+        balance, lines, scale = rnd.randrange(-(10**6), 10**6), [], rnd.choice([9, 10**3, 10**7])
+        for k in range(rnd.randint(1, 9)):
+            amount = rnd.randrange(1, scale) * rnd.choice([-1, 1])
+            balance += amount
+            line = [figure(1000 * k, -amount if rnd.random() < 0.1 else amount, rnd.random() < 0.7, rnd.choice([0.775, 1.0]), rnd.choice([2 / 3, 1.0]))]
+            if rnd.random() < 0.85 and balance:
+                line.append(figure(1000 * k + 1, balance + 10_000 * (rnd.random() < 0.1), True, 1.0, 1.0))
+            lines.append(line + ([figure(1000 * k + 2, 100, False, 0.3, 0.0)] if k % 4 == 3 else []))
+        out.append(lines)
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 12, 30, 200])
+def test_what_a_narrow_beam_settles_is_the_result_of_the_wide_one(most):
+    """Chains, competing ones, their order and the score; what may differ is left to a wider beam."""
+    found = 0
+    for w in (decode.Weights(max_states=most + 1), decode.Weights(max_states=5 * most), decode.Weights(max_states=3_000)):
+        given = figures_without_spark(21, 40) + statements(most, 60)
+        given = [lines for lines in given if lines]
+        for lines, got in zip(given, beams.settled(given, w, most), strict=True):
+            found += got is not None
+            assert got is None or got == decode.decode(lines, w)[:3]
+    assert found > (0 if most == 1 else 30)
+
+
+def test_most_statements_are_settled_by_narrow_beams(monkeypatch):
+    """The wide beam is for few; what it would give is the same."""
+    wide, plain = [], beams.decode
+    monkeypatch.setattr(beams, "decode", lambda lines, w: wide.append(lines) or plain(lines, w))
+    given, w = statements(3, 60), decode.Weights(max_states=4_000)
+    assert beams.decoded(given, w) == [plain(lines, w)[:3] for lines in given] and len(wide) < 12
+    big = [[{"token": 0, "value": 1 << 70, "size": 1 << 70, "has_sign": False, "confidence": 1.0, "support": 1.0}]]
+    assert beams.decoded([big], w) == [plain(big, w)[:3]]
