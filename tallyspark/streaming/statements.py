@@ -7,25 +7,16 @@ what an account's next rows need held as state.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 CHECKED = "doc_id long, idx long, amount_cents long, balance_cents long, previous long, agrees boolean, late boolean"
 ROWS = 10_000
 
 
-def _whole(x) -> int | None:
-    return None if x is None or pd.isna(x) else int(x)
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in CHECKED.split(", ")])
-    for c in ("amount_cents", "balance_cents", "previous"):
-        frame[c] = frame[c].astype("Int64")
-    frame["agrees"] = frame["agrees"].astype("boolean")
-    return frame
+OUT = Row(*[c.split()[0] for c in CHECKED.split(", ")])
 
 
 class ChainKeeper(StatefulProcessor):
@@ -40,59 +31,54 @@ class ChainKeeper(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "idx long", "amount_cents long, balance_cents long")
 
     def _reached(self) -> tuple[int, int | None]:
-        last = self.last.get() if self.last.exists() else (self.first - 1, None)
-        return int(last[0]), _whole(last[1])
+        last = self.last.get()
+        return (self.first - 1, None) if last is None else (last[0], last[1])
 
     @staticmethod
-    def _check(key: tuple, idx: int, amount: int | None, printed: int | None, previous: int | None) -> tuple:
+    def _check(key: tuple, idx: int, amount: int | None, printed: int | None, previous: int | None) -> Row:
         agrees = None if None in (previous, printed, amount) else previous + amount == printed
-        return key[0], idx, amount, printed, previous, agrees, False
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        idx, balance = self._reached()
-        for part in rows:
-            out = []
-            part = part.sort_values("idx", kind="stable")
-            for at, amount, printed in zip(part["idx"], part["amount_cents"], part["balance_cents"], strict=True):
-                at, amount, printed = int(at), _whole(amount), _whole(printed)
-                if at == idx + 1:
-                    out.append(self._check(key, at, amount, printed, balance))
-                    idx, balance = at, printed
-                elif at <= idx or self.waiting.containsKey((at,)):
-                    out.append((key[0], at, amount, printed, None, None, True))
-                else:
-                    self.waiting.updateValue((at,), (amount, printed))
-            while self.waiting.containsKey((idx + 1,)):
-                amount, printed = map(_whole, self.waiting.getValue((idx + 1,)))
-                self.waiting.removeKey((idx + 1,))
-                out.append(self._check(key, idx + 1, amount, printed, balance))
-                idx, balance = idx + 1, printed
-                if len(out) >= ROWS:
-                    yield _frame(out)
-                    out = []
-            if out:
-                yield _frame(out)
-        self.last.update((idx, balance))
+        return OUT(key[0], idx, amount, printed, previous, agrees, False)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        """State is read and written for rows that still wait when the others of their batch have been seen, not for each row."""
+        rows, reached = iter(rows), self._reached()
+        (idx, balance), held = reached, self.waiting.exists()
+        while part := sorted(islice(rows, ROWS), key=lambda r: r.idx):
+            ahead: dict[int, tuple] = {}
+            for r in part:
+                at, amount, printed = r.idx, r.amount_cents, r.balance_cents
+                if at <= idx or at in ahead or (held and self.waiting.containsKey((at,))):
+                    yield OUT(key[0], at, amount, printed, None, None, True)
+                    continue
+                if at != idx + 1:
+                    ahead[at] = (amount, printed)
+                    continue
+                yield self._check(key, at, amount, printed, balance)
+                idx, balance = at, printed
+                while held and self.waiting.containsKey((idx + 1,)):
+                    amount, printed = self.waiting.getValue((idx + 1,))
+                    self.waiting.removeKey((idx + 1,))
+                    yield self._check(key, idx + 1, amount, printed, balance)
+                    idx, balance = idx + 1, printed
+            for at, row in ahead.items():
+                self.waiting.updateValue((at,), row)
+            held = held or bool(ahead)
+        if (idx, balance) != reached:
+            self.last.update((idx, balance))
         if self.patience_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(int(timer))
             if self.waiting.exists():
                 self.handle.registerTimer(int(timerValues.getCurrentProcessingTimeInMs()) + self.patience_ms)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         idx, balance = self._reached()
-        out = []
         for at in sorted(int(k[0]) for k in self.waiting.keys()):
-            amount, printed = map(_whole, self.waiting.getValue((at,)))
-            out.append(self._check(key, at, amount, printed, balance))
+            amount, printed = self.waiting.getValue((at,))
+            yield self._check(key, at, amount, printed, balance)
             idx, balance = at, printed
-            if len(out) >= ROWS:
-                yield _frame(out)
-                out = []
         self.waiting.clear()
         self.last.update((idx, balance))
-        if out:
-            yield _frame(out)
 
     def close(self) -> None:
         pass
@@ -108,7 +94,7 @@ def incremental_chain(rows: DataFrame, first: int = 1, patience_ms: int | None =
     Without patience they wait for ever. State is one row for each account and the rows that wait; no list of an account is read or written as
     a whole. Needs the RocksDB state store (see state_store)."""
     keeper = ChainKeeper(first, patience_ms)
-    return rows.groupBy("doc_id").transformWithStateInPandas(keeper, CHECKED, "append", "none" if patience_ms is None else "processingtime")
+    return rows.groupBy("doc_id").transformWithState(keeper, CHECKED, "append", "none" if patience_ms is None else "processingtime")
 
 
 class state_store:
