@@ -114,3 +114,20 @@ def test_most_statements_are_settled_by_narrow_beams(monkeypatch):
     assert beams.decoded(given, w) == [plain(lines, w)[:3] for lines in given] and len(wide) < 12
     big = [[{"token": 0, "value": 1 << 70, "size": 1 << 70, "has_sign": False, "confidence": 1.0, "support": 1.0}]]
     assert beams.decoded([big], w) == [plain(big, w)[:3]]
+
+
+def test_workers_decode_without_a_copy_of_the_package(tmp_path):
+    """Executors have no tallyspark to import; the decoder reaches them by value, with all that it calls."""
+    import subprocess
+    import sys
+
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    money = [{"value": v, "magnitude": v, "has_sign": False, "confidence": 1.0, "support": 1.0} for v in (1000.0, 25.0, 1025.0)]
+    row = {"doc_id": 1, "lines": [{"line_no": 0, "money": money[:1]}, {"line_no": 1, "money": money[1:]}]}
+    here = [b.to_pylist() for b in decode._decode_batches(decode.Weights(), beams.decoded, iter([pa.RecordBatch.from_pylist([row])]))]
+    (tmp_path / "job").write_bytes(cloudpickle.dumps((decode._decode_batches, beams.decoded, decode.Weights(), row)))
+    code = "import pickle, sys, pyarrow as pa; f, d, w, row = pickle.load(open('job', 'rb')); print([b.to_pylist() for b in f(w, d, iter([pa.RecordBatch.from_pylist([row])]))]); assert 'tallyspark' not in sys.modules"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin"})
+    assert done.returncode == 0 and done.stdout.strip() == str(here), done.stderr
